@@ -1,0 +1,4 @@
+"""Intentionally empty: every operator here is a batch job over bounded feeds.
+
+The product this library covers has no streaming operator (no watermarks, no incremental state), so none is invented.
+"""
