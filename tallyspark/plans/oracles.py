@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from ..sources.schema import FIELDS
+from .rawfeeds import header_catalogue_sql, raw_feed_sql
+
 _CURRENCY = "case c_nationkey % 3 when 0 then 'USD' when 1 then 'EUR' else 'INR' end"
 
 VIEWS = {
@@ -293,3 +296,313 @@ ORACLES["xref_report"] = with_views(
   ' returned SKUs matched a sales record.') else concat(u, ' of ', n,
   ' returned SKUs have no matching sales record.') end, u = 0 from c""",
     "v_sales", "v_orders", "v_returns", "v_inventory")
+
+# ---- ranking, scoping and drill-down of anomalies -------------------------------------------------------------------
+
+_BY_CURRENCY = "currency, "
+_CWEEKS = _WEEKS.replace("wk as (select sku", "cw as (select currency, sku").replace("group by 1, 2)", "group by 1, 2, 3)")
+_CRETURNS = _RETURN_MONTHS.replace("rm as (select sku", "cr as (select currency, sku").replace(
+    "group by 1, 2)", "group by 1, 2, 3)")
+_ALL = f"""{_CWEEKS}, {_CRETURNS}, {_REGION_MONTHS}, found as (
+ select *, 0 as det from ({zscore_sql('cw', 'week', *_W, by=_BY_CURRENCY)}) a
+ union all select *, 1 as det from ({zscore_sql('cr', 'month', *_M, by=_BY_CURRENCY)}) b
+ union all select *, 2 as det from ({rolling_sql('gm')}) c)"""
+ORACLES["anomalies_ranked"] = with_views(_ALL + " select * exclude (det) from found", "v_sales", "v_returns")
+ORACLES["anomalies_in_range"] = with_views(
+    _ALL + f" select * exclude (det) from found where span_start <= date '{_R[1]}' and span_end >= date '{_R[0]}'",
+    "v_sales", "v_returns")
+
+
+def _levels(strict: float, standard: float, lenient: float) -> str:
+    return (f"cross join (values ('strict', cast({strict} as double)), ('standard', {standard}), "
+            f"('lenient', {lenient})) as p(sensitivity, t)")
+
+
+def _preset(sql: str) -> str:
+    return sql.replace("select ", "select sensitivity, ", 1)
+
+
+ORACLES["anomalies_all_presets"] = with_views(
+    f"""{_WEEKS}, {_REGION_MONTHS}
+ select * from ({_preset(rolling_sql('gm', 't', extra=_levels(0.4, 0.25, 0.15)))}) a
+ union all by name select * from ({_preset(zscore_sql('wk', 'week', *_W, t='t', extra=_levels(3.5, 2.5, 1.75)))}) b
+ union all by name select * from ({_preset(iqr_sql('wk', 'week', *_W, t='t', extra=_levels(3, 1.5, 0.75)))}) c""",
+    "v_sales")
+
+_TOP_WEEKS = f"""{_WEEKS}, z as ({zscore_sql('wk', 'week', *_W)}),
+ top as (select *, row_number() over (order by abs(deviation) desc, dimension_value, period) as rank from z)"""
+ORACLES["anomalies_strongest"] = with_views(
+    _TOP_WEEKS + " select rank, id, deviation, severity from top where rank <= 12", "v_sales")
+ORACLES["anomaly_drilldown"] = with_views(
+    _TOP_WEEKS + """, hit as (select t.id, t.n_rows, s.*, row_number() over (partition by t.id
+  order by s._ord, s.date, s.sku, s.channel, s.units, s.revenue) as row_no
+  from top t join v_sales s on s.sku = t.dimension_value and s.date between t.span_start and t.span_end where rank <= 12)
+ select id, n_rows, row_no, date, sku, channel, units, revenue from hit where row_no <= 20""", "v_sales")
+
+ORACLES["trend_with_markers"] = with_views(
+    f"""{_REGION_MONTHS}, tr as (select currency, strftime(date, '%Y-%m') as month,
+  cast(sum(revenue) as double) as revenue from v_sales group by 1, 2),
+ ro as (select *, row_number() over (partition by currency, period order by abs(deviation) desc, dimension_value) as rn
+  from ({rolling_sql('gm')}) x),
+ ends as (select currency, count(*) filter (where month = '2001-02') > 0 and count(*) filter (where month = '2001-05') > 0
+  as shown from tr group by 1)
+ select tr.currency, tr.month, tr.revenue, id as anomaly_id, dimension_value as anomaly_region,
+  deviation as anomaly_deviation, shown and tr.month between '2001-02' and '2001-05' as highlighted
+ from tr join ends using (currency) left join ro on ro.currency = tr.currency and ro.period = tr.month and rn = 1""",
+    "v_sales")
+
+ORACLES["anomaly_pick_by_metric"] = with_views(
+    _ALL + """, r as (select *, row_number() over (partition by currency, metric_label
+  order by abs(deviation) desc, dimension_value, period) as rn,
+  case metric_label when 'Monthly revenue' then 0 when 'Weekly units sold' then 1 else 2 end as mo from found),
+ k as (select *, row_number() over (partition by currency order by mo, rn) as pick from r
+  where rn <= case mo when 2 then 1 else 2 end)
+ select currency, pick, metric_label, id, deviation from k where pick <= 5""", "v_sales", "v_returns")
+
+# ---- ranges and scope filters ---------------------------------------------------------------------------------------
+
+_BOUNDS = 'b as (select min(date) as lo, max(date) as hi from v_sales)'
+ORACLES["date_bounds"] = with_views(_BOUNDS + ' select lo as "start", hi as "end" from b', "v_sales")
+ORACLES["range_presets"] = with_views(
+    _BOUNDS + """, m as (select lo, hi, cast(date_trunc('month', hi) as date) as m0 from b)
+ select 0 as preset_ord, 'currentMonth' as key, 'Current month' as label, cast(null as date) as range_start,
+  cast(null as date) as range_end from m
+ union all select 1, 'allTime', 'All time', lo, hi from m
+ union all select 2, 'last30', 'Last 30 days', cast(hi - 29 as date), hi from m
+ union all select 3, 'last90', 'Last 90 days', cast(hi - 89 as date), hi from m
+ union all select 4, 'lastMonth', 'Last month', cast(m0 - interval 1 month as date), cast(m0 - interval 1 day as date) from m
+ union all select 5, 'thisQuarter', 'This quarter', cast(date_trunc('quarter', hi) as date), hi from m
+ union all select 6, 'thisYear', 'This year', cast(date_trunc('year', hi) as date), hi from m
+ union all select 7, 'custom', 'Custom range', null, null from m""", "v_sales")
+ORACLES["scoped_sales"] = with_views(
+    f"""select date, sku, product, region, channel, units, unitPrice, revenue, currency from v_sales
+ where {_CUR} and channel = '1-URGENT' and currency = 'INR'""", "v_sales")
+ORACLES["sales_in_quarter"] = with_views(
+    """select date, sku, region, units, currency from v_sales
+ where year(date) = 2000 and quarter(date) = 3""", "v_sales")
+ORACLES["period_keys"] = with_views(
+    """d as (select date, count(*) as n_rows, cast(date_trunc('month', date) as date) as m from v_sales group by date)
+ select date, n_rows, strftime(date, '%Y-%m') as month, concat(year(date), '-Q', quarter(date)) as quarter,
+ strftime(date - cast(dayofweek(date) as integer), '%Y-%m-%d') as week, last_day(date) as month_end,
+ strftime(m - interval 1 month, '%Y-%m') as month_before,
+ concat(year(date - interval 3 month), '-Q', quarter(m - interval 3 month)) as quarter_before,
+ cast(m - cast(date - m as integer) - 1 as date) as previous_start, cast(m - 1 as date) as previous_end,
+ strftime(date, '%b %Y') as month_label,
+ case when date = m then strftime(m, '%b %-d, %Y') else
+  concat(strftime(m, '%b %-d, %Y'), ' – ', strftime(date, '%b %-d, %Y')) end as range_label from d""", "v_sales")
+
+# ---- inventory and risks --------------------------------------------------------------------------------------------
+
+_AT_RISK = """risky as (select *, onHand - reorderPoint as gap,
+ row_number() over (order by onHand - reorderPoint, _ord) as worst, row_number() over (order by _ord) as n
+ from v_inventory where reorderPoint > 0 and onHand <= reorderPoint)"""
+_RISK_COLS = 'productName as label, onHand as "onHand", reorderPoint as "reorderPoint", warehouse, gap'
+ORACLES["inventory_risk"] = with_views(f"{_AT_RISK} select {_RISK_COLS} from risky", "v_inventory")
+ORACLES["inventory_worst_gaps"] = with_views(
+    f"{_AT_RISK} select {_RISK_COLS}, worst as rank from risky where worst <= 8", "v_inventory")
+_STOCKOUTS = """so as (select 'risk' as type, concat('Stockout risk: ', productName) as title,
+ concat(cast(onHand as bigint), ' units on hand at ', warehouse, ' vs. a reorder point of ', cast(reorderPoint as bigint),
+ '.') as detail, _ord, n from risky)"""
+ORACLES["stockout_risks"] = with_views(
+    f'{_AT_RISK}, {_STOCKOUTS} select type, title, detail, _ord from so', "v_inventory")
+ORACLES["risk_flags"] = with_views(
+    f"{_AT_RISK}, {_STOCKOUTS} select n as item, type, title, detail from so where n <= 6", "v_inventory")
+
+_PERIOD_REGION = """mo as (select currency, date_trunc('month', max(date)) as m from v_sales group by currency),
+ rg as (select currency, region as dimension_value,
+  cast(sum(case when date_trunc('month', date) = m then revenue else 0 end) as double) as current,
+  cast(sum(case when date_trunc('month', date) <> m then revenue else 0 end) as double) as previous
+  from v_sales join mo using (currency) where date_trunc('month', date) in (m, m - interval 1 month) group by 1, 2)"""
+
+
+def _hundreds(x: str) -> str:
+    return f"printf('%.0f', abs({x} * 100))"
+
+
+ORACLES["risk_rules"] = with_views(
+    f"""{_ALL}, {_RANGE_SKU}, {_PERIOD_REGION},
+ g as (select *, row_number() over (partition by currency order by (current - previous) / previous desc, current desc,
+  dimension_value) as rn, (current - previous) / previous as d from t where (current - previous) / previous > 0.3),
+ dn as (select *, row_number() over (partition by currency order by (current - previous) / previous, current desc,
+  dimension_value) as rn, (current - previous) / previous as d from rg
+  where previous > 0 and (current - previous) / previous < -0.3),
+ h as (select *, row_number() over (partition by currency order by abs(deviation) desc, det, dimension_value, period) as rn
+  from found where severity = 'high')
+ select currency, 'opportunity' as type, concat(dimension_value, ' demand accelerating') as title,
+  concat('Revenue up ', {_hundreds('d')}, '% month-over-month.') as detail from g where rn = 1
+ union all select currency, 'risk', concat(dimension_value, ' region demand declining'),
+  concat('Revenue down ', {_hundreds('d')}, '% month-over-month.') from dn where rn = 1
+ union all select currency, case direction when 'above' then 'opportunity' else 'risk' end,
+  concat(metric_label, ' anomaly — ', dimension_value), concat(period_label, ' ', period, ': observed ',
+  format('{{:,}}', cast(floor(observed + 0.5) as bigint)), ' vs. an expected ~',
+  format('{{:,}}', cast(floor(baseline + 0.5) as bigint)), '.') from h where rn <= 3""", "v_sales", "v_returns")
+
+# ---- cleaning -------------------------------------------------------------------------------------------------------
+
+_NUMBER = r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
+_DATE_FORMATS = "['%Y-%m-%d', '%m/%d/%Y', '%Y/%m/%d', '%b %d, %Y', '%Y-%m-%dT%H:%M:%SZ']"
+# Header each canonical field is read from in the raw feeds; fields without one stay blank.
+HEADERS = {
+    "sales": {"date": "Date", "sku": "SKU", "product": "Product", "region": "Region", "channel": "Channel",
+              "units": "Qty", "unitPrice": "Unit Price", "revenue": "Revenue", "currency": "Curr"},
+    "orders": {"orderId": "OrderID", "orderDate": "Order Date", "customerId": "CustomerID", "channel": "Channel",
+               "region": "Region", "status": "Status", "total": "Total", "currency": "Curr"},
+    "inventory": {"sku": "SKU", "productName": "Product Name", "warehouse": "Warehouse", "onHand": "On Hand",
+                  "reorderPoint": "Reorder Pt", "unitCost": "Unit Cost"},
+    "returns": {"returnId": "ReturnID", "orderId": "OrderID", "sku": "SKU", "returnDate": "Return Date",
+                "reason": "Reason", "units": "Units", "refund": "Refund"},
+}
+
+
+def _coerced(dataset: str) -> str:
+    """CTEs from raw feed to ``c_<dataset>``: typed values, drop flag, counters and copies of every distinct row."""
+    raw_cols = ", ".join(f'"{h}"' for h in HEADERS[dataset].values())
+    texts, values, drops, nulls, bad_ones = [], [], [], [], []
+    for f in FIELDS[dataset]:
+        header = HEADERS[dataset].get(f.key)
+        texts.append(f"""{f"trim(\"{header}\", chr(160) || ' ')" if header else "''"} as "{f.key}" """)
+        col = f'"{f.key}"'
+        bare = f"replace(replace({col}, '$', ''), ',', '')"
+        number = f"case when {bare} = '' then '0' when regexp_full_match({bare}, '{_NUMBER}') then {bare} end"
+        typed = {"string": col, "number": f"try_cast({number} as double)",
+                 "money": f"try_cast({number} as decimal(18,4))",
+                 "date": f"cast(try_strptime({col}, {_DATE_FORMATS}) as date)"}[f.kind]
+        default = {"string": "'Unknown'", "number": "0", "money": "0", "date": "null"}[f.kind]
+        values.append(f"""case when {col} = '' then {default} else coalesce({typed}, {default}) end as "{f.key}" """)
+        wrong = f"({col} <> '' and ({typed}) is null)"
+        if f.required:
+            drops.append(f"{col} = '' or {wrong}")
+        else:
+            nulls.append(f"cast({col} = '' as int)")
+            bad_ones.append(f"cast({wrong} as int)")
+    return f"""r_{dataset} as ({raw_feed_sql(dataset)}),
+ d_{dataset} as (select {raw_cols}, min(_ord) as _ord, count(*) as copies from r_{dataset} group by {raw_cols}),
+ t_{dataset} as (select {', '.join(texts)}, _ord, copies from d_{dataset}),
+ c_{dataset} as (select {', '.join(values)}, _ord, copies, {' or '.join(drops)} as dropped, {' + '.join(nulls)} as nulls,
+  {' + '.join(bad_ones)} as bad from t_{dataset})"""
+
+
+def _counted(dataset: str) -> str:
+    return f"""select '{dataset}' as dataset, cast(sum(copies) as bigint) as total_raw_rows,
+ cast(sum(copies - 1) as bigint) as duplicates_removed, cast(sum(nulls) as bigint) as nulls_handled,
+ count(*) filter (where dropped) as rows_dropped, cast(sum(bad) as bigint) as type_mismatches,
+ count(*) filter (where not dropped) as clean_rows from c_{dataset}"""
+
+
+for _d in FIELDS:
+    ORACLES[f"clean_{_d}"] = with_views(
+        f"""{_coerced(_d)} select * exclude (copies, dropped, nulls, bad) from c_{_d} where not dropped""", f"v_{_d}")
+ORACLES["clean_sales_counts"] = with_views(f"{_coerced('sales')} {_counted('sales')}", "v_sales")
+_EACH = "each as (" + " union all ".join(_counted(d) for d in FIELDS) + ")"
+_TOTAL = ", ".join(f"cast(sum({c}) as bigint)" for c in (
+    "total_raw_rows", "duplicates_removed", "nulls_handled", "rows_dropped", "type_mismatches", "clean_rows"))
+ORACLES["cleaning_totals"] = with_views(
+    ", ".join(_coerced(d) for d in FIELDS) + f", {_EACH} select * from each union all select 'all', {_TOTAL} from each",
+    *(f"v_{d}" for d in FIELDS))
+ORACLES["dedupe_count"] = with_views(
+    f"""r as ({raw_feed_sql('sales')}), u as (select distinct * exclude (_ord) from r)
+ select (select count(*) from r) as total_raw_rows,
+ (select count(*) from r) - (select count(*) from u) as duplicates_removed""", "v_sales")
+
+
+def _blank_rows(dataset: str, columns: dict[str, str], limit: str) -> str:
+    raw_cols = ", ".join(f'"{h}"' for h in HEADERS[dataset].values())
+    arms = " union all ".join(
+        f"""select '{field}' as field, '{header}' as header, count(*) as sampled,
+ count(*) filter (where trim("{header}", chr(160) || ' ') = '') as blank from s""" for field, header in columns.items())
+    return with_views(f"""r as ({raw_feed_sql(dataset)}),
+ s as (select {raw_cols}, min(_ord) as _ord from r group by {raw_cols} {limit}), w as ({arms})
+ select field, header, sampled, blank, case when blank = sampled then concat('Blank in all ', sampled,
+ ' sampled rows — matching rows will be dropped.') else concat('Blank in ', blank, ' of ', sampled,
+ ' sampled rows — those rows will be dropped.') end as warning from w where blank > 0""", f"v_{dataset}")
+
+
+ORACLES["required_blank_warning"] = _blank_rows(
+    "sales", {"date": "Date", "sku": "SKU", "units": "Qty", "revenue": "Revenue"}, "")
+ORACLES["required_blank_sample"] = _blank_rows(
+    "orders", {"orderId": "OrderID", "orderDate": "Order Date", "total": "Total"}, "order by min(_ord) limit 200")
+ORACLES["feed_roundtrip"] = with_views(
+    f"r as ({raw_feed_sql('sales')}) select * exclude (_ord) from r", "v_sales")
+
+# ---- header mapping -------------------------------------------------------------------------------------------------
+
+_FIELD_VALUES = ", ".join(
+    f"('{d}', {i}, '{f.key}', '{f.label}', '{f.kind}', {str(f.required).lower()}, [{', '.join(repr(a) for a in f.aliases)}])"
+    for d, fields in FIELDS.items() for i, f in enumerate(fields))
+_CATALOGUE = f"""cat as ({header_catalogue_sql('duckdb')}),
+ hd as (select feed, dataset, header, min(header_ord) as header_ord,
+  regexp_replace(lower(header), '[^a-z0-9]', '', 'g') as norm,
+  list_has_any(string_split_regex(lower(regexp_replace(header, '([a-z])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+'),
+   ['id', 'no', 'num', 'number', 'code']) as ident from cat group by feed, dataset, header),
+ fl as (select * from (values {_FIELD_VALUES}) as f(dataset, field_ord, field, label, kind, required, aliases)),
+ sc as (select *, kind = 'string' or not ident as ok,
+  list_max(list_transform(aliases, lambda a: 1 - levenshtein(norm, a) / cast(greatest(length(norm), length(a)) as double)))
+  as sim from hd join fl using (dataset)),
+ cd as (select feed, dataset, field_ord, field, header_ord, header,
+  case when list_contains(aliases, norm) then 1
+   when ok and len(list_filter(aliases, lambda a: contains(norm, a))) > 0 then 2 else 3 end as stage, sim, ok from sc),
+ cand as (select feed, dataset, field_ord, field, header_ord, header, stage,
+  case when stage = 3 then sim else 1.0 end as score from cd where stage < 3 or (ok and sim >= 0.8))"""
+ORACLES["header_candidates"] = (
+    f"with {_CATALOGUE} select feed, dataset, field_ord, field, header_ord, header, stage, round(score, 6) as score from cand")
+
+
+def _greedy(pinned: bool, tag: str) -> str:
+    """One step per field position: the best candidate not used yet, in feeds that have a field there."""
+    pin = "feed_no % 3 = 0 and has_sku" if pinned else "false"
+    clear = "feed_no % 5 = 0" if pinned else "false"
+    out = [f"""{tag}_feeds as (select c.feed, c.dataset, cast(c.feed as bigint) as feed_no, c.dataset <> 'orders' as has_sku,
+ min(case when header_ord = 0 then header end) as first_header from cat c group by c.feed, c.dataset),
+ {tag}_s0 as (select *, case when {pin} then [first_header] else cast([] as varchar[]) end as used from {tag}_feeds)"""]
+    steps = max(len(f) for f in FIELDS.values())
+    for i in range(steps):
+        out.append(f"""{tag}_p{i} as (select s.feed, s.dataset, s.feed_no, s.has_sku, s.first_header, s.used, f.field,
+  arg_min(c.header, row(c.stage, -c.score, c.header_ord)) as free_header,
+  arg_min(c.stage, row(c.stage, -c.score, c.header_ord)) as free_stage
+  from {tag}_s{i} s left join fl f on f.dataset = s.dataset and f.field_ord = {i}
+  left join cand c on c.feed = s.feed and c.field_ord = {i} and not list_contains(s.used, c.header)
+  group by all),
+ {tag}_c{i} as (select feed, dataset, feed_no, has_sku, first_header, used, field,
+  case when {pin} and field = 'sku' then first_header when {clear} and field = 'currency' then null
+   else free_header end as header,
+  case when {pin} and field = 'sku' then 'manual' when {clear} and field = 'currency' then 'none'
+   when free_header is null then 'none' when free_stage = 1 then 'exact' else 'fuzzy' end as match_type from {tag}_p{i}),
+ {tag}_s{i + 1} as (select feed, dataset, feed_no, has_sku, first_header,
+  case when header is null then used else list_append(used, header) end as used from {tag}_c{i})""")
+    union = " union all ".join(
+        f"select feed, dataset, {i} as field_ord, field, header, match_type from {tag}_c{i} where field is not null"
+        for i in range(steps))
+    return ", ".join(out) + f", {tag} as ({union})"
+
+
+ORACLES["header_mapping"] = f"with {_CATALOGUE}, {_greedy(False, 'auto')} select * from auto"
+ORACLES["header_mapping_pinned"] = f"with {_CATALOGUE}, {_greedy(True, 'pins')} select * from pins"
+ORACLES["mapping_report"] = f"""with {_CATALOGUE}, {_greedy(False, 'auto')}
+ select feed, dataset, 'unmapped header' as issue, header_ord as ord, header as name from cat
+ where not exists (select 1 from auto where auto.feed = cat.feed and auto.header = cat.header)
+ union all select feed, dataset, 'missing required field', auto.field_ord, label from auto
+ join fl using (dataset, field) where required and header is null"""
+ORACLES["override_diff"] = f"""with {_CATALOGUE}, {_greedy(False, 'auto')}, {_greedy(True, 'pins')}
+ select feed, count(*) filter (where auto.header is distinct from pins.header) as adjusted
+ from auto join pins using (feed, field) group by feed"""
+
+# ---- text -----------------------------------------------------------------------------------------------------------
+
+_BLANKS = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ' || chr(160)"
+ORACLES["note_lines"] = f"""with l as (select doc_id, string_split(text, chr(10)) as parts from documents),
+ n as (select doc_id, unnest(range(len(parts))) as line_no, unnest(parts) as raw from l),
+ s as (select doc_id, cast(line_no as int) as line_no,
+  trim(ltrim(raw, '-*0123456789.)' || {_BLANKS}), {_BLANKS}) as line from n) select * from s where line <> ''"""
+
+ORACLES["summary_coercion"] = f"""with d as (select doc_id, doc_id % 7 as kind, source, lang,
+  string_split(text, chr(10)) as lines from documents),
+ b as (select *, list_filter(lines, lambda x: trim(x, {_BLANKS}) <> '') as kept from d),
+ e as (select doc_id, kind, lines, case when kind = 6 or kind = 5 then '' else concat('About ', source) end as headline,
+  case when kind in (3, 6) or len(kept) = 0 then 0 else 1 end as n_sections,
+  case when kind in (3, 6) then 0 else len(kept) end as n_bullets,
+  case when kind in (3, 6) then 0 else coalesce(list_sum(list_transform(kept, lambda x: length(x))), 0) end as bullet_chars,
+  case when kind in (4, 6) then 0 else 1 end as n_recommendations, lang from b)
+ select doc_id, headline, n_sections, n_bullets, bullet_chars, n_recommendations,
+  case when n_recommendations > 0 then lang end as title, case when n_recommendations > 0 then lines[1] end as detail,
+  case when n_recommendations > 0 then case when doc_id % 2 = 0 then 'revenue' else '' end end as related_kpi,
+  headline <> '' and n_sections > 0 and n_recommendations > 0 as usable from e"""

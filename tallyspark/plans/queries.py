@@ -8,9 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import dates
 from ..operators import anomalies as an
-from ..operators import crossref, currency, kpi, performers, risks
-from ..sources import star
+from ..operators import cleaning, crossref, currency, kpi, mapping, performers, ranges, responses, risks, scoping
+from ..sources import feeds, sinks, star
+from ..spark_tools import scratch_path
+from .rawfeeds import header_catalogue, raw_feed
 
 Query = Callable[[SparkSession, str], DataFrame]
 CURRENCY = ("currency",)
@@ -234,3 +237,292 @@ def xref_returns_orders(spark, sf_dir):
 def xref_returns_sales(spark, sf_dir):
     kept = star.sales(spark, sf_dir, ["sku", "date"]).filter(F.col("date") < F.lit(dt.date(1996, 1, 1)))
     return crossref.match_counts(star.returns(spark, sf_dir, ["sku"]), kept, "sku")
+
+
+# ---- ranking, scoping and drill-down of anomalies -------------------------------------------------------------------
+
+def _currency_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All detectors at standard sensitivity within each currency."""
+    sales = star.sales(spark, sf_dir, ["date", "sku", "region", "units", "revenue", "currency"])
+    returns = star.returns(spark, sf_dir, ["returnDate", "sku", "units", "currency"])
+    return an.detect_anomalies(sales, returns, by=CURRENCY)
+
+
+@query
+def anomalies_ranked(spark, sf_dir):
+    return _rounded(an.ranked(_currency_anomalies(spark, sf_dir)), *_FLOATS).drop("detector_ord")
+
+
+@query
+def anomalies_in_range(spark, sf_dir):
+    return _rounded(an.overlapping(_currency_anomalies(spark, sf_dir), SPAN), *_FLOATS).drop("detector_ord")
+
+
+@query
+def anomalies_all_presets(spark, sf_dir):
+    """Every sensitivity of every detector, each series scored once."""
+    sales = star.sales(spark, sf_dir, ["date", "sku", "units"])
+    regional = star.sales(spark, sf_dir, ["date", "region", "revenue", "currency"])
+    weeks = an.sku_week_units(sales)
+    z = an.zscore_outliers(weeks, an.THRESHOLDS["zscore"], "sku", "week", an.WEEKLY_UNITS)
+    q = an.iqr_outliers(weeks, an.THRESHOLDS["iqr"], "sku", "week", an.WEEKLY_UNITS)
+    r = an.region_revenue_anomalies(regional, an.THRESHOLDS["rolling-baseline"], by=CURRENCY)
+    return _rounded(r.unionByName(z, allowMissingColumns=True).unionByName(q, allowMissingColumns=True), *_FLOATS)
+
+
+def _strongest_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = an.sku_unit_anomalies(_unit_sales(spark, sf_dir), "zscore", 2.5).withColumn("detector_ord", F.lit(0))
+    return an.strongest(found, 12)
+
+
+@query
+def anomalies_strongest(spark, sf_dir):
+    return _rounded(_strongest_weeks(spark, sf_dir), *_FLOATS).select("rank", "id", "deviation", "severity")
+
+
+@query
+def anomaly_drilldown(spark, sf_dir):
+    source = star.sales(spark, sf_dir, ["date", "sku", "channel", "units", "revenue"], order=True)
+    return an.drill_down(source, "date", "week", "sku", _strongest_weeks(spark, sf_dir),
+                         ["date", "sku", "channel", "units", "revenue"])
+
+
+@query
+def trend_with_markers(spark, sf_dir):
+    sales = star.sales(spark, sf_dir, ["date", "region", "revenue", "currency"])
+    marks = an.region_revenue_anomalies(sales, 0.25, by=CURRENCY)
+    trend = an.trend_with_markers(kpi.monthly_revenue(sales, CURRENCY), marks, SPAN, CURRENCY)
+    return _rounded(trend, "anomaly_deviation")
+
+
+@query
+def anomaly_pick_by_metric(spark, sf_dir):
+    picked = an.pick_by_metric(_currency_anomalies(spark, sf_dir), CURRENCY)
+    return _rounded(picked, *_FLOATS).select("currency", "pick", "metric_label", "id", "deviation")
+
+
+# ---- ranges and scope filters ---------------------------------------------------------------------------------------
+
+@query
+def date_bounds(spark, sf_dir):
+    return ranges.date_bounds(star.sales(spark, sf_dir, ["date"]))
+
+
+@query
+def range_presets(spark, sf_dir):
+    return ranges.range_presets(ranges.date_bounds(star.sales(spark, sf_dir, ["date"])))
+
+
+@query
+def scoped_sales(spark, sf_dir):
+    sales = star.sales(spark, sf_dir)
+    return scoping.in_currency(scoping.in_channel(scoping.in_range(sales, "date", SPAN), "1-URGENT"), "INR")
+
+
+@query
+def sales_in_quarter(spark, sf_dir):
+    sales = star.sales(spark, sf_dir, ["date", "sku", "region", "units", "currency"])
+    return scoping.in_quarter(sales, "date", dt.date(2000, 8, 1))
+
+
+@query
+def period_keys(spark, sf_dir):
+    """Calendar keys and neighbours of every sales day, with the rows that fall on it."""
+    d = F.col("date")
+    month, quarter = dates.month_start(d), dates.quarter_start(d)
+    before = dates.previous_range(month, d)
+    return star.sales(spark, sf_dir, ["date"]).groupBy("date").agg(F.count(F.lit(1)).alias("n_rows")).select(
+        "date", "n_rows", dates.month_key(d).alias("month"), dates.quarter_key(d).alias("quarter"),
+        dates.week_key(d).alias("week"), dates.month_end(d).alias("month_end"),
+        dates.month_key(dates.shift_month(month, -1)).alias("month_before"),
+        dates.quarter_key(dates.shift_quarter(quarter, -1)).alias("quarter_before"),
+        before[0].alias("previous_start"), before[1].alias("previous_end"),
+        dates.month_label(d).alias("month_label"), dates.range_label(month, d).alias("range_label"))
+
+
+# ---- inventory and risks --------------------------------------------------------------------------------------------
+
+@query
+def inventory_risk(spark, sf_dir):
+    return risks.inventory_risk(star.inventory(spark, sf_dir, order=True)).drop("_ord")
+
+
+@query
+def inventory_worst_gaps(spark, sf_dir):
+    return risks.worst_gaps(star.inventory(spark, sf_dir, order=True)).drop("_ord")
+
+
+@query
+def stockout_risks(spark, sf_dir):
+    return risks.stockout_risks(star.inventory(spark, sf_dir, order=True))
+
+
+def _eur(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    sales = star.sales(spark, sf_dir, ["date", "sku", "region", "units", "revenue", "currency"])
+    returns = star.returns(spark, sf_dir, ["returnDate", "sku", "units", "currency"])
+    return (scoping.in_currency(sales, "EUR").drop("currency"), scoping.in_currency(returns, "EUR").drop("currency"))
+
+
+@query
+def risk_flags(spark, sf_dir):
+    sales, returns = _eur(spark, sf_dir)
+    return risks.risk_flags(
+        star.inventory(spark, sf_dir, order=True), performers.performers_latest_month(sales, "sku"),
+        performers.performers_latest_month(sales, "region"), an.detect_anomalies(sales, returns))
+
+
+@query
+def risk_rules(spark, sf_dir):
+    """The rules behind the stockouts, per currency and against the range before."""
+    sales = star.sales(spark, sf_dir, ["date", "sku", "region", "revenue", "currency"])
+    growth = risks.growth_opportunity(performers.performers_in_range(sales, "sku", SPAN, CURRENCY), CURRENCY)
+    decline = risks.declining_region(performers.performers_latest_month(sales, "region", CURRENCY), CURRENCY)
+    flags = risks.high_anomaly_flags(_currency_anomalies(spark, sf_dir), by=CURRENCY).drop("within_ord")
+    return growth.unionByName(decline).unionByName(flags)
+
+
+# ---- cleaning -------------------------------------------------------------------------------------------------------
+
+@query
+def clean_sales(spark, sf_dir):
+    return cleaning.clean(raw_feed(spark, sf_dir, "sales"), "sales").rows
+
+
+@query
+def clean_orders(spark, sf_dir):
+    return cleaning.clean(raw_feed(spark, sf_dir, "orders"), "orders").rows
+
+
+@query
+def clean_inventory(spark, sf_dir):
+    return cleaning.clean(raw_feed(spark, sf_dir, "inventory"), "inventory").rows
+
+
+@query
+def clean_returns(spark, sf_dir):
+    return cleaning.clean(raw_feed(spark, sf_dir, "returns"), "returns").rows
+
+
+@query
+def clean_sales_counts(spark, sf_dir):
+    return cleaning.clean(raw_feed(spark, sf_dir, "sales"), "sales").counts
+
+
+@query
+def cleaning_totals(spark, sf_dir):
+    return cleaning.cleaning_totals(
+        *(cleaning.clean(raw_feed(spark, sf_dir, d), d).counts for d in ("sales", "orders", "inventory", "returns")))
+
+
+@query
+def dedupe_count(spark, sf_dir):
+    return cleaning.duplicates_removed(raw_feed(spark, sf_dir, "sales"))
+
+
+@query
+def required_blank_warning(spark, sf_dir):
+    deduped = cleaning.dedupe(raw_feed(spark, sf_dir, "sales"))
+    mapping = {"date": "Date", "sku": "SKU", "units": "Qty", "revenue": "Revenue"}
+    return cleaning.required_blank_warning(deduped, "sales", mapping, sample=None)
+
+
+@query
+def required_blank_sample(spark, sf_dir):
+    deduped = cleaning.dedupe(raw_feed(spark, sf_dir, "orders"))
+    mapping = {"orderId": "OrderID", "orderDate": "Order Date", "total": "Total"}
+    return cleaning.required_blank_warning(deduped, "orders", mapping)
+
+
+@query
+def feed_roundtrip(spark, sf_dir):
+    """The raw sales feed written as CSV and read back as text."""
+    path = scratch_path(spark, "feed") + ".csv"
+    sinks.write_table(raw_feed(spark, sf_dir, "sales", order=False), path, "csv")
+    return feeds.read_feed(spark, path).drop("_ord")
+
+
+# ---- header mapping -------------------------------------------------------------------------------------------------
+
+@query
+def header_candidates(spark, sf_dir):
+    catalogue = header_catalogue(spark, sf_dir)
+    distinct = catalogue.groupBy("feed", "dataset", "header").agg(F.min("header_ord").alias("header_ord"))
+    return _rounded(mapping.header_candidates(distinct), "score")
+
+
+@query
+def header_mapping(spark, sf_dir):
+    return mapping.assign_headers(header_catalogue(spark, sf_dir))
+
+
+def _pins(catalogue: DataFrame) -> DataFrame:
+    """Every third feed pins its SKU to its first header; every fifth clears its currency."""
+    feed = F.col("feed").cast("bigint")
+    first = catalogue.filter(F.col("header_ord") == 0)
+    pinned = first.filter(feed % 3 == 0).select("feed", F.lit("sku").alias("field"), "header")
+    cleared = first.filter(feed % 5 == 0).select("feed", F.lit("currency").alias("field"),
+                                                 F.lit(None).cast("string").alias("header"))
+    return pinned.unionByName(cleared)
+
+
+@query
+def header_mapping_pinned(spark, sf_dir):
+    catalogue = header_catalogue(spark, sf_dir)
+    return mapping.assign_headers(catalogue, _pins(catalogue))
+
+
+@query
+def mapping_report(spark, sf_dir):
+    catalogue = header_catalogue(spark, sf_dir)
+    return mapping.mapping_report(catalogue, mapping.assign_headers(catalogue))
+
+
+@query
+def override_diff(spark, sf_dir):
+    catalogue = header_catalogue(spark, sf_dir)
+    return mapping.override_diff(mapping.assign_headers(catalogue), mapping.assign_headers(catalogue, _pins(catalogue)))
+
+
+# ---- text -----------------------------------------------------------------------------------------------------------
+
+@query
+def note_lines(spark, sf_dir):
+    return responses.note_lines(star.table(spark, sf_dir, "documents"), "text", ["doc_id"])
+
+
+def _stored_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One JSON response per document, in turn well-formed, double-encoded, with broken parts, or not an object."""
+    lines = F.split("text", "\n")
+    bullets = F.concat(lines, F.array(F.lit("  ")))
+    head = F.concat(F.lit("About "), F.col("source"))
+    sections = F.array(F.struct(F.lit("Findings").alias("heading"), bullets.alias("bullets")),
+                       F.struct(F.lit("Blank").alias("heading"), F.array(F.lit(" ")).alias("bullets")))
+    encoded = F.array(F.struct(F.lit("Findings").alias("heading"), F.to_json(bullets).alias("bullets")))
+    advice = F.array(F.struct(F.col("lang").alias("title"), F.element_at(lines, 1).alias("detail"),
+                              F.when(F.col("doc_id") % 2 == 0, "revenue").alias("relatedKpi")))
+    untitled = F.array(F.struct(F.lit("no title").alias("detail")))
+    kind = F.col("doc_id") % 7
+
+    def doc(s, r, h=head):
+        return F.to_json(F.struct(h.alias("headline"), s.alias("sections"), r.alias("recommendations")))
+
+    response = (
+        F.when(kind == 0, doc(sections, advice)).when(kind == 1, doc(F.to_json(sections), F.to_json(advice)))
+        .when(kind == 2, doc(encoded, advice)).when(kind == 3, doc(F.lit("[{broken"), advice))
+        .when(kind == 4, doc(sections, untitled)).when(kind == 5, doc(sections, advice, F.lit(7)))
+        .otherwise(F.to_json(lines))
+    )
+    return star.table(spark, sf_dir, "documents").select("doc_id", response.alias("response"))
+
+
+@query
+def summary_coercion(spark, sf_dir):
+    found = responses.coerce_summaries(_stored_responses(spark, sf_dir), "response")
+    size = F.aggregate("sections", F.lit(0), lambda n, s: n + F.size(s["bullets"]))
+    chars = F.aggregate("sections", F.lit(0).cast("bigint"), lambda n, s: n + F.aggregate(
+        s["bullets"], F.lit(0).cast("bigint"), lambda m, b: m + F.length(b)))
+    first = F.get("recommendations", F.lit(0))
+    return found.select("doc_id", "headline", F.size("sections").alias("n_sections"), size.alias("n_bullets"),
+                        chars.alias("bullet_chars"), F.size("recommendations").alias("n_recommendations"),
+                        first["title"].alias("title"), first["detail"].alias("detail"),
+                        first["relatedKpi"].alias("related_kpi"), "usable")

@@ -55,8 +55,9 @@ def compare(spark, con, name: str, query, sql: str, sf_dir: str) -> str | None:
     want = sorted(tuple(_cell(r[at[c]]) for c in names) for r in cur.fetchall())
     if rows == want:
         return None
-    missing = [r for r in want if r not in set(rows)][:3]
-    extra = [r for r in rows if r not in set(want)][:3]
+    have, need = set(rows), set(want)
+    missing = [r for r in want if r not in have][:3]
+    extra = [r for r in rows if r not in need][:3]
     return f"{len(rows)} vs {len(want)} rows\n  names {names}\n  only oracle {missing}\n  only spark {extra}"
 
 
