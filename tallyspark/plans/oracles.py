@@ -606,3 +606,80 @@ ORACLES["summary_coercion"] = f"""with d as (select doc_id, doc_id % 7 as kind,
   case when n_recommendations > 0 then lang end as title, case when n_recommendations > 0 then lines[1] end as detail,
   case when n_recommendations > 0 then case when doc_id % 2 = 0 then 'revenue' else '' end end as related_kpi,
   headline <> '' and n_sections > 0 and n_recommendations > 0 as usable from e"""
+
+# ---- formatted tables and whole reports -----------------------------------------------------------------------------
+
+
+def _grouped(x: str) -> str:
+    return f"format('{{:,}}', cast(floor({x} + 0.5) as bigint))"
+
+
+def _percent(x: str) -> str:
+    return f"concat(printf('%.1f', {x} * 100), '%')"
+
+
+def _delta_text(x: str) -> str:
+    return f"case when {x} is null then 'N/A' when {x} > 0 then concat('+', {_percent(x)}) else {_percent(x)} end"
+
+
+ORACLES["kpi_formatted"] = with_views(
+    kpi_trend_ctes().replace("round(", "(").replace(", 6)", ")") + f"""
+ select currency, label, case when current is null then '—'
+  when format = 'currency' then concat(case currency when 'USD' then '$' when 'EUR' then '€' else '₹' end,
+   {_grouped('current')}) when format = 'percent' then {_percent('current')} else {_grouped('current')} end as current_text,
+ {_delta_text('mom')} as mom_text, {_delta_text('qoq')} as qoq_text, {_delta_text('yoy')} as yoy_text,
+ case when kpi <> 'avgMargin' and mom is null then 'No prior-period data in your upload to compare against.' end as caveat,
+ case when mom is null or mom = 0 then 'neutral' when (mom > 0) = (kpi <> 'returnRate') then 'good' else 'bad' end
+  as polarity from kpis""", "v_sales", "v_orders", "v_returns", "v_inventory")
+
+_UNROUNDED = _ALL.replace("round(value, 6)", "value").replace("round(m, 6)", "m").replace("round(z, 6)", "z").replace(
+    "round(base, 6)", "base").replace("round(dev, 6)", "dev")
+ORACLES["anomaly_captions"] = with_views(
+    _UNROUNDED + f""" select currency, id, case method when 'zscore' then concat('z = ', printf('%.1f', deviation))
+  else concat(case when deviation > 0 then '+' else '' end, printf('%.0f', deviation * 100), '% vs. trailing avg') end
+  as deviation_text, case method when 'zscore' then 'z-score method, threshold 2.5'
+  else 'rolling 3-month baseline, threshold 25%' end as method_text,
+ {_grouped('observed')} as observed_text, {_grouped('baseline')} as baseline_text from found""", "v_sales", "v_returns")
+
+ORACLES["report_labels"] = with_views(
+    """best as (select currency from v_sales group by 1 order by count(*) desc, min(_ord) limit 1),
+ a as (select max(date) as hi from v_sales join best using (currency))
+ select strftime(hi, '%b %Y') as period_label, 'MoM' as comparison_label, strftime(hi, '%Y-%m') as anchor_month,
+ currency as effective_currency, (select count(distinct currency) from v_sales) > 1 as several_currencies
+ from a, best""", "v_sales")
+
+_SCOPED = "currency = 'INR' and channel = '2-HIGH'"
+
+
+def _scoped_sums(tag: str, span: tuple[str, str]) -> str:
+    return f"""{tag} as (select cast(sum(revenue) as double) as revenue, sum(units) as units, count(*) as n,
+ (select cast(count(*) as double) from v_orders {_between('orderDate', *span)} and {_SCOPED}) as orders,
+ cast(sum(revenue) - sum(cast(units as decimal(18,4)) * unitCost) as double) / cast(sum(revenue) as double) as avgMargin
+ from v_sales left join costs using (sku) {_between('date', *span)} and {_SCOPED})"""
+
+
+ORACLES["report_channel_kpis"] = with_views(
+    f"{_COST}, {_scoped_sums('cur', _R)}, {_scoped_sums('prev', _P)}, k as (" + " union all ".join(
+        f"select '{k}' as kpi, round(cur.{k}, 6) as current, round((cur.{k} - prev.{k}) / prev.{k}, 6) as mom from cur, prev"
+        for k in ("revenue", "units", "orders", "avgMargin")) + """
+ union all select 'returnRate', null, null)
+ select kpi, current, mom, case when kpi = 'returnRate' then concat('Your Returns data isn''t tagged by channel, so ',
+ 'return rate can''t be scoped to "2-HIGH" — it would wrongly divide all-channel returns by one channel''s units.') end
+ as caveat, case when mom is null or mom = 0 then 'neutral' when mom > 0 then 'good' else 'bad' end as polarity from k""",
+    "v_sales", "v_orders", "v_inventory")
+
+ORACLES["report_bundle"] = with_views(
+    f"""best as (select currency from v_sales group by 1 order by count(*) desc, min(_ord) limit 1),
+ mo as (select date_trunc('month', max(date)) as m from v_sales join best using (currency)),
+ p as (select count(distinct sku) as n from v_sales join best using (currency), mo
+  where date_trunc('month', date) in (m, m - interval 1 month)),
+ {_CWEEKS}, {_CRETURNS}, {_REGION_MONTHS}, f as (
+  select count(*) as n from (select id from ({zscore_sql('cw', 'week', *_W, by=_BY_CURRENCY)}) join best using (currency)
+  union all select id from ({zscore_sql('cr', 'month', *_M, by=_BY_CURRENCY)}) join best using (currency)
+  union all select id from ({rolling_sql('gm')}) join best using (currency)))
+ select 'summary' as section, 6 as n_rows union all select 'kpis', 5 union all select 'risks', 6
+ union all select 'anomalies', least(n, 15) from f
+ union all select 'top_performers', least(n, 5) from p union all select 'bottom_performers', least(n, 5) from p
+ union all select 'dataset_sales', count(*) from v_sales union all select 'dataset_orders', count(*) from v_orders
+ union all select 'dataset_inventory', count(*) from v_inventory
+ union all select 'dataset_returns', count(*) from v_returns""", "v_sales", "v_orders", "v_inventory", "v_returns")

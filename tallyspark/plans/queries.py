@@ -8,11 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dates
+from ..functions import dates, fmt
 from ..operators import anomalies as an
 from ..operators import cleaning, crossref, currency, kpi, mapping, performers, ranges, responses, risks, scoping
-from ..sources import feeds, sinks, star
+from ..sources import feeds, sinks, star, synthetic
 from ..spark_tools import scratch_path
+from . import report
 from .rawfeeds import header_catalogue, raw_feed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -526,3 +527,81 @@ def summary_coercion(spark, sf_dir):
                         chars.alias("bullet_chars"), F.size("recommendations").alias("n_recommendations"),
                         first["title"].alias("title"), first["detail"].alias("detail"),
                         first["relatedKpi"].alias("related_kpi"), "usable")
+
+
+# ---- formatted tables, whole reports, synthetic feeds ---------------------------------------------------------------
+
+@query
+def kpi_formatted(spark, sf_dir):
+    """KPI cards as printed, with caveat and polarity, each amount in its own currency."""
+    rows = report.kpi_captions(kpi.kpi_trend(*_kpi_inputs(spark, sf_dir), by=CURRENCY), True, True, True, None)
+    return report.format_kpis(rows, F.col("currency")).select(
+        "currency", "label", "current_text", "mom_text", "qoq_text", "yoy_text", "caveat", "polarity")
+
+
+@query
+def anomaly_captions(spark, sf_dir):
+    """Deviation and method of every anomaly as printed."""
+    return _currency_anomalies(spark, sf_dir).select(
+        "currency", "id", fmt.format_deviation(F.col("method"), F.col("deviation")).alias("deviation_text"),
+        fmt.format_method(F.col("method"), F.col("threshold")).alias("method_text"),
+        fmt.format_number(F.col("observed")).alias("observed_text"),
+        fmt.format_number(F.col("baseline")).alias("baseline_text"))
+
+
+def _feeds(spark: SparkSession, sf_dir: str) -> report.Feeds:
+    return {"sales": star.sales(spark, sf_dir, order=True), "orders": star.orders(spark, sf_dir, order=True),
+            "inventory": star.inventory(spark, sf_dir, order=True), "returns": star.returns(spark, sf_dir, order=True)}
+
+
+@query
+def report_labels(spark, sf_dir):
+    labels = report.build_report(_feeds(spark, sf_dir))["labels"]
+    return labels.select("period_label", "comparison_label", "anchor_month", "effective_currency", "several_currencies")
+
+
+@query
+def report_channel_kpis(spark, sf_dir):
+    """KPIs of a range under a channel and a chosen currency; the return rate is withheld."""
+    scope = report.ReportScope(span=SPAN, channel="2-HIGH", currency="INR")
+    kpis = report.build_report(_feeds(spark, sf_dir), scope)["kpis"]
+    return _rounded(kpis, "current", "mom").select("kpi", "current", "mom", "caveat", "polarity")
+
+
+@query
+def report_context(spark, sf_dir):
+    built = report.build_report(_feeds(spark, sf_dir), stage=True)
+    return report.report_context(built, ["Restock the best seller"], ["Spring promotion in May"])
+
+
+@query
+def report_bundle(spark, sf_dir):
+    """Every export table written out and counted from disk."""
+    feeds_ = _feeds(spark, sf_dir)
+    tables = report.export_tables(report.build_report(feeds_, stage=True), feeds_, notes=["Spring promotion in May"])
+    written = sinks.write_bundle(tables, scratch_path(spark, "bundle"))
+    counted = None
+    for name, path in written.items():
+        row = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("section"), "n_rows")
+        counted = row if counted is None else counted.unionByName(row)
+    return counted
+
+
+def _catalogue(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    part = star.table(spark, sf_dir, "part")
+    products = part.select(
+        (F.col("p_partkey") - 1).alias("pick"), F.col("p_partkey").cast("string").alias("sku"),
+        F.col("p_name").alias("name"), F.col("p_retailprice").alias("price"),
+        (F.col("p_retailprice") * 0.6).alias("cost"))
+    regions = star.table(spark, sf_dir, "region").select(
+        F.col("r_name").alias("region"), (0.75 + 0.1 * F.col("r_regionkey")).alias("weight"))
+    return products, regions
+
+
+@query
+def synthetic_feed(spark, sf_dir):
+    """A dirty sales feed over the table's own parts and regions, with volume in step with the number of parts."""
+    products, regions = _catalogue(spark, sf_dir)
+    lines = synthetic.sales_lines(products, regions, dt.date(2025, 4, 1), dt.date(2026, 6, 30),
+                                  base=products.count() / 100)
+    return synthetic.dirty_feed(lines.drop("t"), "sales")

@@ -25,6 +25,7 @@ from ..operators.ranges import date_bounds
 from ..operators.ranking import top_k
 from ..operators.scoping import DateRange, in_channel, in_currency, in_range, month_span
 from ..sources.schema import DATASET_LABELS, DATE_COLUMN
+from ..spark_tools import scratch_path
 
 Feeds = dict[str, DataFrame | None]
 Report = dict[str, DataFrame]
@@ -138,8 +139,19 @@ def format_kpis(rows: DataFrame, code: Column) -> DataFrame:
 
 
 def build_report(feeds: Feeds, scope: ReportScope = ReportScope(), method: str = "zscore",
-                 sensitivity: str = "standard", unit_cost_mapped: bool = True) -> Report:
-    """All report tables of one scope. Trend and anomalies use full history; KPIs and rankings the chosen range."""
+                 sensitivity: str = "standard", unit_cost_mapped: bool = True, stage: bool = False) -> Report:
+    """All report tables of one scope. Trend and anomalies use full history; KPIs and rankings the chosen range.
+
+    Several tables are made of the same anomalies and rankings. With ``stage`` those are written once to the shared
+    scratch folder and read back, so that writing the whole report scans each feed once per shared table.
+    """
+    def shared(df: DataFrame, name: str) -> DataFrame:
+        if not stage:
+            return df
+        path = scratch_path(df.sparkSession, f"report-{name}")
+        df.write.parquet(path)
+        return df.sparkSession.read.parquet(path)
+
     where = resolve_scope(feeds, scope)
     span, channel = scope.span, where.channel
     full = _windowed(feeds, None, channel)
@@ -154,16 +166,18 @@ def build_report(feeds: Feeds, scope: ReportScope = ReportScope(), method: str =
         kpis = without_return_rate(kpis)
     kpis = kpi_captions(kpis, orders is not None, returns is not None, unit_cost is not None, channel)
 
-    found = an.overlapping(an.detect_anomalies(sales, returns, method, sensitivity), span)
+    kpis = shared(kpis, "kpis")
+    found = shared(an.overlapping(an.detect_anomalies(sales, returns, method, sensitivity), span), "anomalies")
     ranking = {}
     for dim in ("sku", "region", "channel"):
         if span:
             ranking[dim] = performers.performers_in_range(sales, dim, span)
         else:
             ranking[dim] = performers.performers_in_month(sales, dim, where.anchor or dt.date(1970, 1, 1))
+        ranking[dim] = shared(ranking[dim], f"performers-{dim}")
 
     visible = _windowed(feeds, where.display, channel)
-    trend = kpi.monthly_revenue(sales)
+    trend = shared(kpi.monthly_revenue(sales), "trend")
     report = {
         "bounds": date_bounds(feeds["sales"]),
         "kpis": kpis,
