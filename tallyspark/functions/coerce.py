@@ -18,10 +18,12 @@ BLANK_CHARS = (
 NUMBER_PATTERN = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 _TIME = r"(?:[T ]+\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:\s*[AaPp][Mm])?)?"
-_ISO = rf"^(\d{{4}})[-/](\d{{1,2}})[-/](\d{{1,2}}){_TIME}$"
-_ISO_ZONED = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:Z|[+-]\d{2}:?\d{2})$"
-_ISO_MONTH = r"^(\d{4})(?:-(\d{1,2}))?$"
-_US = rf"^(\d{{1,2}})[-/](\d{{1,2}})[-/](\d{{4}}){_TIME}$"
+_YMD_FIXED = rf"^\d{{4}}[-/]\d{{2}}[-/]\d{{2}}{_TIME}$"
+_MDY_FIXED = rf"^\d{{2}}[-/]\d{{2}}[-/]\d{{4}}{_TIME}$"
+_YMD = rf"^(\d{{4}})[-/](\d{{1,2}})[-/](\d{{1,2}}){_TIME}$"
+_MDY = rf"^(\d{{1,2}})[-/](\d{{1,2}})[-/](\d{{4}}){_TIME}$"
+_ZONED = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:Z|[+-]\d{2}:?\d{2})$"
+_YEAR_MONTH = r"^(\d{4})(?:-(\d{1,2}))?$"
 _MONTHS = "jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"
 _WEEKDAY = r"(?:[A-Za-z]{3,9},?\s+)?"
 _MONTH_FIRST = rf"(?i)^{_WEEKDAY}({_MONTHS})[a-z]*\.?\s+(\d{{1,2}}),?\s+(\d{{4}}){_TIME}$"
@@ -60,15 +62,18 @@ def _month_number(name: Column) -> Column:
 
 
 def parse_day(c: Column) -> Column:
-    """Day of a date cell. The common ISO spelling is tested first; zoned instants are read as their UTC day."""
-    zoned = c.try_cast("timestamp")
-    utc_day = F.to_utc_timestamp(zoned, F.current_timezone()).cast("date")
+    """Day of a date cell. The two fixed-width spellings come first and are cut by position, which is most of any feed;
+    zoned instants are read as their UTC day."""
+    utc_day = F.to_utc_timestamp(c.try_cast("timestamp"), F.current_timezone()).cast("date")
+    mdy_fixed = F.concat(F.substring(c, 7, 4), F.lit("-"), F.substring(c, 1, 2), F.lit("-"), F.substring(c, 4, 2))
+    month = F.coalesce(F.nullif(_part(c, _YEAR_MONTH, 2), F.lit("")), F.lit("1"))
     return (
-        F.when(c.rlike(_ISO), _ymd(_part(c, _ISO, 1), _part(c, _ISO, 2), _part(c, _ISO, 3)))
-        .when(c.rlike(_US), _ymd(_part(c, _US, 3), _part(c, _US, 1), _part(c, _US, 2)))
-        .when(c.rlike(_ISO_ZONED), utc_day)
-        .when(c.rlike(_ISO_MONTH), _ymd(_part(c, _ISO_MONTH, 1),
-                                        F.coalesce(F.nullif(_part(c, _ISO_MONTH, 2), F.lit("")), F.lit("1")), F.lit("1")))
+        F.when(c.rlike(_YMD_FIXED), F.translate(F.substring(c, 1, 10), "/", "-").try_cast("date"))
+        .when(c.rlike(_MDY_FIXED), mdy_fixed.try_cast("date"))
+        .when(c.rlike(_ZONED), utc_day)
+        .when(c.rlike(_YMD), _ymd(_part(c, _YMD, 1), _part(c, _YMD, 2), _part(c, _YMD, 3)))
+        .when(c.rlike(_MDY), _ymd(_part(c, _MDY, 3), _part(c, _MDY, 1), _part(c, _MDY, 2)))
+        .when(c.rlike(_YEAR_MONTH), _ymd(_part(c, _YEAR_MONTH, 1), month, F.lit("1")))
         .when(c.rlike(_MONTH_FIRST), _ymd(_part(c, _MONTH_FIRST, 3), _month_number(_part(c, _MONTH_FIRST, 1)),
                                           _part(c, _MONTH_FIRST, 2)))
         .when(c.rlike(_DAY_FIRST), _ymd(_part(c, _DAY_FIRST, 3), _month_number(_part(c, _DAY_FIRST, 2)),

@@ -71,9 +71,11 @@ def coerce(deduped: DataFrame, dataset: str, mapping: Mapping) -> DataFrame:
     copies = F.col("_copies") if "_copies" in deduped.columns else F.lit(1).cast("bigint").alias("_copies")
     texts = [(trim_blanks(_cell(mapping[f.key])) if mapping.get(f.key) else F.lit("")).alias(f"t_{f.key}") for f in fields]
     cells = deduped.select(ORD, copies, *texts)
-    cells = cells.select(ORD, "_copies", *[
+    # the parsed cells pass through a generator: filters on them stay above it, so no cell is parsed a second time (the
+    # optimizer would otherwise copy the parsing into a filter below the de-duplication)
+    cells = cells.select(ORD, "_copies", F.inline(F.array(F.struct(*[
         c for f in fields for c in ((F.coalesce(F.col(f"t_{f.key}"), F.lit("")) == "").alias(f"b_{f.key}"),
-                                    _parsed(f, F.col(f"t_{f.key}")).alias(f"p_{f.key}"))])
+                                    _parsed(f, F.col(f"t_{f.key}")).alias(f"p_{f.key}"))]))))
 
     def blank(f: Field) -> Column:
         return F.col(f"b_{f.key}")

@@ -1,8 +1,8 @@
 """KPIs: revenue, units, order volume, return rate, margin, with period-over-period deltas.
 
 Every feed is read once and folded to one row per (scope, period, SKU at most); anchors, quarters and deltas are then
-worked out on that small table. The unit cost is joined after the fold, so a SKU that fills a third of the feed still
-arrives at the join as one row per period.
+worked out on that small table. A large cost table is joined after a fold per SKU, so a SKU that fills a third of the
+feed still arrives at the join as one row per period.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import month_key, month_start, quarter_start, shift_month, shift_quarter
 from ..sources.schema import ORD
+from ..spark_tools import small_rows
 from .scoping import DateRange, by_columns, previous_span
 
 # The five KPIs with label, display format and whether more is better.
@@ -25,6 +26,7 @@ KPIS = (
     ("returnRate", "Return rate", "percent", False),
     ("avgMargin", "Avg. margin", "percent", True),
 )
+SMALL_COSTS = 100_000
 MEASURES = ("revenue", "units", "cost", "costed_revenue", "n_sales", "n_orders", "returned_units")
 
 
@@ -36,22 +38,44 @@ def unit_cost_by_sku(inventory: DataFrame) -> DataFrame:
     )
 
 
-def _fold_sales(sales: DataFrame, unit_cost: DataFrame | None, keys: list[Column], names: list[str]) -> DataFrame:
+class _Costs:
+    """Unit costs with what is known about their size before the plan is made.
+
+    Up to ``SMALL_COSTS`` SKUs they are broadcast and joined to the lines; beyond that the lines are folded per SKU first
+    and meet the costs in a shuffle join.
+    """
+
+    def __init__(self, unit_cost: DataFrame | None):
+        self.table, self.small, self.known = unit_cost, False, F.lit(False)
+        if unit_cost is None:
+            return
+        rows = small_rows(unit_cost.select("sku", "unitCost"), SMALL_COSTS)
+        if rows is None:
+            self.known = F.lit(True)
+        else:
+            self.small, self.known = True, F.lit(rows.num_rows > 0)
+            local = unit_cost.sparkSession.createDataFrame(rows, unit_cost.select("sku", "unitCost").schema)
+            self.table = F.broadcast(local)
+
+
+def _fold_sales(sales: DataFrame, costs: _Costs, keys: list[Column], names: list[str]) -> DataFrame:
     sums = [F.sum("revenue").alias("revenue"), F.sum("units").alias("units"), F.count(F.lit(1)).alias("n_sales")]
-    if unit_cost is None:
+    if costs.table is None:
         return sales.groupBy(*keys).agg(*sums)
-    cost = F.col("unitCost") * F.col("units").try_cast("decimal(18,4)")
+    # a product of two decimals would leave the fast 18 digits on every line; cost only ever feeds a ratio
+    spent = F.sum(F.col("unitCost").cast("double") * F.col("units")).alias("cost")
+    covered = F.sum(F.when(F.col("unitCost").isNotNull(), F.col("revenue"))).alias("costed_revenue")
+    if costs.small:
+        return sales.select(*keys, "sku", "revenue", "units").join(costs.table, "sku", "left").groupBy(*names).agg(
+            *sums, spent, covered)
     return (
-        sales.groupBy(*keys, "sku").agg(*sums)
-        .join(unit_cost, "sku", "left")
-        .groupBy(*names)
+        sales.groupBy(*keys, "sku").agg(*sums).join(costs.table, "sku", "left").groupBy(*names)
         .agg(F.sum("revenue").alias("revenue"), F.sum("units").alias("units"), F.sum("n_sales").alias("n_sales"),
-             F.sum(cost).alias("cost"),
-             F.sum(F.when(F.col("unitCost").isNotNull(), F.col("revenue"))).alias("costed_revenue"))
+             spent, covered)
     )
 
 
-def kpi_rollup(sales: DataFrame, orders: DataFrame | None, returns: DataFrame | None, unit_cost: DataFrame | None,
+def kpi_rollup(sales: DataFrame, orders: DataFrame | None, returns: DataFrame | None, costs: _Costs,
                period: Callable[[Column], Column], by: tuple[str, ...] = ()) -> DataFrame:
     """One row per scope and period with the sums every KPI is made of."""
     names = [*by, "period"]
@@ -59,7 +83,7 @@ def kpi_rollup(sales: DataFrame, orders: DataFrame | None, returns: DataFrame |
     def keys(df: DataFrame, date_col: str) -> list[Column]:
         return [*by_columns(df, by), period(F.col(date_col)).alias("period")]
 
-    parts = [_fold_sales(sales, unit_cost, keys(sales, "date"), names)]
+    parts = [_fold_sales(sales, costs, keys(sales, "date"), names)]
     if orders is not None:
         parts.append(orders.groupBy(*keys(orders, "orderDate")).agg(F.count(F.lit(1)).alias("n_orders")))
     if returns is not None:
@@ -89,13 +113,6 @@ def delta_pct(current: Column, previous: Column, has_previous: Column) -> Column
     return F.when(has_previous & (previous != 0), (current - previous) / previous)
 
 
-def _cost_known(unit_cost: DataFrame | None) -> Column:
-    """A scalar subquery: is there any unit cost at all?"""
-    if unit_cost is None:
-        return F.lit(False)
-    return unit_cost.limit(1).agg((F.count(F.lit(1)) > 0).alias("known")).scalar()
-
-
 def _long_rows(df: DataFrame, by: tuple[str, ...], extra: list[str], rows: list[dict[str, Column]]) -> DataFrame:
     structs = [
         F.struct(F.lit(i).alias("kpi_ord"), F.lit(k).alias("kpi"), F.lit(label).alias("label"),
@@ -109,17 +126,19 @@ def _long_rows(df: DataFrame, by: tuple[str, ...], extra: list[str], rows: list[
 def kpi_snapshot(sales: DataFrame, orders: DataFrame | None, returns: DataFrame | None, unit_cost: DataFrame | None,
                  by: tuple[str, ...] = ()) -> DataFrame:
     """Totals over everything given: one row per scope, plus the revenue share whose SKU has a known cost."""
-    rolled = kpi_rollup(sales, orders, returns, unit_cost, lambda d: F.lit("all"), by)
+    costs = _Costs(unit_cost)
+    rolled = kpi_rollup(sales, orders, returns, costs, lambda d: F.lit("all"), by)
     snap = _snapshot(F.col, F.col("has_cost"), returns is not None)
     share = F.when(F.col("revenue") > 0, F.col("costed_revenue").cast("double") / F.col("revenue").cast("double"))
-    return rolled.withColumn("has_cost", _cost_known(unit_cost)).select(
+    return rolled.withColumn("has_cost", costs.known).select(
         *by, *[c.alias(k) for k, c in snap.items()], share.alias("costedRevenueShare"))
 
 
 def kpi_trend(sales: DataFrame, orders: DataFrame | None, returns: DataFrame | None, unit_cost: DataFrame | None,
               by: tuple[str, ...] = ()) -> DataFrame:
     """Latest month of each scope with month, quarter and year deltas: five rows per scope."""
-    rolled = kpi_rollup(sales, orders, returns, unit_cost, month_start, by).filter(F.col("period").isNotNull())
+    costs = _Costs(unit_cost)
+    rolled = kpi_rollup(sales, orders, returns, costs, month_start, by).filter(F.col("period").isNotNull())
     # one row per month is left, so a window over a whole scope is bounded by the calendar
     latest = F.max(F.when(F.col("n_sales") > 0, F.col("period"))).over(W.partitionBy(*by))
     rolled = rolled.withColumn("anchor", latest).filter(F.col("anchor").isNotNull())
@@ -137,7 +156,7 @@ def kpi_trend(sales: DataFrame, orders: DataFrame | None, returns: DataFrame | N
         F.coalesce(F.sum(F.when(cond, F.col(m))), F.lit(0)).alias(f"{s}_{m}")
         for s, cond in slices.items() for m in MEASURES if m != "costed_revenue"
     ]
-    wide = rolled.groupBy(*by, "anchor").agg(*sums).withColumn("has_cost", _cost_known(unit_cost))
+    wide = rolled.groupBy(*by, "anchor").agg(*sums).withColumn("has_cost", costs.known)
     wide = wide.withColumn("anchor_month", month_key(F.col("anchor")))
 
     snaps = {s: _snapshot(lambda m, s=s: F.col(f"{s}_{m}"), F.col("has_cost"), returns is not None) for s in slices}
@@ -160,13 +179,14 @@ def kpi_range_trend(sales: DataFrame, orders: DataFrame | None, returns: DataFra
     def clip(df: DataFrame | None, column: str) -> DataFrame | None:
         return None if df is None else df.filter(F.col(column).between(F.lit(before[0]), F.lit(span[1])))
 
-    rolled = kpi_rollup(clip(sales, "date"), clip(orders, "orderDate"), clip(returns, "returnDate"), unit_cost,
+    costs = _Costs(unit_cost)
+    rolled = kpi_rollup(clip(sales, "date"), clip(orders, "orderDate"), clip(returns, "returnDate"), costs,
                         lambda d: F.when(d >= F.lit(span[0]), "cur").otherwise("prev"), by)
     sums = [
         F.coalesce(F.sum(F.when(F.col("period") == s, F.col(m))), F.lit(0)).alias(f"{s}_{m}")
         for s in ("cur", "prev") for m in MEASURES if m != "costed_revenue"
     ]
-    wide = rolled.groupBy(*by).agg(*sums).withColumn("has_cost", _cost_known(unit_cost))
+    wide = rolled.groupBy(*by).agg(*sums).withColumn("has_cost", costs.known)
     cur, prev = (
         _snapshot(lambda m, s=s: F.col(f"{s}_{m}"), F.col("has_cost"), returns is not None) for s in ("cur", "prev")
     )

@@ -34,6 +34,12 @@ def _distinct_headers(headers: DataFrame) -> DataFrame:
     return headers.groupBy("feed", "dataset", "header").agg(F.min("header_ord").alias("header_ord"))
 
 
+def _length_allows(a: Column, b: Column) -> Column:
+    """Texts whose lengths alone differ too much cannot be similar; this spares most edit distances."""
+    longest = F.greatest(F.length(a), F.length(b))
+    return F.abs(F.length(a) - F.length(b)) <= (1 - MIN_SIMILARITY) * longest + 1e-9
+
+
 def header_candidates(headers: DataFrame) -> DataFrame:
     """Every field a header could stand for, with the first stage that accepts it and its similarity score."""
     pairs = (
@@ -50,7 +56,8 @@ def header_candidates(headers: DataFrame) -> DataFrame:
         .when(allowed, SIMILAR),
     ).filter(F.col("stage").isNotNull()).withColumn(
         "score",
-        F.when(F.col("stage") == SIMILAR, F.array_max(F.transform("aliases", lambda a: similarity(norm, a))))
+        F.when(F.col("stage") == SIMILAR, F.array_max(F.transform(
+            F.filter("aliases", lambda a: _length_allows(norm, a)), lambda a: similarity(norm, a))))
         .otherwise(1.0),
     )
     return scored.filter(F.col("score") >= MIN_SIMILARITY).select(
@@ -65,10 +72,8 @@ def _fold(fields: Column, candidates: Column, pinned: Column) -> Column:
                  lambda h: h.isNotNull() & (h != "")).alias("used"),
         F.array().cast(chosen_type).alias("chosen"))
 
-    def take(acc: Column, f: Column) -> Column:
+    def settle(acc: Column, f: Column, pick: Column) -> Column:
         is_pinned = F.coalesce(F.map_contains_key(pinned, f["field"]), F.lit(False))
-        free = F.filter(candidates, lambda c: (c["field"] == f["field"]) & ~F.array_contains(acc["used"], c["header"]))
-        pick = F.get(free, F.lit(0))
         pin = F.nullif(F.try_element_at(pinned, f["field"]), F.lit(""))
         header = F.when(is_pinned, pin).otherwise(pick["header"])
         kind = (
@@ -77,10 +82,14 @@ def _fold(fields: Column, candidates: Column, pinned: Column) -> Column:
         )
         row = F.struct(f["field_ord"].alias("field_ord"), f["field"].alias("field"), header.alias("header"),
                        kind.alias("match_type"))
-        newly_used = F.when(header.isNotNull(), F.array(header)).otherwise(F.array().cast("array<string>"))
-        return F.struct(F.concat(acc["used"], newly_used).alias("used"),
+        return F.struct(F.array_append(acc["used"], F.coalesce(header, F.lit(""))).alias("used"),
                         F.concat(acc["chosen"], F.array(row)).cast(chosen_type).alias("chosen"))
 
+    def take(acc: Column, f: Column) -> Column:
+        free = F.filter(candidates, lambda c: (c["field"] == f["field"]) & ~F.array_contains(acc["used"], c["header"]))
+        # a one-element transform names the pick, so it is looked up once per field
+        return F.get(F.transform(F.array(F.get(free, F.lit(0))), lambda pick: settle(acc, f, pick)), F.lit(0))
+
     return F.aggregate(fields, start, take, lambda acc: acc["chosen"])
 
 
@@ -95,9 +104,9 @@ def assign_headers(headers: DataFrame, overrides: DataFrame | None = None) -> Da
     best = top_k(header_candidates(_distinct_headers(headers)), MOST_FIELDS, order, ("feed", "field"))
     gathered = best.groupBy("feed").agg(
         F.array_sort(F.collect_list(F.struct("field_ord", "rank", "field", "header", "stage"))).alias("candidates"))
-    fields = F.broadcast(
-        field_table(spark).groupBy("dataset")
-        .agg(F.array_sort(F.collect_list(F.struct("field_ord", "field"))).alias("fields")))
+    fields = F.broadcast(spark.createDataFrame(
+        [(d, [(i, f.key) for i, f in enumerate(fields)]) for d, fields in FIELDS.items()],
+        "dataset string, fields array<struct<field_ord:int,field:string>>"))
     feeds = headers.select("feed", "dataset").distinct().join(gathered, "feed", "left").join(fields, "dataset")
     if overrides is None:
         feeds = feeds.withColumn("pinned", F.create_map().cast("map<string,string>"))
@@ -148,9 +157,9 @@ def map_headers(spark: SparkSession, dataset: str, headers: list[str],
     """Field to header of a single feed."""
     catalogue = spark.createDataFrame(
         [("feed", dataset, i, h) for i, h in enumerate(headers)] or [("feed", dataset, 0, "")],
-        "feed string, dataset string, header_ord int, header string")
+        "feed string, dataset string, header_ord int, header string").coalesce(1)
     pins = None
     if overrides:
         pins = spark.createDataFrame([("feed", k, v) for k, v in overrides.items()],
-                                     "feed string, field string, header string")
+                                     "feed string, field string, header string").coalesce(1)
     return {r["field"]: r["header"] for r in assign_headers(catalogue, pins).collect()}

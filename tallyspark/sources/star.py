@@ -23,8 +23,23 @@ RETURNS_COLUMNS = ("returnId", "orderId", "sku", "returnDate", "reason", "units"
 INVENTORY_COLUMNS = ("sku", "productName", "warehouse", "onHand", "reorderPoint", "unitCost")
 
 
+# Declared schemas spare a footer-reading job per table.
+SCHEMAS = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+                "l_shipdate timestamp_ntz",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _currency() -> Column:
@@ -146,9 +161,7 @@ def inventory(spark: SparkSession, sf_dir: str, columns: Iterable[str] = INVENTO
 
 
 def unit_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unit cost per SKU. It is the same in every warehouse, so first-in-file order plays no part here."""
-    parts = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
-    sold = table(spark, sf_dir, "lineitem").select("l_partkey").distinct()
+    """Unit cost per SKU. It is the same in every warehouse, so first-in-file order plays no part here, and costs of parts
+    never stocked match no sale."""
     cost = (F.col("p_retailprice").cast("decimal(18,2)") * F.lit("0.6").cast("decimal(2,1)")).cast("decimal(18,3)")
-    return sold.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
-        F.col("l_partkey").cast("string").alias("sku"), cost.alias("unitCost"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("sku"), cost.alias("unitCost"))

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,15 +27,16 @@ def local_session(cpus: str = "*", app: str = "tallyspark") -> SparkSession:
     )
 
 
+def small_rows(df: DataFrame, max_rows: int = SMALL_ROWS) -> pa.Table | None:
+    """All rows of ``df`` when there are at most ``max_rows``, else None. At most ``max_rows + 1`` reach the driver."""
+    rows = df.limit(max_rows + 1).toArrow()
+    return rows if rows.num_rows <= max_rows else None
+
+
 def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """``df`` as a broadcast table when it is proven to hold at most ``max_rows`` rows, else ``df`` as it is.
-
-    Only ``max_rows + 1`` rows can reach the driver; a larger side keeps its distributed plan and is joined by shuffle.
-    """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    """``df`` as a broadcast table when it is proven small, else ``df`` as it is, to be joined by shuffle."""
+    rows = small_rows(df, max_rows)
+    return df if rows is None else F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
