@@ -604,4 +604,4 @@ def synthetic_feed(spark, sf_dir):
     products, regions = _catalogue(spark, sf_dir)
     lines = synthetic.sales_lines(products, regions, dt.date(2025, 4, 1), dt.date(2026, 6, 30),
                                   base=products.count() / 100)
-    return synthetic.dirty_feed(lines.drop("t"), "sales")
+    return synthetic.dirty_feed(lines, "sales")
