@@ -9,6 +9,7 @@ from ..sources.schema import ORD, UNKNOWN
 from .scoping import currency_code, real_dimension
 
 NO_CURRENCY = UNKNOWN.upper()
+SALTS = 64
 
 
 def _present(*feeds: DataFrame | None) -> list[DataFrame]:
@@ -66,7 +67,8 @@ def currency_breakdown(sales: DataFrame, orders: DataFrame | None, returns: Data
 def dimension_by_currency(sales: DataFrame, dim: str) -> DataFrame:
     """Revenue per currency and dimension value; ``group_total`` orders the currencies.
 
-    The totals are a second, tiny aggregation joined back, so no task ever holds all values of one currency.
+    The totals are a second, tiny aggregation joined back on currency and a salt, so no task ever holds all values of one
+    currency, however the join is carried out.
     """
     code = F.coalesce(currency_code(F.col("currency")), F.lit(NO_CURRENCY)).alias("currency")
     cells = (
@@ -74,8 +76,10 @@ def dimension_by_currency(sales: DataFrame, dim: str) -> DataFrame:
         .groupBy(code, F.col(dim).alias("dimension_value")).agg(F.sum("revenue").alias("_current"))
     )
     totals = cells.groupBy("currency").agg(F.sum("_current").cast("double").alias("group_total"))
+    salted_cells = cells.withColumn("_salt", F.pmod(F.xxhash64("dimension_value"), F.lit(SALTS)))
+    salted_totals = totals.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
     return (
-        cells.join(totals, "currency")
+        salted_cells.join(salted_totals, ["currency", "_salt"])
         .select("currency", "dimension_value", F.col("_current").cast("double").alias("current"), "group_total")
         .orderBy(F.col("group_total").desc(), "currency", F.col("current").desc(), "dimension_value")
     )

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import month_start, shift_month
 from ..sources.schema import UNKNOWN
-from ..spark_tools import small_side
+from ..spark_tools import small_rows
 from .ranking import top_k
-from .scoping import DateRange, by_columns, month_span, previous_span, real_dimension
+from .scoping import DateRange, by_columns, month_span, previous_month, previous_span, real_dimension
 
 
 def _totals(rows: DataFrame, dim: str, by: tuple[str, ...], is_current: Column, is_previous: Column) -> DataFrame:
@@ -39,7 +39,7 @@ def performers_in_range(sales: DataFrame, dim: str, span: DateRange, by: tuple[s
 
 def performers_in_month(sales: DataFrame, dim: str, month: dt.date, by: tuple[str, ...] = ()) -> DataFrame:
     span = month_span(month)
-    return performers_in_range(sales, dim, span, by, month_span(span[0] - dt.timedelta(days=1)))
+    return performers_in_range(sales, dim, span, by, month_span(previous_month(span[0])))
 
 
 def performers_latest_month(sales: DataFrame, dim: str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -47,10 +47,15 @@ def performers_latest_month(sales: DataFrame, dim: str, by: tuple[str, ...] = ()
     if not by:
         last = sales.agg(F.max("date")).first()[0]
         return performers_in_month(sales, dim, last or dt.date(1970, 1, 1))
-    # the anchors are one row per scope; they are joined as a broadcast only after their number is known
-    anchors = small_side(sales.groupBy(*by_columns(sales, by)).agg(month_start(F.max("date")).alias("_anchor")))
-    earliest = anchors.agg(shift_month(F.min("_anchor"), -1)).scalar()
-    rows = _prepared(sales.filter(F.col("date") >= earliest), dim, by).join(anchors, list(by))
+    # the anchors are one row per scope: few enough, they are broadcast and the earliest of them bounds the scan; too
+    # many, and they are joined by shuffle like any other table
+    anchors = sales.groupBy(*by_columns(sales, by)).agg(month_start(F.max("date")).alias("_anchor"))
+    known = small_rows(anchors)
+    if known is not None:
+        anchors = F.broadcast(sales.sparkSession.createDataFrame(known, anchors.schema))
+        months = [m for m in known.column("_anchor").to_pylist() if m]
+        sales = sales.filter(F.col("date") >= F.lit(previous_month(min(months)) if months else dt.date.max))
+    rows = _prepared(sales, dim, by).join(anchors, list(by))
     month = month_start(F.col("date"))
     previous = shift_month(F.col("_anchor"), -1)
     rows = rows.filter(F.col("date") >= previous)

@@ -43,6 +43,11 @@ def month_span(first: dt.date) -> DateRange:
     return start, following - dt.timedelta(days=1)
 
 
+def previous_month(first: dt.date) -> dt.date:
+    """First day of the month before."""
+    return (first.replace(day=1) - dt.timedelta(days=1)).replace(day=1)
+
+
 def in_month(df: DataFrame, column: str, first: dt.date) -> DataFrame:
     """Month filter written as a day range, so it reaches the scan."""
     return in_range(df, column, month_span(first))
