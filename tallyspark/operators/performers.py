@@ -81,6 +81,11 @@ def top_bottom(performers: DataFrame, k: int = 5, by: tuple[str, ...] = ()) -> D
     return top.unionByName(bottom)
 
 
+def category_cut(categories: DataFrame, k: int = 6, by: tuple[str, ...] = ()) -> DataFrame:
+    """The ``k`` largest categories of a breakdown, overall or (with fewer, as charts stand side by side) per currency."""
+    return top_k(categories, k, best_order(), by)
+
+
 def available_channels(sales: DataFrame, orders: DataFrame | None) -> DataFrame:
     names = sales.select("channel")
     if orders is not None:

@@ -192,6 +192,13 @@ for _d in ("region", "channel", "sku"):
  select currency, dimension_value, cast(current as double) as current,
  cast(sum(current) over (partition by currency) as double) as group_total from c""", "v_sales")
 
+ORACLES["category_cut"] = with_views(
+    f"""{_RANGE_SKU}, n as (select *, row_number() over (order by current desc, dimension_value) as rank from p
+ where currency = 'INR') select rank, dimension_value, current from n where rank <= 6""", "v_sales")
+ORACLES["category_cut_by_currency"] = with_views(
+    """c as (select currency, sku as dimension_value, sum(revenue) as s from v_sales group by 1, 2),
+ n as (select *, row_number() over (partition by currency order by s desc, dimension_value) as rank from c)
+ select currency, rank, dimension_value, cast(s as double) as current from n where rank <= 5""", "v_sales")
 ORACLES["available_currencies"] = with_views(
     "select currency from v_sales union select currency from v_orders union select currency from v_returns",
     "v_sales", "v_orders", "v_returns")

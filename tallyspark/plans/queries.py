@@ -144,6 +144,19 @@ def revenue_by_sku_currency(spark, sf_dir):
     return _by_currency(spark, sf_dir, "sku")
 
 
+@query
+def category_cut(spark, sf_dir):
+    """Six best SKUs of the rupee sales in the range."""
+    inr = _performer_sales(spark, sf_dir, "sku").filter(F.col("currency") == "INR").drop("currency")
+    return performers.category_cut(performers.performers_in_range(inr, "sku", SPAN)).select(
+        "rank", "dimension_value", "current")
+
+
+@query
+def category_cut_by_currency(spark, sf_dir):
+    return performers.category_cut(_by_currency(spark, sf_dir, "sku"), 5, CURRENCY).drop("group_total")
+
+
 @query
 def available_currencies(spark, sf_dir):
     return currency.available_currencies(
