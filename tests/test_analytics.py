@@ -268,3 +268,15 @@ def test_risk_list_order_and_cap(spark):
                    (6, "opportunity", "Weekly units sold anomaly — x")]
     assert risks.risk_flags(stock, sku, region, found, cap=2).count() == 2
     assert risks.risk_flags(None, sku, region, found).count() == 3
+
+
+def test_one_currency_with_most_of_the_rows(spark):
+    rows = spark.range(20_000).select(
+        F.when(F.col("id") % 10 < 9, "usd").otherwise("EUR").alias("currency"),
+        (F.col("id") % 500).cast("string").alias("sku"), F.lit(1).cast("decimal(18,4)").alias("revenue"))
+    got = currency.dimension_by_currency(rows, "sku").collect()
+    want = {(r["currency"], r["sku"]): r["n"] for r in rows.groupBy(F.upper("currency").alias("currency"), "sku").agg(
+        F.count("*").alias("n")).collect()}
+    assert {(r["currency"], r["dimension_value"]): r["current"] for r in got} == want
+    assert {(r["currency"], r["group_total"]) for r in got} == {("USD", 18_000.0), ("EUR", 2_000.0)}
+    assert got[0]["currency"] == "USD"
