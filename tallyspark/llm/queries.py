@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyspark.llm.langid import held_out, identify_language
 from tallyspark.llm.neardup import near_duplicates
 from tallyspark.llm.packing import pack_documents
+from tallyspark.llm.warc import read_archives, write_archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,3 +44,28 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the documents that are not held out."""
     found = identify_language(table(spark, sf_dir, "documents"))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query
+def op8_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records and read back."""
+    records = read_archives(write_archives(table(spark, sf_dir, "pages")))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op8_warc_dictionary"] = """
+with p as (select page_id, coalesce(html, '') as payload from pages),
+g as (select payload, max(page_id) as response from p group by payload),
+h as (select page_id, response, octet_length(encode(p.payload)) as payload_bytes, sha1(p.payload) as hex
+      from p join g on p.payload = g.payload),
+d as (select *, list_transform(range(8), lambda i: cast('0x' || substr(hex, cast(5 * i + 1 as int), 5) as bigint)) as fives from h)
+select page_id, cast(payload_bytes as bigint) as payload_bytes,
+       array_to_string(list_transform(fives, lambda v:
+           substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(v // 32768 + 1 as int), 1)
+           || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(v // 1024 % 32 + 1 as int), 1)
+           || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(v // 32 % 32 + 1 as int), 1)
+           || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(v % 32 + 1 as int), 1)), '') as payload_digest,
+       case when page_id = response then 'response' else 'revisit' end as record_type,
+       case when page_id <> response then response end as refers_to
+from d
+"""
