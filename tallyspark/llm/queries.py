@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyspark.llm.langid import held_out, identify_language
 from tallyspark.llm.neardup import near_duplicates
 from tallyspark.llm.packing import pack_documents
+from tallyspark.llm.pii import BASE, find_personal_data
 from tallyspark.llm.warc import read_archives, write_archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +34,19 @@ def op1_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+@query
+def op2_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document."""
+    found = find_personal_data(table(spark, sf_dir, "documents"))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+
+    counts = [F.size(F.filter("base", lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{k}") for k in BASE]
+    return found.select("doc_id", *counts, F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"),
+                        joined("spans").alias("spans"))
+
+
 @query
 def op3_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
