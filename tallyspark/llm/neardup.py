@@ -3,7 +3,7 @@
 A document is the set of its five-word shingles. Each distinct set gets a signature of 128 MinHash values. A tree of the
 forest is one order of these values: sets sorted by the reordered signature stand next to those with the longest common
 prefix. A region of a tree is the run of sets that share a prefix; its depth adapts to its density: it starts at
-``MIN_DEPTH`` values and deepens while more than ``REGION`` sets share the prefix, so every region is small enough for
+the first of ``DEPTHS`` and deepens while more than ``REGION`` sets share the prefix, so every region is small enough for
 one task. Sets that had to go deeper get ``DENSE_TREES`` further orders, which makes up for the recall a longer prefix
 costs. Inside a region all neighbours whose signatures agree well are compared on the full shingle sets.
 
@@ -28,8 +28,7 @@ VALUES = 128
 TREES = 16
 DENSE_TREES = 24
 REGION = 128
-MIN_DEPTH = 3
-DEPTHS = (3, 4, 5, 6, 7, 8, 9, 10, 12, 14, 17, 20, 24, 32)
+DEPTHS = (3, 6, 9, 13, 18, 24, 32)
 SLACK = 0.11
 
 _rng = np.random.default_rng(3)
@@ -86,11 +85,11 @@ def _tree_keys(trees: range, depths: tuple[int, ...]):
     return run
 
 
-def _regions(keys: DataFrame, spark, sigs: DataFrame, trees: range) -> tuple[DataFrame, DataFrame | None]:
+def _regions(sigs: DataFrame, trees: range, depth_at: int = 0) -> tuple[DataFrame, DataFrame | None]:
     """Regions (doc_id, tree, region) of two sets or more, with the depth adapted; and the dense documents, if any."""
     found, dense = [], None
-    depth_at = 0
-    level = stage(keys, "keys")
+    shape = "doc_id long, tree smallint, depth smallint, key long"
+    level = stage(sigs.mapInPandas(_tree_keys(trees, (DEPTHS[depth_at],)), shape), "keys")
     while True:
         counts = level.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         last = depth_at + 1 == len(DEPTHS)
@@ -109,7 +108,7 @@ def _regions(keys: DataFrame, spark, sigs: DataFrame, trees: range) -> tuple[Dat
         dense = opened if dense is None else dense
         depth_at += 1
         deeper = sigs.join(opened.select("doc_id").distinct(), "doc_id", "left_semi").mapInPandas(
-            _tree_keys(trees, (DEPTHS[depth_at],)), "doc_id long, tree smallint, depth smallint, key long")
+            _tree_keys(trees, (DEPTHS[depth_at],)), shape)
         level = stage(deeper.join(opened, ["doc_id", "tree"], "left_semi"), "keys")
     out = found[0]
     for f in found[1:]:
@@ -275,13 +274,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     reps = stage(first.select(F.col("rep").alias("doc_id"), "n_shingles", "k1", "k2", "sig"), "sets")
     sigs = reps.select("doc_id", "sig")
 
-    keys = sigs.mapInPandas(_tree_keys(range(TREES), (MIN_DEPTH,)), "doc_id long, tree smallint, depth smallint, key long")
-    regions, dense = _regions(keys, spark, sigs, range(TREES))
-    if dense is not None:
-        more = range(TREES, TREES + DENSE_TREES)
-        keys = sigs.join(dense.select("doc_id").distinct(), "doc_id", "left_semi").mapInPandas(
-            _tree_keys(more, (MIN_DEPTH,)), "doc_id long, tree smallint, depth smallint, key long")
-        regions = regions.unionByName(_regions(keys, spark, sigs, more)[0])
+    regions, dense = _regions(sigs, range(TREES))
+    if dense is not None:  # known to be crowded, so these orders start one step deeper
+        crowd = sigs.join(dense.select("doc_id").distinct(), "doc_id", "left_semi")
+        regions = regions.unionByName(_regions(stage(crowd, "crowd"), range(TREES, TREES + DENSE_TREES), 1)[0])
     all_trees = TREES + DENSE_TREES
     per_doc = regions.groupBy("doc_id").agg(F.collect_list(F.struct("tree", "region")).alias("own"))
     # doc -> its region in every tree, as bytes: pairs that met in an earlier tree are told from these.
