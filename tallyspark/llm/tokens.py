@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import os
-import re
+import string
 import unicodedata
 import zlib
 
 import numpy as np
 
-CACHE_WORDS = 300_000
-_CHUNK = re.compile(r"([^\W\d_]+)([^\w\s]*)\Z")
+CACHE_WORDS = 500_000
+_MARKS = string.punctuation
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
 _loaded: dict[int, WordTokenizer] = {}
 
@@ -21,16 +22,21 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def _letters(word: str) -> bool:
-    """True when the normalised, lower-case form is letters only."""
-    return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
+def _plain(word: str) -> str | None:
+    """The normalised, lower-case form of a word when that is letters only and lower-casing goes letter by letter."""
+    if word.isascii():
+        return word.lower()
+    form = unicodedata.normalize("NFC", word)
+    low = form.lower()
+    return low if low.isalpha() and len(low) == len(form) and "\u03a3" not in form else None
 
 
 class WordTokenizer:
     """Ids of a tokenizer that never joins text across white space and marks the last token of each word.
 
     Texts are cut at white space, and the ids of a piece are kept from one text to the next. Unseen plain words are encoded
-    many at a time; the word-end marks tell them apart again. Whatever does not fit this goes through the tokenizer whole.
+    many at a time, without the steps for normal forms that are theirs already; the word-end marks tell them apart again.
+    Whatever does not fit this goes through the tokenizer whole.
     """
 
     def __init__(self, definition: str):
@@ -38,6 +44,11 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_str(definition)
+        parts = json.loads(definition)
+        steps = (parts["pre_tokenizer"] or {}).get("pretokenizers", [])
+        parts |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+            {"type": "WhitespaceSplit"}, *(s for s in steps if s["type"] == "ByteLevel")]}}
+        self.bare = Tokenizer.from_str(json.dumps(parts))
         vocab = self.full.get_vocab(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if max(vocab.values()) < 65536 else "<u4")
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
@@ -48,38 +59,55 @@ class WordTokenizer:
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=self.dtype) for e in self.full.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: set[str]) -> None:
-        if len(self.words) + len(pieces) > CACHE_WORDS:
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of pieces that are not in the newer half of the cache. A piece that is a new word with marks or capitals is
+        kept as the word alone; it gets an entry of its own when it comes again."""
+        if len(self.words) > CACHE_WORDS:
             self.older, self.words = self.words, {}
-        parts, odd, plain = [], [], {}
+        words, older = self.words, self.older
+        found: dict[str, bytes] = {}
+        parts, odd, fresh, tails = [], [], set(), set()
         for p in pieces:
-            if (known := self.older.get(p)) is not None:
-                self.words[p] = known
+            known = older.get(p)
+            if known is not None:
+                words[p] = known
                 continue
-            m = _CHUNK.match(p)
-            if m is None or not m[2].isascii() or len(p) > 200 or not _letters(m[1]):
+            if p.isalpha():
+                stem, tail = p, ""
+            else:
+                stem = p.rstrip(_MARKS)
+                tail = p[len(stem):]
+            head = _plain(stem) if len(p) <= 200 and stem.isalpha() else None
+            if head is None:
                 odd.append(p)
                 continue
-            head = m[1].lower() if m[1].isascii() else m[1]
-            parts.append((p, head, m[2]))
-            for w in (head, m[2]):
-                if w and w not in self.words:
-                    plain[w] = w.isalpha()
-        self._encode_plain([w for w, letters in plain.items() if letters])
-        odd += [w for w, letters in plain.items() if not letters]
+            if head not in words:
+                if head in older:
+                    words[head] = older[head]
+                else:
+                    fresh.add(head)
+            if tail and tail not in words:
+                tails.add(tail)
+            if p != head:
+                parts.append((p, head, tail))
+        self._encode_plain(sorted(fresh))
+        odd += tails
         for p, ids in zip(odd, self._ids(odd)):
-            self.words[p] = ids.tobytes()
+            words[p] = ids.tobytes()
         for p, head, tail in parts:
-            self.words[p] = self.words[head] + (self.words[tail] if tail else b"")
+            ids = words[head] + words[tail] if tail else words[head]
+            (found if head in fresh else words)[p] = ids
+        return found
 
     def _encode_plain(self, words: list[str]) -> None:
         groups = [words[i:i + 64] for i in range(0, len(words), 64)]
-        for group, ids in zip(groups, self._ids([" ".join(g) for g in groups])):
+        for group, e in zip(groups, self.bare.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, dtype=self.dtype)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(group) and cuts[-1] == len(ids):
-                low = 0
-                for w, high in zip(group, cuts.tolist()):
-                    self.words[w] = ids[low:high].tobytes()
+                data, low, size = ids.tobytes(), 0, self.dtype.itemsize
+                for w, high in zip(group, (cuts * size).tolist()):
+                    self.words[w] = data[low:high]
                     low = high
             else:
                 for w, own in zip(group, self._ids(group)):
@@ -87,22 +115,23 @@ class WordTokenizer:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian integers of ``dtype``; a null text has none."""
-        out = []
-        for text in texts:
-            if not text:
-                out.append(b"")
-                continue
-            if any(c in text for c in _SEPARATORS):
-                out.append(self._ids([text])[0].tobytes())
-                continue
-            pieces = text.split()
-            words = self.words
-            try:
-                out.append(b"".join([words[p] for p in pieces]))
-            except KeyError:
-                self._learn({p for p in pieces if p not in words})
-                out.append(b"".join([self.words[p] if p in self.words else self.older[p] for p in pieces]))
-        return out
+        get = self.words.get
+        cut, rows, missing = [], [], set()
+        for t in texts:
+            pieces = t.split() if t and not any(c in t for c in _SEPARATORS) else None
+            row = list(map(get, pieces)) if pieces else []
+            cut.append(pieces)
+            rows.append(row)
+            if None in row:
+                missing.update([p for p, x in zip(pieces, row) if x is None])
+        once = self._learn(list(missing)) if missing else {}
+        words = self.words
+        for pieces, row in zip(cut, rows):
+            if None in row:
+                for i in [i for i, x in enumerate(row) if x is None]:
+                    p = pieces[i]
+                    row[i] = words[p] if p in words else once[p]
+        return [self._ids([t])[0].tobytes() if t and p is None else b"".join(r) for t, p, r in zip(texts, cut, rows)]
 
 
 def load(definition: str) -> WordTokenizer:
