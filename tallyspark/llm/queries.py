@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyspark.llm.fingerprints import CELLS, HASHES, PRIME, ROWS, fingerprint_documents
 from tallyspark.llm.langid import held_out, identify_language
 from tallyspark.llm.neardup import near_duplicates
 from tallyspark.llm.packing import pack_documents
@@ -83,3 +84,42 @@ select page_id, cast(payload_bytes as bigint) as payload_bytes,
        case when page_id <> response then response end as refers_to
 from d
 """
+
+
+@query
+def op10_invertible_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+def _digests_sql(text: str) -> str:
+    return (f"list_distinct(list_transform(list_filter(string_split(regexp_replace({text}, '([.!?]) +', '\\1' || chr(10), 'g'), chr(10)), "
+            "lambda p: p <> ''), lambda p: cast('0x' || substr(md5(p), 1, 15) as bigint)))")
+
+
+def _sketch_sql(digests: str) -> str:
+    def hashed(d: str, j: int) -> str:
+        return f"({d} % {HASHES[j][0]} * {HASHES[j][1]}) % {PRIME}"
+
+    rows = [f"""list_transform(range({CELLS}), lambda c: list_filter({digests}, lambda d: {hashed("d", j)} % {CELLS} = c))"""
+            for j in range(ROWS)]
+    cells = " || ".join(rows)
+    return (f"array_to_string(list_transform({cells}, lambda own: concat_ws('.', len(own), "
+            "lower(to_hex(coalesce(list_aggregate(own, 'bit_xor'), 0))), "
+            f"lower(to_hex(coalesce(list_aggregate(list_transform(own, lambda d: {hashed('d', 4)}), 'bit_xor'), 0))))), '|')")
+
+
+ORACLES["op10_invertible_sketch"] = f"""
+with t as (select doc_id, coalesce(text, '') as text from documents),
+n as (select doc_id, text, length(text) as n, coalesce(lead(text) over (order by doc_id), first_value(text) over (order by doc_id)) as next
+      from t),
+e as (select *, substr(text, 1, n - n // 4) || substr(next, 1, n // 4) as edited from n),
+d as (select doc_id, n, sha256(edited) as sha, {_digests_sql("text")} as a, {_digests_sql("edited")} as b,
+             {_digests_sql("next")} as c from e),
+s as (select *, len(list_intersect(a, b)) as ab, len(list_intersect(a, c)) as ac from d)
+select doc_id, cast(n as bigint) as n_chars, sha as edited_sha256, {_sketch_sql("a")} as fingerprint,
+       {_sketch_sql("b")} as edited_fingerprint,
+       case when len(a) + len(b) = 0 then 1.0 else cast(ab as double) / (len(a) + len(b) - ab) end as near_edited,
+       case when len(a) + len(c) = 0 then 1.0 else cast(ac as double) / (len(a) + len(c) - ac) end as near_next
+from s
+"""
