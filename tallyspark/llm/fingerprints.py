@@ -3,9 +3,9 @@
 A text is cut into paragraphs at line breaks and after sentence ends; the set of their 60-bit digests goes into cells that
 hold a count, the XOR of digests and the XOR of check values. Every digest is in one cell of each of ``ROWS`` rows. Sketches
 of two versions are subtracted cell by cell, equal paragraphs cancel, and peeling of cells with one digest recovers the
-paragraphs that differ. A larger sketch has more groups of such cells, a digest's group drawn by its hash, so the work of
-peeling grows in proportion to the text. Pairs whose peeling gets stuck are sketched again with twice the groups and other
-hashes.
+paragraphs that differ. A long text has many groups of such cells, a digest's group drawn from its bits, so the work grows
+with the text. A group whose peeling gets stuck is sketched again with twice the cells, drawn from other bits, and again;
+a pair that is stuck even then is sketched again with more groups and other hashes.
 """
 
 from __future__ import annotations
@@ -15,21 +15,36 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.common import pick, shuffle_parts, stage
 
-ROWS, CELLS = 3, 8
+ROWS = 3
+#: Cells of a row in the first, second and third try of a group, and the first bit of a digest that each try reads.
+WIDTHS = (4, 8, 16)
+FIRST_BIT = (0, 6, 15)
+GROUP_BIT = 27
+CHECK = 2_147_483_629
 PRIME = 2_147_483_647
-#: Moduli and factors of the hashes of a digest: three rows of cells, the group, the check value.
-HASHES = ((2_147_483_629, 48_271), (2_147_483_587, 69_621), (2_147_483_579, 39_373), (2_147_483_563, 40_014), (2_147_483_549, 40_692))
 SLOTS = 1 << 16
-MAX_ATTEMPTS = 24
+MAX_ROUNDS = 12
 
 
-def _hash(digest: Column, j: int, attempt: int) -> Column:
-    modulus, factor = HASHES[j]
-    return (digest % modulus * (factor + 2 * attempt)) % PRIME
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once: a lambda variable, as SQL has no other local names."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _scramble(digest: Column, turn: int) -> Column:
+    """The digest itself in the first round, other uniform bits of it in later ones."""
+    if not turn:
+        return digest
+    low, high = digest % PRIME * (48_271 + 2 * turn) % PRIME, digest % CHECK * (69_621 + 2 * turn) % CHECK
+    return F.shiftleft(low, 29).bitwiseXOR(high)
+
+
+def _place(bits: Column, row: int, size: int) -> Column:
+    return F.shiftright(bits, FIRST_BIT[size] + row * (2 + size)).bitwiseAND(WIDTHS[size] - 1)
 
 
 def check_value(digest: Column) -> Column:
-    return _hash(digest, 4, 0)
+    return digest % CHECK
 
 
 def paragraph_digests(text: Column) -> Column:
@@ -39,55 +54,65 @@ def paragraph_digests(text: Column) -> Column:
     return F.array_distinct(own)
 
 
-def _item(digest: Column, sign: int, groups: Column, attempt: int) -> Column:
-    return F.struct(digest.alias("d"), F.lit(sign).cast("long").alias("s"), (_hash(digest, 3, attempt) % groups).alias("g"),
-                    *((_hash(digest, j, attempt) % CELLS).alias(f"c{j}") for j in range(ROWS)), check_value(digest).alias("k"))
+def _item(digest: Column, sign: Column | int, turn: int) -> Column:
+    sign = F.lit(sign).cast("long") if isinstance(sign, int) else sign
+    return F.struct(digest.alias("d"), sign.alias("s"), _scramble(digest, turn).alias("b"))
 
 
-def _cells(items: Column) -> Column:
+def _cells(items: Column, size: int) -> Column:
     """The cells of one group of items: an array of (count, XOR of digests, XOR of checks), row after row."""
 
     def fold(own: Column) -> Column:
         zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"))
         return F.aggregate(own, zero, lambda a, i: F.struct((a.n + i.s).alias("n"), a.x.bitwiseXOR(i.d).alias("x"),
-                                                            a.y.bitwiseXOR(i.k).alias("y")))
+                                                            a.y.bitwiseXOR(check_value(i.d)).alias("y")))
 
-    rows = [F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)),
-                        lambda c: fold(F.filter(items, lambda i: i[name] == c))) for name in (f"c{j}" for j in range(ROWS))]
-    return F.concat(*rows)
+    def row(j: int) -> Column:
+        return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(WIDTHS[size] - 1).cast("long")),
+                           lambda c: fold(F.filter(items, lambda i: _place(i.b, j, size) == c)))
+
+    return F.concat(*(row(j) for j in range(ROWS)))
 
 
 def sketch_text(digests: Column) -> Column:
     """The smallest sketch of a set of digests as text: count, XOR and check XOR of each cell."""
-    items = F.transform(digests, lambda d: _item(d, 1, F.lit(1), 0))
-    return F.array_join(F.transform(_cells(items), lambda c: F.concat_ws(".", c.n, F.lower(F.hex(c.x)), F.lower(F.hex(c.y)))), "|")
+    items = F.transform(digests, lambda d: _item(d, 1, 0))
+    cells = _let(items, lambda own: _cells(own, 0))
+    return F.array_join(F.transform(cells, lambda c: F.concat_ws(".", c.n, F.lower(F.hex(c.x)), F.lower(F.hex(c.y)))), "|")
 
 
 def _split(items: Column, groups: Column) -> Column:
     """Items by group, as an array of arrays; in two steps, so that a long text takes its length to the power 1.5."""
-    coarse = F.greatest(F.lit(1), F.floor(F.sqrt(groups)).cast("long"))
+    zero = F.lit(0).cast("long")
 
-    def within(part: Column, c: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0).cast("long"), F.ceil((groups - c) / coarse) - 1),
-                           lambda k: F.filter(part, lambda i: i.g == k * coarse + c))
+    def group(i: Column) -> Column:
+        return F.shiftright(i.b, GROUP_BIT) % groups
 
-    return F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), coarse - 1),
-                                 lambda c: within(F.filter(items, lambda i: i.g % coarse == c), c)))
+    def two_steps(every: Column, coarse: Column) -> Column:
+        return F.flatten(F.transform(F.sequence(zero, coarse - 1), lambda c: _let(
+            F.filter(every, lambda i: group(i) % coarse == c), lambda part: F.transform(
+                F.sequence(zero, F.ceil((groups - c) / coarse) - 1), lambda k: F.filter(part, lambda i: group(i) == k * coarse + c)))))
 
+    coarse = F.greatest(F.lit(1), F.floor(F.sqrt(groups)).cast("long"))
+    return _let(items, lambda every: _let(coarse, lambda width: two_steps(every, width)))
 
-def _peel(cells: Column, attempt: int, steps: int = 14) -> Column:
+
+def _peel(cells: Column, size: int, turn: int) -> Column:
     """Peels the cells of one group: (number of digests recovered, whether every cell came out empty)."""
+    steps = 3 * WIDTHS[size]
 
     def step(state: Column, _: Column) -> Column:
         pure = F.filter(state.cells, lambda c: (F.abs(c.n) == 1) & (check_value(c.x) == c.y))
 
         def less(one: Column) -> Column:
-            at = F.array(*(_hash(one.x, j, attempt) % CELLS + j * CELLS for j in range(ROWS)))
-            return F.transform(state.cells, lambda c, i: F.when(F.array_contains(at, i.cast("long")), F.struct(
-                (c.n - one.n).alias("n"), c.x.bitwiseXOR(one.x).alias("x"), c.y.bitwiseXOR(one.y).alias("y"))).otherwise(c))
-
-        # One pure cell at a time; a one-element array stands for "let".
-        after = F.transform(F.slice(pure, 1, 1), lambda one: F.struct(less(one).alias("cells"), (state.found + 1).alias("found"), F.lit(True).alias("going")))
+            bits = _scramble(one.x, turn)
+            places = F.array(*((_place(bits, j, size) + j * WIDTHS[size]).cast("int") for j in range(ROWS)))
+            return _let(places, lambda at: F.transform(state.cells, lambda c, i: F.when(F.array_contains(at, i), F.struct(
+                (c.n - one.n).alias("n"), c.x.bitwiseXOR(one.x).alias("x"), c.y.bitwiseXOR(one.y).alias("y"))).otherwise(c)))
+
+        # One pure cell at a time.
+        after = F.transform(F.slice(pure, 1, 1), lambda one: F.struct(
+            less(one).alias("cells"), (state.found + 1).alias("found"), F.lit(True).alias("going")))
         stuck = F.struct(state.cells.alias("cells"), state.found.alias("found"), F.lit(False).alias("going"))
         return F.when(state.going, F.coalesce(F.get(after, F.lit(0)), stuck)).otherwise(state)
 
@@ -96,19 +121,29 @@ def _peel(cells: Column, attempt: int, steps: int = 14) -> Column:
         s.found.alias("found"), (~F.exists(s.cells, lambda c: (c.n != 0) | (c.x != 0) | (c.y != 0))).alias("whole")))
 
 
-def _difference(ours: Column, theirs: Column, attempt: int) -> Column:
+def _recovered(items: Column, turn: int, size: int = 0) -> Column:
+    """Digests recovered from the difference of one group, with larger cells where peeling gets stuck; null when it stays so."""
+
+    def try_cells(cells: Column) -> Column:
+        more = _recovered(items, turn, size + 1) if size + 1 < len(WIDTHS) else F.lit(None).cast("long")
+        some = F.exists(F.slice(cells, 1, WIDTHS[size]), lambda c: (c.n != 0) | (c.x != 0) | (c.y != 0))
+        peeled = _let(_peel(cells, size, turn), lambda p: F.when(p.whole, p.found).otherwise(more))
+        return F.when(some, peeled).otherwise(F.lit(0).cast("long"))
+
+    return _let(_cells(items, size), try_cells)
+
+
+def _difference(ours: Column, theirs: Column, turn: int) -> Column:
     """Number of digests in one of two sets only, from subtracted sketches; null where peeling got stuck."""
-    power = F.ceil(F.log2(F.greatest(F.lit(1.0), (F.size(ours) + F.size(theirs)) / F.lit(4.0)))) + attempt
+    power = F.ceil(F.log2(F.greatest(F.lit(1.0), (F.size(ours) + F.size(theirs)) / F.lit(2.0)))) + turn
     groups = F.pow(F.lit(2.0), power).cast("long")
 
     def work(g: Column) -> Column:
-        items = F.concat(F.transform(ours, lambda d: _item(d, 1, g, attempt)), F.transform(theirs, lambda d: _item(d, -1, g, attempt)))
-        cells = F.transform(_split(items, g), _cells)
-        left = F.filter(cells, lambda t: F.exists(t, lambda c: (c.n != 0) | (c.x != 0) | (c.y != 0)))
-        return F.aggregate(F.transform(left, lambda t: _peel(t, attempt)), F.lit(0).cast("long"),
-                           lambda total, p: F.when(p.whole, total + p.found))
+        items = F.concat(F.transform(ours, lambda d: _item(d, 1, turn)), F.transform(theirs, lambda d: _item(d, -1, turn)))
+        full = F.filter(_split(items, g), lambda own: F.size(own) > 0)
+        return F.aggregate(F.transform(full, lambda own: _recovered(own, turn)), F.lit(0).cast("long"), lambda total, n: total + n)
 
-    return F.get(F.transform(F.array(groups), work), F.lit(0))
+    return _let(groups, work)
 
 
 def likeness(ours: Column, theirs: Column, difference: Column) -> Column:
@@ -167,9 +202,9 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
         paragraph_digests(F.col("edited")).alias("changed"), paragraph_digests(F.col("next_text")).alias("following"))
     rows = stage(rows, "digests")  # also fixes the row numbers
     todo, solved = rows, None
-    for attempt in range(MAX_ATTEMPTS):
-        got = stage(todo.select("row", _difference(F.col("own"), F.col("changed"), attempt).alias("to_edited"),
-                                _difference(F.col("own"), F.col("following"), attempt).alias("to_next")), "differences")
+    for turn in range(MAX_ROUNDS):
+        got = stage(todo.select("row", _difference(F.col("own"), F.col("changed"), turn).alias("to_edited"),
+                                _difference(F.col("own"), F.col("following"), turn).alias("to_next")), "differences")
         done = got.where("to_edited is not null and to_next is not null")
         solved = done if solved is None else solved.unionByName(done)
         again = got.where("to_edited is null or to_next is null").select("row")
@@ -177,7 +212,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
             break
         todo = rows.join(again, "row", "left_semi")
     else:
-        raise RuntimeError(f"sketches did not peel in {MAX_ATTEMPTS} attempts")
+        raise RuntimeError(f"sketches did not peel in {MAX_ROUNDS} rounds")
     out = rows.join(solved, "row")
     return out.select("doc_id", "n_chars", "edited_sha256", sketch_text(F.col("own")).alias("fingerprint"),
                       sketch_text(F.col("changed")).alias("edited_fingerprint"),
