@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm.fingerprints import CELLS, HASHES, PRIME, ROWS, fingerprint_documents
+from tallyspark.llm.fingerprints import CHECK, ROWS, WIDTHS, fingerprint_documents
 from tallyspark.llm.langid import held_out, identify_language
 from tallyspark.llm.neardup import near_duplicates
 from tallyspark.llm.packing import pack_documents
@@ -43,8 +43,10 @@ def op2_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     def joined(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
 
-    counts = [F.size(F.filter("base", lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{k}") for k in BASE]
-    return found.select("doc_id", *counts, F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"),
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, BASE), F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"),
                         joined("spans").alias("spans"))
 
 
@@ -98,15 +100,11 @@ def _digests_sql(text: str) -> str:
 
 
 def _sketch_sql(digests: str) -> str:
-    def hashed(d: str, j: int) -> str:
-        return f"({d} % {HASHES[j][0]} * {HASHES[j][1]}) % {PRIME}"
-
-    rows = [f"""list_transform(range({CELLS}), lambda c: list_filter({digests}, lambda d: {hashed("d", j)} % {CELLS} = c))"""
+    rows = [f"list_transform(range({WIDTHS[0]}), lambda c: list_filter({digests}, lambda d: (d >> {2 * j}) & {WIDTHS[0] - 1} = c))"
             for j in range(ROWS)]
-    cells = " || ".join(rows)
-    return (f"array_to_string(list_transform({cells}, lambda own: concat_ws('.', len(own), "
+    return (f"array_to_string(list_transform({' || '.join(rows)}, lambda own: concat_ws('.', len(own), "
             "lower(to_hex(coalesce(list_aggregate(own, 'bit_xor'), 0))), "
-            f"lower(to_hex(coalesce(list_aggregate(list_transform(own, lambda d: {hashed('d', 4)}), 'bit_xor'), 0))))), '|')")
+            f"lower(to_hex(coalesce(list_aggregate(list_transform(own, lambda d: d % {CHECK}), 'bit_xor'), 0))))), '|')")
 
 
 ORACLES["op10_invertible_sketch"] = f"""
