@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.fingerprints import CHECK, ROWS, WIDTHS, fingerprint_documents
 from tallyspark.llm.langid import held_out, identify_language
+from tallyspark.llm.mixing import BLOCK_TOKENS, REPEAT_LIMIT, mix_sources
 from tallyspark.llm.neardup import near_duplicates
 from tallyspark.llm.packing import pack_documents
 from tallyspark.llm.pii import BASE, find_personal_data
+from tallyspark.llm.sharding import BITS, SHARD_BYTES, shard_documents
 from tallyspark.llm.warc import read_archives, write_archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +123,57 @@ select doc_id, cast(n as bigint) as n_chars, sha as edited_sha256, {_sketch_sql(
        case when len(a) + len(c) = 0 then 1.0 else cast(ac as double) / (len(a) + len(c) - ac) end as near_next
 from s
 """
+
+
+@query
+def op6_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the mix takes every document."""
+    mixed = mix_sources(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", F.col("mix_tokens").alias("tokens"), F.round("mix_weight", 9).alias("weight"),
+                        F.col("mix_rate").alias("rate"), F.col("mix_block").alias("block"), F.col("mix_copies").alias("copies"))
+
+
+ORACLES["op6_temperature_mixing"] = f"""
+with recursive d as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+')) + 1 as tokens,
+         cast('0x' || substr(md5('17:' || coalesce(cast(doc_id as varchar), '')), 1, 15) as bigint) as draw
+  from documents),
+s as (select source, cast(sum(tokens) as bigint) as tokens from d group by source),
+t as (select cast(sum(tokens) as double) as total, cast(min(tokens) as double) as least, cast(max(tokens) as double) as most from s),
+bisect(step, low, high) as (
+  select 0, 0.0::double, case when pow((least / total) / (most / total), -1.0) > {REPEAT_LIMIT} then 1.0::double else 0.0::double end from t
+  union all
+  select step + 1, case when flat then (low + high) / 2 else low end, case when flat then high else (low + high) / 2 end
+  from (select *, pow((least / total) / (most / total), (low + high) / 2 - 1) > {REPEAT_LIMIT} as flat from bisect, t) where step < 40),
+a as (select floor(high * 1e6 + 0.5) / 1e6 as exponent from bisect where step = 40),
+z as (select sum(pow(tokens / total, exponent)) as z from s, t, a),
+p as (select source, tokens as source_tokens, pow(tokens / total, exponent) / z as weight,
+             floor(most / (pow(most / total, exponent) / z) * (pow(tokens / total, exponent) / z) / tokens * 1e9 + 0.5) / 1e9 as rate,
+             cast(ceil(tokens / {BLOCK_TOKENS}) as bigint) as blocks
+      from s, t, a, z),
+r as (select doc_id, d.source, tokens, weight, rate, draw, draw % blocks as block from d join p on d.source is not distinct from p.source),
+w as (select *, 2 * sum(tokens) over (partition by source, block order by draw, doc_id, tokens rows unbounded preceding) - tokens as middle,
+             sum(tokens) over (partition by source, block) as block_tokens from r)
+select doc_id, source, cast(tokens as bigint) as tokens, round(weight, 9) as weight, rate, cast(block as bigint) as block,
+       cast(floor(rate) + case when middle <= 2 * (rate - floor(rate)) * block_tokens then 1 else 0 end as bigint) as copies
+from w
+"""
+
+
+@query
+def op7_extendible_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document."""
+    return shard_documents(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op7_extendible_hashing"] = f"""
+with d as (select doc_id, octet_length(encode(coalesce(text, ''))) as bytes,
+                  cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 15) as bigint) as h from documents),
+e as (select *, h >> cast({BITS} - depth as bigint) as prefix from d, (select unnest(range(0, 41)) as depth)),
+s as (select depth, prefix, cast(sum(bytes) as bigint) as shard_bytes, count(*) as shard_rows from e group by depth, prefix
+      having sum(bytes) <= {SHARD_BYTES} or count(*) = 1),
+f as (select e.doc_id, min(e.depth) as depth from e join s on e.depth = s.depth and e.prefix = s.prefix group by e.doc_id)
+select e.doc_id, cast(e.bytes as bigint) as bytes, cast(e.depth as int) as depth,
+       substr(lpad(to_binary(e.prefix), {BITS}, '0'), cast({BITS} - e.depth + 1 as int)) as shard, shard_bytes, shard_rows
+from f join e on f.doc_id = e.doc_id and f.depth = e.depth join s on s.depth = e.depth and s.prefix = e.prefix
+"""
