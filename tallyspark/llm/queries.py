@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyspark.llm.ann import nearest_neighbours
 from tallyspark.llm.fingerprints import CHECK, ROWS, WIDTHS, fingerprint_documents
 from tallyspark.llm.langid import held_out, identify_language
+from tallyspark.llm.licenses import TEMPLATES, THRESHOLD, scan_licenses
 from tallyspark.llm.mixing import BLOCK_TOKENS, REPEAT_LIMIT, mix_sources
 from tallyspark.llm.neardup import near_duplicates
 from tallyspark.llm.packing import pack_documents
@@ -58,6 +60,12 @@ def op3_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth."""
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the documents that are not held out."""
@@ -177,3 +185,40 @@ select e.doc_id, cast(e.bytes as bigint) as bytes, cast(e.depth as int) as depth
        substr(lpad(to_binary(e.prefix), {BITS}, '0'), cast({BITS} - e.depth + 1 as int)) as shard, shard_bytes, shard_rows
 from f join e on f.doc_id = e.doc_id and f.depth = e.depth join s on s.depth = e.depth and s.prefix = e.prefix
 """
+
+
+@query
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licences in every document."""
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+_QUOTED = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in TEMPLATES)
+
+
+def _bigrams_sql(text: str) -> str:
+    lower = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    own = f"list_transform(regexp_extract_all({lower}, '[a-z0-9]+(?:\\.[a-z0-9]+)*'), lambda w: case when w = 'licence' then 'license' else w end)"
+    return f"list_distinct(list_transform(list_zip({own}[:-2], {own}[2:]), lambda p: p[1] || ' ' || p[2]))"
+
+
+ORACLES["op9_license_scan"] = f"""
+with d as (select doc_id, coalesce(text, '') as text from documents),
+t as (select license, {_bigrams_sql("body")} as own from (values {_QUOTED}) as v(license, body)),
+lines as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as no from d),
+blank as (select *, sum(case when trim(line, ' ' || chr(9) || chr(13)) = '' then 1 else 0 end) over (partition by doc_id order by no) as gaps
+          from lines),
+u as (
+  select doc_id, 0 as kind, 0 as no, text as body from d
+  union all select doc_id, 1, gaps, string_agg(line, chr(10) order by no) from blank where trim(line, ' ' || chr(9) || chr(13)) <> '' group by doc_id, gaps
+  union all select doc_id, 2, no, line from lines
+  union all select doc_id, 3, cast(row_number() over (partition by doc_id order by no, k) - 1 as bigint), piece from (
+    select doc_id, no, unnest(string_split(cut, chr(10))) as piece, unnest(range(len(string_split(cut, chr(10))))) as k
+    from (select *, regexp_replace(line, '([.!?]) +', '\\1' || chr(10), 'g') as cut from lines))),
+b as (select doc_id, kind, no, {_bigrams_sql("body")} as own from u),
+m as (select doc_id, license, kind, no, 2.0::double * len(list_intersect(b.own, t.own)) / (len(b.own) + len(t.own)) as dice
+      from b join t on len(b.own) >= len(t.own) * {THRESHOLD} / (2 - {THRESHOLD}) - 1e-9 and len(b.own) <= len(t.own) * (2 - {THRESHOLD}) / {THRESHOLD} + 1e-9
+      where len(b.own) > 0),
+r as (select *, row_number() over (partition by doc_id, license order by dice desc, kind, no) as place from m where dice >= {THRESHOLD})
+select doc_id, license, dice, (['document', 'paragraph', 'line', 'sentence'])[kind + 1] as part, cast(no as bigint) as part_no from r where place = 1
+"""
