@@ -148,10 +148,18 @@ def _difference(ours: Column, theirs: Column, turn: int) -> Column:
 
 def likeness(ours: Column, theirs: Column, difference: Column) -> Column:
     """Jaccard similarity of two sets from their sizes and the size of their difference; of two empty sets 1."""
-    both = (F.size(ours) + F.size(theirs)).cast("double")
+    both = (ours + theirs).cast("double")
     return F.when(both == 0, F.lit(1.0)).otherwise((both - difference) / (both + difference))
 
 
+def _compared(rows: DataFrame, turn: int) -> DataFrame:
+    """``rows`` with the differences of a round; the digests stay with the rows where one of the two is missing."""
+    done = rows.withColumns({"to_edited": _difference(F.col("own"), F.col("changed"), turn),
+                             "to_next": _difference(F.col("own"), F.col("following"), turn)})
+    stuck = F.col("to_edited").isNull() | F.col("to_next").isNull()
+    return stage(done.withColumns({c: F.when(stuck, F.col(c)) for c in ("own", "changed", "following")}), "fingerprints")
+
+
 def with_next_text(docs: DataFrame) -> DataFrame:
     """(row, doc_id, text, next_text): the text that follows by ascending doc_id, after the last one the first.
 
@@ -197,24 +205,21 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut))
     rows = with_next_text(docs).withColumn("edited", edited).select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", F.char_length("text").cast("long").alias("n_chars"),
-        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), paragraph_digests(F.col("text")).alias("own"),
-        paragraph_digests(F.col("edited")).alias("changed"), paragraph_digests(F.col("next_text")).alias("following"))
-    rows = stage(rows, "digests")  # also fixes the row numbers
-    todo, solved = rows, None
+        "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        paragraph_digests(F.col("text")).alias("own"), paragraph_digests(F.col("edited")).alias("changed"),
+        paragraph_digests(F.col("next_text")).alias("following"))
+    rows = rows.withColumns({"fingerprint": sketch_text(F.col("own")), "edited_fingerprint": sketch_text(F.col("changed")),
+                             **{f"n_{c}": F.size(c) for c in ("own", "changed", "following")}})
+    solved = None
     for turn in range(MAX_ROUNDS):
-        got = stage(todo.select("row", _difference(F.col("own"), F.col("changed"), turn).alias("to_edited"),
-                                _difference(F.col("own"), F.col("following"), turn).alias("to_next")), "differences")
-        done = got.where("to_edited is not null and to_next is not null")
+        rows = _compared(rows, turn)
+        done = rows.where("own is null")
         solved = done if solved is None else solved.unionByName(done)
-        again = got.where("to_edited is null or to_next is null").select("row")
-        if again.isEmpty():
+        rows = rows.where("own is not null").drop("to_edited", "to_next")
+        if rows.isEmpty():
             break
-        todo = rows.join(again, "row", "left_semi")
     else:
         raise RuntimeError(f"sketches did not peel in {MAX_ROUNDS} rounds")
-    out = rows.join(solved, "row")
-    return out.select("doc_id", "n_chars", "edited_sha256", sketch_text(F.col("own")).alias("fingerprint"),
-                      sketch_text(F.col("changed")).alias("edited_fingerprint"),
-                      likeness(F.col("own"), F.col("changed"), F.col("to_edited")).alias("near_edited"),
-                      likeness(F.col("own"), F.col("following"), F.col("to_next")).alias("near_next"))
+    return solved.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+                         likeness(F.col("n_own"), F.col("n_changed"), F.col("to_edited")).alias("near_edited"),
+                         likeness(F.col("n_own"), F.col("n_following"), F.col("to_next")).alias("near_next"))
