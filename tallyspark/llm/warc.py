@@ -120,7 +120,7 @@ def _write(folder: str, dictionary, archive_bytes: int, level: int):
                     path, records, size = f"{folder}/{uuid.uuid4().hex}.warc.zst", 0, 0
                     store, inner = _open(path)
                     store.create_dir(inner.rsplit("/", 1)[0], recursive=True)
-                    out = store.open_output_stream(inner)
+                    out = store.open_output_stream(inner, compression=None)
                     out.write(head)
                     out.write(squeeze.compress(info))
                     size = len(head)
@@ -208,7 +208,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path, expected in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             store, inner = _open(path)
             rows, held, found = [], 0, 0
-            with store.open_input_stream(inner) as raw:
+            with store.open_input_stream(inner, compression=None) as raw:
                 for head, block in read_records(raw):
                     kind = head["warc-type"]
                     if kind == "warcinfo":
