@@ -23,6 +23,12 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*(F.col(f"c{at[n]}").alias(n) for n in names))
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns called _0, _1, ... and the new name of each (the first of equal ones), to work on any table."""
+    names = {c: f"_{i}" for i, c in reversed(list(enumerate(df.columns)))}
+    return df.toDF(*(f"_{i}" for i in range(len(df.columns)))), names
+
+
 def ship(spark: SparkSession) -> None:
     """Makes this package importable in Python workers, once per application (as ``--py-files`` would)."""
     context = spark.sparkContext

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import pick, ship
+from tallyspark.llm.common import numbered, pick, ship
 from tallyspark.llm.shingles import mix
 
 BUCKETS = 1 << 15
@@ -137,9 +137,12 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def train(examples: list[tuple[np.ndarray, np.ndarray]], labels: list[str], epochs: int = 6, rate: float = 0.4,
+def train(examples: list[tuple[np.ndarray, np.ndarray]], labels: list[str], steps: int = 700, rate: float = 0.4,
           batch: int = 64, reject_share: float = 0.0005, seed: int = 11) -> LanguageModel:
-    """Fits the model by mini-batch SGD on four fifths of the examples, the temperature and limit on the rest."""
+    """Fits the model by mini-batch SGD on four fifths of the examples, the temperature and limit on the rest.
+
+    At least ``steps`` batches are drawn, and every example six times.
+    """
     names = sorted(set(labels))
     y = np.array([names.index(x) for x in labels], dtype=np.int64)
     rng = np.random.default_rng(seed)
@@ -149,6 +152,7 @@ def train(examples: list[tuple[np.ndarray, np.ndarray]], labels: list[str], epoc
     order = rng.permutation(len(y))
     back, used = order[:len(y) // 5], order[len(y) // 5:]
     losses: list[float] = []
+    epochs = max(6, -(-steps // max(1, -(-len(used) // batch))))
 
     def gather(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         parts = [examples[i] for i in rows]
@@ -261,10 +265,10 @@ def identify_language(docs: DataFrame, model: LanguageModel | None = None) -> Da
     return src.mapInArrow(_predict(shared), "doc_id long, lang_pred string, score double, rejected boolean")
 
 
-def _accepted(model):
+def _accepted(model, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.names.index("text")
+            at = batch.schema.names.index(text_col)
             for low in range(0, batch.num_rows, 512):
                 part = batch.slice(low, 512)
                 rejected = model.value.predict(part.column(at).to_pylist())[2]
@@ -278,4 +282,5 @@ def keep_identified(docs: DataFrame, model: LanguageModel | None = None) -> Data
     ship(docs.sparkSession)
     model = model or fit_language_model(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_accepted(shared), docs.schema)
+    plain, at = numbered(docs)
+    return plain.mapInArrow(_accepted(shared, at["text"]), plain.schema).toDF(*docs.columns)

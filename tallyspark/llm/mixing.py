@@ -14,11 +14,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import stage
+from tallyspark.llm.common import numbered, stage
 
 BLOCK_TOKENS = 100_000
 REPEAT_LIMIT = 2.0
 SECTIONS = 32
+MIX = ("mix_tokens", "mix_weight", "mix_rate", "mix_block", "mix_copies")
 WORD = r"[^ \t\n\x0B\f\r]+"
 
 
@@ -82,10 +83,10 @@ def mix_sources(docs: DataFrame, entropy: float | None = None, repeat_limit: flo
     Without ``budget_tokens`` the budget is the least at which every source is taken whole, so nothing is dropped. A null source
     is one of its own, a null text has one token; repeated rows are counted and taken one by one; an empty table stays empty.
     """
-    taken = {c.lower() for c in docs.columns}
-    if clash := [c for c in ("mix_tokens", "mix_weight", "mix_rate", "mix_block", "mix_copies", "mix_key", "mix_draw") if c in taken]:
+    if clash := [c for c in MIX if c in {n.lower() for n in docs.columns}]:
         raise ValueError(f"columns {clash} are in the way")
-    rows = docs.withColumns({"mix_tokens": token_count(F.col("text")), "mix_key": source_key(F.col("source"))})
+    plain, at = numbered(docs)
+    rows = plain.withColumns({"mix_tokens": token_count(F.col(at["text"])), "mix_key": source_key(F.col(at["source"]))})
     sizes = stage(rows.groupBy("mix_key").agg(F.sum("mix_tokens").alias("tokens")), "sources")
     exponent, z = bisect_exponent(sizes, entropy, repeat_limit, budget_tokens)
     total, largest = sizes.agg(F.sum("tokens"), F.max("tokens")).first()
@@ -95,20 +96,22 @@ def mix_sources(docs: DataFrame, entropy: float | None = None, repeat_limit: flo
     plan = sizes.select(F.col("mix_key").alias("mix_of"), weight.alias("mix_weight"),
                         (F.floor(budget * weight / F.col("tokens") * 1e9 + 0.5) / 1e9).alias("mix_rate"),
                         F.ceil(F.col("tokens") / block_tokens).alias("mix_blocks"))
-    rows = rows.withColumn("mix_draw", draw(F.col("doc_id"), seed))
+    rows = rows.withColumn("mix_draw", draw(F.col(at["doc_id"]), seed))
     rows = rows.join(plan, F.col("mix_key") == F.col("mix_of")).withColumn("mix_block", F.col("mix_draw") % F.col("mix_blocks"))
     block = Window.partitionBy("mix_key", "mix_block")
-    order = block.orderBy("mix_draw", "doc_id", "mix_tokens").rowsBetween(Window.unboundedPreceding, 0)
+    order = block.orderBy("mix_draw", at["doc_id"], "mix_tokens").rowsBetween(Window.unboundedPreceding, 0)
     # Twice the middle of the document against twice the block's share of the last, partial epoch.
     middle = 2 * F.sum("mix_tokens").over(order) - F.col("mix_tokens")
     whole = F.floor("mix_rate")
     extra = middle <= 2 * (F.col("mix_rate") - whole) * F.sum("mix_tokens").over(block)
     out = rows.withColumn("mix_copies", (whole + extra.cast("int")).cast("long"))
-    return out.drop("mix_key", "mix_of", "mix_blocks", "mix_draw")
+    return out.select(*plain.columns, *MIX).toDF(*docs.columns, *MIX)
 
 
 def take_copies(mixed: DataFrame) -> DataFrame:
     """The documents as often as the mix takes them, without the columns of the mix."""
-    own = [c for c in mixed.columns if c not in ("mix_tokens", "mix_weight", "mix_rate", "mix_block", "mix_copies")]
-    many = mixed.where("mix_copies > 0").withColumn("mix_epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies"))))
-    return many.select(*own)
+    plain, at = numbered(mixed)
+    copies = F.col(at["mix_copies"])
+    many = plain.where(copies > 0).withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
+    own = [c for c in mixed.columns if c not in MIX]
+    return many.select(*(f"_{i}" for i, c in enumerate(mixed.columns) if c not in MIX)).toDF(*own)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import components, pick, ship, stage
+from tallyspark.llm.common import components, numbered, pick, ship, stage
 from tallyspark.llm.shingles import mix, shingle_sets, slices
 
 VALUES = 128
@@ -324,6 +324,5 @@ def _spread(trees: int):
 def drop_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """``docs`` without the documents that are not the one kept of their group; columns as they are."""
     gone = near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    if "gone_id" in [c.lower() for c in docs.columns]:
-        raise ValueError("a column named gone_id is in the way")
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    plain, at = numbered(docs)
+    return plain.join(gone, F.col(at["doc_id"]) == F.col("gone_id"), "left_anti").toDF(*docs.columns)

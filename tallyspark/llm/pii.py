@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import pick, ship, stage
+from tallyspark.llm.common import numbered, pick, ship, stage
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret")
@@ -298,10 +298,10 @@ def redact(text: str | None, model: SpanModel) -> str | None:
     return "".join([*out, text[at:]]) if out else text
 
 
-def _redacted(model):
+def _redacted(model, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.names.index("text")
+            at = batch.schema.names.index(text_col)
             field = batch.schema.field(at)
             texts = pa.array((redact(t.as_py(), model.value) for t in batch.column(at)), field.type)
             yield batch.set_column(at, field, texts)
@@ -313,7 +313,9 @@ def redact_personal_data(docs: DataFrame, model: SpanModel | None = None) -> Dat
     """``docs`` with the personal data of every text replaced by placeholders; ``n_chars``, where there is one, follows."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model or fit_span_model(docs))
-    out = docs.mapInArrow(_redacted(shared), docs.schema)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out
+    plain, at = numbered(docs)
+    plain = plain.mapInArrow(_redacted(shared, at["text"]), plain.schema)
+    if "n_chars" in at:
+        kind = docs.schema[docs.columns.index("n_chars")].dataType
+        plain = plain.withColumn(at["n_chars"], F.char_length(at["text"]).cast(kind))
+    return plain.toDF(*docs.columns)

@@ -76,7 +76,8 @@ def shard_documents(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFram
 def directory(sharded: DataFrame) -> DataFrame:
     """(entry, shard): the directory over prefixes of the deepest shard's length, each pointing to its shard.
 
-    A shard of less depth fills a run of entries. For shards within the 60 bits of the key.
+    A shard of less depth fills a run of entries; a prefix without rows has no shard and no entry. For shards within the 60
+    bits of the key.
     """
     shards = sharded.select("shard", "depth").distinct()
     deepest = shards.agg(F.max("depth")).first()[0] or 0
