@@ -22,6 +22,7 @@ from tallyspark.llm.tokens import load, tokenizer_file
 WINDOW = 2048
 SHARD_TOKENS = 1_000_000
 K1, B = 1.2, 0.75
+QUERY_TERMS = 64
 
 
 def _tokenize(definition, end_id: int):
@@ -30,8 +31,8 @@ def _tokenize(definition, end_id: int):
         end = np.array([end_id], dtype=tok.dtype).tobytes()
         row = 0
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
+            for low in range(0, batch.num_rows, 1024):
+                part = batch.slice(low, 1024)
                 ids = [x + end for x in tok.encode(part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(ids, pa.binary()),
@@ -43,12 +44,21 @@ def _tokenize(definition, end_id: int):
     return run
 
 
+def _terms(ids: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids and how often each occurs, without sorting. ``place`` is scratch space, one number per id."""
+    at = np.arange(len(ids))
+    place[ids] = at
+    last = place[ids]  # where the same id stands last
+    mine = last == at
+    return ids[mine], np.bincount(last, minlength=len(ids))[mine]
+
+
 def _frequencies(dtype: str, vocabulary: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros(vocabulary, dtype=np.int64)
+        count, place = np.zeros(vocabulary, dtype=np.int64), np.zeros(vocabulary, dtype=np.int64)
         for batch in batches:
             for ids in batch.column(0):
-                count[np.unique(np.frombuffer(ids.as_buffer(), dtype=dtype))] += 1
+                count[_terms(np.frombuffer(ids.as_buffer(), dtype=dtype), place)[0]] += 1
         at = np.flatnonzero(count)
         for low in range(0, len(at), 10_000):
             own = at[low:low + 10_000]
@@ -61,15 +71,18 @@ class ShardIndex:
     """BM25 postings of the documents of one shard, with the term weights of the whole corpus."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean_length: float):
-        terms, owner, weight = [], [], []
+        terms, owner, weight, asks = [], [], [], []
+        place = np.zeros(len(idf), dtype=np.int64)
         for i, ids in enumerate(docs):
-            t, tf = np.unique(ids, return_counts=True)
+            t, tf = _terms(ids, place)
             useful = idf[t] > 0
             t, tf = t[useful].astype(np.int64), tf[useful]
+            w = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / mean_length))
             terms.append(t)
-            owner.append(np.full(len(t), i))
-            weight.append(idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / mean_length)))
-        self.of_doc = terms
+            owner.append(np.full(len(t), i, dtype=np.int32))
+            weight.append(w)
+            asks.append(t if len(t) <= QUERY_TERMS else t[np.argpartition(-w, QUERY_TERMS)[:QUERY_TERMS]])
+        self.of_doc = asks
         terms = np.concatenate(terms)
         order = np.argsort(terms, kind="stable")
         self.owner, self.weight = np.concatenate(owner)[order], np.concatenate(weight)[order]
@@ -77,13 +90,25 @@ class ShardIndex:
         self.n = len(docs)
 
     def scores(self, i: int) -> np.ndarray:
-        """BM25 of every document of the shard for the terms of document ``i``."""
+        """BM25 of every document of the shard for the ``QUERY_TERMS`` heaviest terms of document ``i``."""
         t = self.of_doc[i]
         first, size = self.starts[t], self.starts[t + 1] - self.starts[t]
         at = np.arange(int(size.sum())) + np.repeat(first - (np.cumsum(size) - size), size)
         return np.bincount(self.owner[at], weights=self.weight[at], minlength=self.n)
 
 
+def _best_first(scores: np.ndarray, few: int = 24) -> Iterator[int]:
+    """Places by falling score, equal ones in order; the first few without sorting them all."""
+    if len(scores) > 4 * few:
+        limit = np.partition(scores, len(scores) - few)[len(scores) - few]
+        first = np.flatnonzero(scores > limit)
+        yield from first[np.argsort(-scores[first], kind="stable")].tolist()
+        rest = np.flatnonzero(scores <= limit)
+    else:
+        rest = np.arange(len(scores))
+    yield from rest[np.argsort(-scores[rest], kind="stable")].tolist()
+
+
 def fill_windows(names: list, docs: list[np.ndarray], index: ShardIndex, window: int) -> Iterator[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) that fill windows one after the other.
 
@@ -116,7 +141,7 @@ def fill_windows(names: list, docs: list[np.ndarray], index: ShardIndex, window:
         ranked = index.scores(inside[0])
         ranked[used] = -1
         at, placed = sequence, False
-        for j in np.argsort(-ranked, kind="stable").tolist():
+        for j in _best_first(ranked):
             if ranked[j] <= 0 or sequence != at:
                 break
             if any(names[j] == names[k] for k in inside):

@@ -12,7 +12,8 @@ import numpy as np
 
 CACHE_WORDS = 500_000
 _MARKS = string.punctuation
-_SEPARATORS = "\x1c\x1d\x1e\x1f"
+#: White space to Python but not to the tokenizer, and the start of its special tokens.
+_ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 _loaded: dict[int, WordTokenizer] = {}
 
 
@@ -22,21 +23,18 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def _plain(word: str) -> str | None:
-    """The normalised, lower-case form of a word when that is letters only and lower-casing goes letter by letter."""
-    if word.isascii():
-        return word.lower()
-    form = unicodedata.normalize("NFC", word)
-    low = form.lower()
-    return low if low.isalpha() and len(low) == len(form) and "\u03a3" not in form else None
+def _plain(text: str) -> bool:
+    """Whether the tokenizer's normal form of a text is its lower case, and no mark in it has a meaning of its own."""
+    return (text.isascii() or (unicodedata.is_normalized("NFC", text) and "\u0130" not in text and "\u03a3" not in text)) and not any(
+        c in text for c in _ODD)
 
 
 class WordTokenizer:
     """Ids of a tokenizer that never joins text across white space and marks the last token of each word.
 
-    Texts are cut at white space, and the ids of a piece are kept from one text to the next. Unseen plain words are encoded
-    many at a time, without the steps for normal forms that are theirs already; the word-end marks tell them apart again.
-    Whatever does not fit this goes through the tokenizer whole.
+    Texts are lower-cased and cut at white space, and the ids of a piece are kept from one text to the next. Unseen words are
+    encoded many at a time, without the steps for normal forms that are theirs already; the word-end marks tell them apart
+    again. Whatever does not fit this goes through the tokenizer whole.
     """
 
     def __init__(self, definition: str):
@@ -60,43 +58,42 @@ class WordTokenizer:
         return [np.array(e.ids, dtype=self.dtype) for e in self.full.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of pieces that are not in the newer half of the cache. A piece that is a new word with marks or capitals is
-        kept as the word alone; it gets an entry of its own when it comes again."""
+        """Ids of pieces that are not in the newer half of the cache. A piece that is a new word with marks is kept as the word
+        alone; it gets an entry of its own when it comes again."""
         if len(self.words) > CACHE_WORDS:
             self.older, self.words = self.words, {}
         words, older = self.words, self.older
         found: dict[str, bytes] = {}
-        parts, odd, fresh, tails = [], [], set(), set()
+        parts, odd, fresh, tails = [], [], {}, {}
         for p in pieces:
             known = older.get(p)
             if known is not None:
                 words[p] = known
-                continue
-            if p.isalpha():
-                stem, tail = p, ""
+            elif p.isalpha() and len(p) <= 200:
+                fresh[p] = None
             else:
-                stem = p.rstrip(_MARKS)
-                tail = p[len(stem):]
-            head = _plain(stem) if len(p) <= 200 and stem.isalpha() else None
-            if head is None:
-                odd.append(p)
-                continue
-            if head not in words:
-                if head in older:
-                    words[head] = older[head]
-                else:
-                    fresh.add(head)
-            if tail and tail not in words:
-                tails.add(tail)
-            if p != head:
+                head = p.rstrip(_MARKS)
+                if not head.isalpha() or len(p) > 200:
+                    odd.append(p)
+                    continue
+                tail = p[len(head):]
+                if tail not in words:
+                    tails[tail] = None
                 parts.append((p, head, tail))
-        self._encode_plain(sorted(fresh))
+        new = {}
+        for _, head, _ in parts:
+            if head not in words and head not in fresh:
+                known = older.get(head)
+                if known is not None:
+                    words[head] = known
+                else:
+                    new[head] = None
+        self._encode_plain([*fresh, *new])
         odd += tails
         for p, ids in zip(odd, self._ids(odd)):
             words[p] = ids.tobytes()
         for p, head, tail in parts:
-            ids = words[head] + words[tail] if tail else words[head]
-            (found if head in fresh else words)[p] = ids
+            (found if head in new or head in fresh else words)[p] = words[head] + words[tail]
         return found
 
     def _encode_plain(self, words: list[str]) -> None:
@@ -118,7 +115,7 @@ class WordTokenizer:
         get = self.words.get
         cut, rows, missing = [], [], set()
         for t in texts:
-            pieces = t.split() if t and not any(c in t for c in _SEPARATORS) else None
+            pieces = t.lower().split() if t and _plain(t) else None
             row = list(map(get, pieces)) if pieces else []
             cut.append(pieces)
             rows.append(row)
