@@ -21,13 +21,15 @@ _TIME = r"(?:[T ]+\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:\s*[AaPp][Mm])?)?"
 _YMD_FIXED = rf"^\d{{4}}[-/]\d{{2}}[-/]\d{{2}}{_TIME}$"
 _MDY_FIXED = rf"^\d{{2}}[-/]\d{{2}}[-/]\d{{4}}{_TIME}$"
 _YMD = rf"^(\d{{4}})[-/](\d{{1,2}})[-/](\d{{1,2}}){_TIME}$"
-_MDY = rf"^(\d{{1,2}})[-/](\d{{1,2}})[-/](\d{{4}}){_TIME}$"
-_ZONED = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:Z|[+-]\d{2}:?\d{2})$"
+_MDY = rf"^(\d{{1,2}})[-/](\d{{1,2}})[-/](\d{{4}}|\d{{2}}){_TIME}$"
+_ZONED = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:Z|[+-]\d{2}(?::?\d{2})?)$"
 _YEAR_MONTH = r"^(\d{4})(?:-(\d{1,2}))?$"
 _MONTHS = "jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"
 _WEEKDAY = r"(?:[A-Za-z]{3,9},?\s+)?"
-_MONTH_FIRST = rf"(?i)^{_WEEKDAY}({_MONTHS})[a-z]*\.?\s+(\d{{1,2}}),?\s+(\d{{4}}){_TIME}$"
-_DAY_FIRST = rf"(?i)^{_WEEKDAY}(\d{{1,2}})[\s-]+({_MONTHS})[a-z]*\.?,?[\s-]+(\d{{4}}){_TIME}$"
+_UTC = r"(?:\s*(?:GMT|UTC|Z|[+-]00:?00))?"
+_MONTH_FIRST = rf"(?i)^{_WEEKDAY}({_MONTHS})[a-z]*\.?\s+(\d{{1,2}}),?\s+(\d{{4}}){_TIME}{_UTC}$"
+_DAY_FIRST = rf"(?i)^{_WEEKDAY}(\d{{1,2}})[\s-]+({_MONTHS})[a-z]*\.?,?[\s-]+(\d{{4}}|\d{{2}}){_TIME}{_UTC}$"
+_MONTH_YEAR = rf"(?i)^({_MONTHS})[a-z]*\.?,?\s+(\d{{4}})$"
 
 
 def trim_blanks(c: Column) -> Column:
@@ -44,7 +46,7 @@ def parse_number(c: Column) -> Column:
     return number_text(c).try_cast("double")
 
 
-def parse_money(c: Column, dtype: str = "decimal(18,4)") -> Column:
+def parse_money(c: Column, dtype: str = "decimal(38,10)") -> Column:
     return number_text(c).try_cast(dtype)
 
 
@@ -52,6 +54,11 @@ def _ymd(y: Column, m: Column, d: Column) -> Column:
     return F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")).try_cast("date")
 
 
+def _year(y: Column) -> Column:
+    """Two-digit years below 50 are in this century."""
+    return F.when(F.length(y) == 4, y).when(y < "50", F.concat(F.lit("20"), y)).otherwise(F.concat(F.lit("19"), y))
+
+
 def _part(c: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract(c, pattern, group)
 
@@ -64,7 +71,8 @@ def _month_number(name: Column) -> Column:
 def parse_day(c: Column) -> Column:
     """Day of a date cell. The two fixed-width spellings come first and are cut by position, which is most of any feed;
     zoned instants are read as their UTC day."""
-    utc_day = F.to_utc_timestamp(c.try_cast("timestamp"), F.current_timezone()).cast("date")
+    zoned = F.when(c.rlike(r"[+-]\d{2}$"), F.concat(c, F.lit(":00"))).otherwise(c)
+    utc_day = F.to_utc_timestamp(zoned.try_cast("timestamp"), F.current_timezone()).cast("date")
     mdy_fixed = F.concat(F.substring(c, 7, 4), F.lit("-"), F.substring(c, 1, 2), F.lit("-"), F.substring(c, 4, 2))
     month = F.coalesce(F.nullif(_part(c, _YEAR_MONTH, 2), F.lit("")), F.lit("1"))
     return (
@@ -72,12 +80,13 @@ def parse_day(c: Column) -> Column:
         .when(c.rlike(_MDY_FIXED), mdy_fixed.try_cast("date"))
         .when(c.rlike(_ZONED), utc_day)
         .when(c.rlike(_YMD), _ymd(_part(c, _YMD, 1), _part(c, _YMD, 2), _part(c, _YMD, 3)))
-        .when(c.rlike(_MDY), _ymd(_part(c, _MDY, 3), _part(c, _MDY, 1), _part(c, _MDY, 2)))
+        .when(c.rlike(_MDY), _ymd(_year(_part(c, _MDY, 3)), _part(c, _MDY, 1), _part(c, _MDY, 2)))
         .when(c.rlike(_YEAR_MONTH), _ymd(_part(c, _YEAR_MONTH, 1), month, F.lit("1")))
         .when(c.rlike(_MONTH_FIRST), _ymd(_part(c, _MONTH_FIRST, 3), _month_number(_part(c, _MONTH_FIRST, 1)),
                                           _part(c, _MONTH_FIRST, 2)))
-        .when(c.rlike(_DAY_FIRST), _ymd(_part(c, _DAY_FIRST, 3), _month_number(_part(c, _DAY_FIRST, 2)),
+        .when(c.rlike(_DAY_FIRST), _ymd(_year(_part(c, _DAY_FIRST, 3)), _month_number(_part(c, _DAY_FIRST, 2)),
                                         _part(c, _DAY_FIRST, 1)))
+        .when(c.rlike(_MONTH_YEAR), _ymd(_part(c, _MONTH_YEAR, 2), _month_number(_part(c, _MONTH_YEAR, 1)), F.lit("1")))
     )
 
 

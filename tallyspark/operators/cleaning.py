@@ -141,8 +141,8 @@ def cleaning_totals(*counts: DataFrame) -> DataFrame:
         "dataset", F.coalesce("dataset", F.lit("all")))
 
 
-def required_blank_warning(deduped: DataFrame, dataset: str, mapping: Mapping, sample: int | None = 200) -> DataFrame:
-    """Blank cells of each mapped required column within the first ``sample`` rows (or all rows)."""
+def required_blank_warning(deduped: DataFrame, dataset: str, mapping: Mapping, sample: int | None = None) -> DataFrame:
+    """Blank cells of each mapped required column in all rows, or within the first ``sample`` ones where that is asked for."""
     needed = [f for f in FIELDS[dataset] if f.required and mapping.get(f.key)]
     cells = deduped.select(ORD, *[trim_blanks(_cell(mapping[f.key])).alias(f.key) for f in needed])
     if sample is not None:

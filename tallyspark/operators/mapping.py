@@ -96,24 +96,26 @@ def _fold(fields: Column, candidates: Column, pinned: Column) -> Column:
 def assign_headers(headers: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
     """One row per feed and canonical field: the header it got (or null) and how.
 
-    ``overrides (feed, field, header)`` pin fields first; a null or empty header clears the field. Two fields may be
+    ``overrides (feed, [dataset,] field, header)`` pin fields first; a null or empty header clears the field. Two fields may be
     pinned to one header; pins on fields the dataset does not have are ignored.
     """
     spark = headers.sparkSession
     order = [F.col("stage"), F.col("score").desc(), F.col("header_ord")]
-    best = top_k(header_candidates(_distinct_headers(headers)), MOST_FIELDS, order, ("feed", "field"))
-    gathered = best.groupBy("feed").agg(
+    best = top_k(header_candidates(_distinct_headers(headers)), MOST_FIELDS, order, ("feed", "dataset", "field"))
+    gathered = best.groupBy("feed", "dataset").agg(
         F.array_sort(F.collect_list(F.struct("field_ord", "rank", "field", "header", "stage"))).alias("candidates"))
     fields = F.broadcast(spark.createDataFrame(
         [(d, [(i, f.key) for i, f in enumerate(fields)]) for d, fields in FIELDS.items()],
         "dataset string, fields array<struct<field_ord:int,field:string>>"))
-    feeds = headers.select("feed", "dataset").distinct().join(gathered, "feed", "left").join(fields, "dataset")
+    feeds = headers.select("feed", "dataset").distinct().join(gathered, ["feed", "dataset"], "left").join(fields, "dataset")
     if overrides is None:
         feeds = feeds.withColumn("pinned", F.create_map().cast("map<string,string>"))
     else:
-        pins = overrides.groupBy("feed", "field").agg(F.max("header").alias("header")).groupBy("feed").agg(
+        keys = [c for c in ("feed", "dataset") if c in overrides.columns]
+        known = overrides.join(F.broadcast(field_table(spark).select("field").distinct()), "field", "left_semi")
+        pins = known.groupBy(*keys, "field").agg(F.max("header").alias("header")).groupBy(*keys).agg(
             F.map_from_entries(F.collect_list(F.struct("field", "header"))).alias("pinned"))
-        feeds = feeds.join(pins, "feed", "left").withColumn(
+        feeds = feeds.join(pins, keys, "left").withColumn(
             "pinned", F.coalesce("pinned", F.create_map().cast("map<string,string>")))
     none = F.array().cast("array<struct<field_ord:int,rank:int,field:string,header:string,stage:int>>")
     folded = _fold(F.col("fields"), F.coalesce("candidates", none), F.col("pinned"))
@@ -121,8 +123,8 @@ def assign_headers(headers: DataFrame, overrides: DataFrame | None = None) -> Da
 
 
 def unmapped_headers(headers: DataFrame, assignment: DataFrame) -> DataFrame:
-    used = assignment.filter(F.col("header").isNotNull()).select("feed", "header").distinct()
-    return headers.join(used, ["feed", "header"], "left_anti").select("feed", "dataset", "header_ord", "header")
+    used = assignment.filter(F.col("header").isNotNull()).select("feed", "dataset", "header").distinct()
+    return headers.join(used, ["feed", "dataset", "header"], "left_anti").select("feed", "dataset", "header_ord", "header")
 
 
 def missing_required(assignment: DataFrame) -> DataFrame:
@@ -146,8 +148,8 @@ def mapping_report(headers: DataFrame, assignment: DataFrame) -> DataFrame:
 
 def override_diff(automatic: DataFrame, final: DataFrame) -> DataFrame:
     """Number of fields per feed whose final header is not the automatic one."""
-    pairs = automatic.select("feed", "field", F.col("header").alias("auto_header")).join(
-        final.select("feed", "field", "header"), ["feed", "field"])
+    pairs = automatic.select("feed", "dataset", "field", F.col("header").alias("auto_header")).join(
+        final.select("feed", "dataset", "field", "header"), ["feed", "dataset", "field"])
     return pairs.groupBy("feed").agg(
         F.count_if(~F.col("auto_header").eqNullSafe(F.col("header"))).alias("adjusted"))
 

@@ -87,22 +87,23 @@ def high_anomaly_flags(anomalies: DataFrame, k: int = HIGH_ANOMALIES, by: tuple[
 
 
 def risk_flags(inventory: DataFrame | None, sku_performers: DataFrame, region_performers: DataFrame,
-               anomalies: DataFrame, cap: int = LIST_CAP) -> DataFrame:
+               anomalies: DataFrame, cap: int = LIST_CAP, by: tuple[str, ...] = ()) -> DataFrame:
     """Stockouts in file order, then the growth, decline and anomaly rules, cut to ``cap`` entries.
 
     Stockouts come first, so only the first ``cap`` of them can make the list: every rule is cut before the union and the
-    final numbering sees a handful of rows.
+    final numbering sees a handful of rows. With ``by`` each scope has its list; stock belongs to none, so stockouts are then
+    a list of their own with a null scope.
     """
-    rules = [growth_opportunity(sku_performers).withColumn("within_ord", F.lit(0).cast("bigint")),
-             declining_region(region_performers).withColumn("within_ord", F.lit(0).cast("bigint")),
-             high_anomaly_flags(anomalies)]
+    rules = [growth_opportunity(sku_performers, by).withColumn("within_ord", F.lit(0).cast("bigint")),
+             declining_region(region_performers, by).withColumn("within_ord", F.lit(0).cast("bigint")),
+             high_anomaly_flags(anomalies, by=by)]
     if inventory is not None:
         first = top_k(stockout_risks(inventory), cap, [F.col(ORD), F.col("title"), F.col("detail")])
         rules.insert(0, first.select("type", "title", "detail", F.col("rank").cast("bigint").alias("within_ord")))
     merged = None
     for i, rule in enumerate(rules):
         rule = rule.withColumn("rule_ord", F.lit(i))
-        merged = rule if merged is None else merged.unionByName(rule)
-    order = W.orderBy("rule_ord", "within_ord")
+        merged = rule if merged is None else merged.unionByName(rule, allowMissingColumns=True)
+    order = (W.partitionBy(*by) if by else W).orderBy("rule_ord", "within_ord")
     return merged.withColumn("item", F.row_number().over(order)).filter(F.col("item") <= cap).select(
-        "item", "type", "title", "detail")
+        *by, "item", "type", "title", "detail")

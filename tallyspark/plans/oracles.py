@@ -173,7 +173,7 @@ def _top_bottom(partition: str, where: str, columns: str) -> str:
 
 
 _PCOLS = "dimension_value, current, previous, delta_pct"
-ORACLES["top_bottom_sku"] = _top_bottom("", "where currency = 'EUR'", _PCOLS)
+ORACLES["top_bottom_sku"] = _top_bottom("partition by currency", "", f"currency, {_PCOLS}").replace("<= 5", "<= 10")
 ORACLES["top_bottom_by_currency"] = _top_bottom("partition by currency", "", f"currency, {_PCOLS}")
 
 # ---- currencies and channels ----------------------------------------------------------------------------------------
@@ -193,8 +193,8 @@ for _d in ("region", "channel", "sku"):
  cast(sum(current) over (partition by currency) as double) as group_total from c""", "v_sales")
 
 ORACLES["category_cut"] = with_views(
-    f"""{_RANGE_SKU}, n as (select *, row_number() over (order by current desc, dimension_value) as rank from p
- where currency = 'INR') select rank, dimension_value, current from n where rank <= 6""", "v_sales")
+    f"""{_RANGE_SKU}, n as (select *, row_number() over (partition by currency order by current desc, dimension_value) as rank
+ from p) select currency, rank, dimension_value, current from n where rank <= 6""", "v_sales")
 ORACLES["category_cut_by_currency"] = with_views(
     """c as (select currency, sku as dimension_value, sum(revenue) as s from v_sales group by 1, 2),
  n as (select *, row_number() over (partition by currency order by s desc, dimension_value) as rank from c)
@@ -276,23 +276,30 @@ ORACLES["region_rolling_baseline"] = with_views(_REGION_MONTHS + " " + rolling_s
 
 # ---- key reconciliation ---------------------------------------------------------------------------------------------
 
-_GAPPY = "inv as (select distinct sku from v_inventory where sku not like '%0')"
-ORACLES["xref_sales_inventory"] = with_views(
-    _GAPPY + " select distinct sku as key from v_sales where sku not in (select sku from inv)", "v_sales", "v_inventory")
-ORACLES["xref_returns_orders"] = with_views(
-    """select distinct orderId as key from v_returns
- where orderId not in (select orderId from v_orders where status <> 'F')""", "v_orders", "v_returns")
-ORACLES["xref_returns_sales"] = with_views(
-    """k as (select distinct sku from v_returns)
- select count(*) as keys, count(*) filter (where sku not in (select sku from v_sales where date < date '1996-01-01'))
- as unmatched from k""", "v_sales", "v_returns")
-ORACLES["xref_report"] = with_views(
-    _GAPPY + """, a as (select count(distinct sku) as n, count(distinct sku) filter
-  (where sku not in (select sku from inv)) as u from v_sales),
+def _clean_keys(*datasets: str) -> str:
+    """Cleaned feeds as ``k_<dataset>``, without dropped rows; the placeholder is no key."""
+    return ", ".join(_coerced(d) for d in datasets) + "".join(
+        f", k_{d} as (select * from c_{d} where not dropped)" for d in datasets)
+
+
+def _cross_reference() -> None:
+    ORACLES["xref_sales_inventory"] = with_views(
+        _clean_keys("sales", "inventory") + """ select distinct sku as key from k_sales
+ where sku <> 'Unknown' and sku not in (select sku from k_inventory)""", "v_sales", "v_inventory")
+    ORACLES["xref_returns_orders"] = with_views(
+        _clean_keys("returns", "orders") + """ select distinct orderId as key from k_returns
+ where orderId <> 'Unknown' and orderId not in (select orderId from k_orders)""", "v_orders", "v_returns")
+    ORACLES["xref_returns_sales"] = with_views(
+        _clean_keys("returns", "sales") + """, k as (select distinct sku from k_returns where sku <> 'Unknown')
+ select count(*) as keys, count(*) filter (where sku not in (select sku from k_sales)) as unmatched from k""",
+        "v_sales", "v_returns")
+    ORACLES["xref_report"] = with_views(
+        _clean_keys("sales", "orders", "inventory", "returns") + """, a as (select count(distinct sku) as n, count(distinct sku)
+  filter (where sku not in (select sku from k_inventory)) as u from k_sales where sku <> 'Unknown'),
  b as (select count(distinct orderId) as n, count(distinct orderId) filter
-  (where orderId not in (select orderId from v_orders)) as u from v_returns),
+  (where orderId not in (select orderId from k_orders)) as u from k_returns where orderId <> 'Unknown'),
  c as (select count(distinct sku) as n, count(distinct sku) filter
-  (where sku not in (select sku from v_sales)) as u from v_returns)
+  (where sku not in (select sku from k_sales)) as u from k_returns where sku <> 'Unknown')
  select 0 as check_ord, 'Sales SKUs vs. inventory' as label, case when u = 0 then concat('All ', n,
   ' SKUs sold have a matching inventory record.') else concat(u, ' of ', n,
   ' SKUs sold have no matching inventory record.') end as detail, u = 0 as clean from a
@@ -302,7 +309,8 @@ ORACLES["xref_report"] = with_views(
  union all select 2, 'Return SKUs vs. sales', case when u = 0 then concat('All ', n,
   ' returned SKUs matched a sales record.') else concat(u, ' of ', n,
   ' returned SKUs have no matching sales record.') end, u = 0 from c""",
-    "v_sales", "v_orders", "v_returns", "v_inventory")
+        "v_sales", "v_orders", "v_returns", "v_inventory")
+
 
 # ---- ranking, scoping and drill-down of anomalies -------------------------------------------------------------------
 
@@ -412,9 +420,6 @@ _STOCKOUTS = """so as (select 'risk' as type, concat('Stockout risk: ', productN
  '.') as detail, _ord, n from risky)"""
 ORACLES["stockout_risks"] = with_views(
     f'{_AT_RISK}, {_STOCKOUTS} select type, title, detail, _ord from so', "v_inventory")
-ORACLES["risk_flags"] = with_views(
-    f"{_AT_RISK}, {_STOCKOUTS} select n as item, type, title, detail from so where n <= 6", "v_inventory")
-
 _PERIOD_REGION = """mo as (select currency, date_trunc('month', max(date)) as m from v_sales group by currency),
  rg as (select currency, region as dimension_value,
   cast(sum(case when date_trunc('month', date) = m then revenue else 0 end) as double) as current,
@@ -444,10 +449,36 @@ ORACLES["risk_rules"] = with_views(
   format('{{:,}}', cast(floor(observed + 0.5) as bigint)), ' vs. an expected ~',
   format('{{:,}}', cast(floor(baseline + 0.5) as bigint)), '.') from h where rn <= 3""", "v_sales", "v_returns")
 
+_PERIOD_SKU = _PERIOD_REGION[_PERIOD_REGION.index("rg as"):].replace("rg as", "sk as").replace("region as", "sku as")
+ORACLES["risk_flags"] = with_views(
+    f"""{_ALL}, {_AT_RISK}, {_STOCKOUTS}, {_PERIOD_REGION}, {_PERIOD_SKU},
+ g as (select *, (current - previous) / previous as d, row_number() over (partition by currency
+  order by (current - previous) / previous desc, current desc, dimension_value) as rn from sk
+  where previous > 0 and (current - previous) / previous > 0.3),
+ dn as (select *, (current - previous) / previous as d, row_number() over (partition by currency
+  order by (current - previous) / previous, current desc, dimension_value) as rn from rg
+  where previous > 0 and (current - previous) / previous < -0.3),
+ h as (select *, row_number() over (partition by currency order by abs(deviation) desc, det, dimension_value, period) as rn
+  from found where severity = 'high'),
+ every as (
+ select null as currency, 0 as rule, n as place, type, title, detail from so where n <= 6
+ union all select currency, 1, 1, 'opportunity', concat(dimension_value, ' demand accelerating'),
+  concat('Revenue up ', {_hundreds('d')}, '% month-over-month.') from g where rn = 1
+ union all select currency, 2, 1, 'risk', concat(dimension_value, ' region demand declining'),
+  concat('Revenue down ', {_hundreds('d')}, '% month-over-month.') from dn where rn = 1
+ union all select currency, 3, rn, case direction when 'above' then 'opportunity' else 'risk' end,
+  concat(metric_label, ' anomaly — ', dimension_value), concat(period_label, ' ', period, ': observed ',
+  format('{{:,}}', cast(floor(observed + 0.5) as bigint)), ' vs. an expected ~',
+  format('{{:,}}', cast(floor(baseline + 0.5) as bigint)), '.') from h where rn <= 3),
+ numbered as (select *, row_number() over (partition by currency order by rule, place) as item from every)
+ select currency, cast(item as int) as item, type, title, detail from numbered where item <= 6""",
+    "v_sales", "v_returns", "v_inventory")
+
 # ---- cleaning -------------------------------------------------------------------------------------------------------
 
 _NUMBER = r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
-_DATE_FORMATS = "['%Y-%m-%d', '%m/%d/%Y', '%Y/%m/%d', '%b %d, %Y', '%Y-%m-%dT%H:%M:%SZ']"
+_DATE_FORMATS = ("['%Y-%m-%d', '%m/%d/%y', '%m/%d/%Y', '%Y/%m/%d', '%b %d, %Y', '%Y-%m-%dT%H:%M:%SZ', '%d-%b-%y', "
+                 "'%a, %d %b %Y 00:00:00 GMT', '%B %Y', '%Y-%m-%d %H:%M:%S+00']")
 # Header each canonical field is read from in the raw feeds; fields without one stay blank.
 HEADERS = {
     "sales": {"date": "Date", "sku": "SKU", "product": "Product", "region": "Region", "channel": "Channel",
@@ -472,7 +503,7 @@ def _coerced(dataset: str) -> str:
         bare = f"replace(replace({col}, '$', ''), ',', '')"
         number = f"case when {bare} = '' then '0' when regexp_full_match({bare}, '{_NUMBER}') then {bare} end"
         typed = {"string": col, "number": f"try_cast({number} as double)",
-                 "money": f"try_cast({number} as decimal(18,4))",
+                 "money": f"try_cast({number} as decimal(38,10))",
                  "date": f"cast(try_strptime({col}, {_DATE_FORMATS}) as date)"}[f.kind]
         default = {"string": "'Unknown'", "number": "0", "money": "0", "date": "null"}[f.kind]
         values.append(f"""case when {col} = '' then {default} else coalesce({typed}, {default}) end as "{f.key}" """)
@@ -528,6 +559,22 @@ ORACLES["required_blank_warning"] = _blank_rows(
     "sales", {"date": "Date", "sku": "SKU", "units": "Qty", "revenue": "Revenue"}, "")
 ORACLES["required_blank_sample"] = _blank_rows(
     "orders", {"orderId": "OrderID", "orderDate": "Order Date", "total": "Total"}, "order by min(_ord) limit 200")
+_cross_reference()
+_UPPER = "upper(nullif(currency, '')) as currency"  # the placeholder counts as a currency of its own
+ORACLES["clean_currency_breakdown"] = with_views(
+    _clean_keys("sales", "orders", "returns") + f""",
+ s as (select {_UPPER}, sum(revenue) as revenue, sum(units) as units from k_sales group by 1),
+ o as (select {_UPPER}, count(*) as orders from k_orders group by 1),
+ r as (select {_UPPER}, count(*) as returns, sum(refund) as refund from k_returns group by 1),
+ j as (select currency, cast(coalesce(revenue, 0) as double) as revenue, coalesce(units, 0) as units, coalesce(orders, 0) as orders,
+ coalesce(returns, 0) as returns, cast(coalesce(refund, 0) as double) as refund
+ from s full join o using (currency) full join r using (currency))
+ select * from j where currency is not null""", "v_sales", "v_orders", "v_returns")
+ORACLES["clean_dimension_by_currency"] = with_views(
+    _clean_keys("sales") + f""", c as (select {_UPPER}, region as dimension_value, sum(revenue) as current from k_sales
+ where region <> 'Unknown' group by 1, 2)
+ select currency, dimension_value, cast(current as double) as current,
+ cast(sum(current) over (partition by currency) as double) as group_total from c""", "v_sales")
 ORACLES["feed_roundtrip"] = with_views(
     f"r as ({raw_feed_sql('sales')}) select * exclude (_ord) from r", "v_sales")
 

@@ -107,8 +107,8 @@ def performers_sku_range(spark, sf_dir):
 
 @query
 def top_bottom_sku(spark, sf_dir):
-    eur = _performer_sales(spark, sf_dir, "sku").filter(F.col("currency") == "EUR").drop("currency")
-    return _rounded(performers.top_bottom(performers.performers_in_range(eur, "sku", SPAN)), "delta_pct")
+    """Ten best and ten worst SKUs of each currency in the range."""
+    return _rounded(performers.top_bottom(_range_skus(spark, sf_dir), 10, CURRENCY), "delta_pct")
 
 
 @query
@@ -146,10 +146,9 @@ def revenue_by_sku_currency(spark, sf_dir):
 
 @query
 def category_cut(spark, sf_dir):
-    """Six best SKUs of the rupee sales in the range."""
-    inr = _performer_sales(spark, sf_dir, "sku").filter(F.col("currency") == "INR").drop("currency")
-    return performers.category_cut(performers.performers_in_range(inr, "sku", SPAN)).select(
-        "rank", "dimension_value", "current")
+    """Six best SKUs of each currency in the range."""
+    return performers.category_cut(_range_skus(spark, sf_dir), by=CURRENCY).select(
+        "currency", "rank", "dimension_value", "current")
 
 
 @query
@@ -222,35 +221,40 @@ def region_rolling_baseline(spark, sf_dir):
 
 @query
 def xref_report(spark, sf_dir):
-    return crossref.cross_reference(
-        star.sales(spark, sf_dir, ["sku"]), star.orders(spark, sf_dir, ["orderId"]),
-        _gappy_inventory(spark, sf_dir), star.returns(spark, sf_dir, ["orderId", "sku"]))
+    return crossref.cross_reference(*(_clean(spark, sf_dir, d) for d in ("sales", "orders", "inventory", "returns")))
 
 
-def _gappy_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stock list that lacks the SKUs ending in 0, so that the reconciliation has something to find."""
-    return star.inventory(spark, sf_dir, ["sku"]).filter(~F.col("sku").endswith("0"))
-
-
-def _open_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders feed that lacks the finished orders."""
-    return star.orders(spark, sf_dir, ["orderId", "status"]).filter(F.col("status") != "F").select("orderId")
+def _clean(spark: SparkSession, sf_dir: str, dataset: str) -> DataFrame:
+    """The whole cleaned feed; its dirt leaves keys that the other feeds lack."""
+    return cleaning.clean(raw_feed(spark, sf_dir, dataset), dataset).rows
 
 
 @query
 def xref_sales_inventory(spark, sf_dir):
-    return crossref.unmatched_keys(star.sales(spark, sf_dir, ["sku"]), _gappy_inventory(spark, sf_dir), "sku")
+    return crossref.unmatched_keys(_clean(spark, sf_dir, "sales"), _clean(spark, sf_dir, "inventory"), "sku")
 
 
 @query
 def xref_returns_orders(spark, sf_dir):
-    return crossref.unmatched_keys(star.returns(spark, sf_dir, ["orderId"]), _open_orders(spark, sf_dir), "orderId")
+    return crossref.unmatched_keys(_clean(spark, sf_dir, "returns"), _clean(spark, sf_dir, "orders"), "orderId")
 
 
 @query
 def xref_returns_sales(spark, sf_dir):
-    kept = star.sales(spark, sf_dir, ["sku", "date"]).filter(F.col("date") < F.lit(dt.date(1996, 1, 1)))
-    return crossref.match_counts(star.returns(spark, sf_dir, ["sku"]), kept, "sku")
+    return crossref.match_counts(_clean(spark, sf_dir, "returns"), _clean(spark, sf_dir, "sales"), "sku")
+
+
+# ---- the whole way from raw feeds -----------------------------------------------------------------------------------
+
+@query
+def clean_currency_breakdown(spark, sf_dir):
+    """Currencies of the cleaned feeds: lower case, blanks and placeholders as they come."""
+    return currency.currency_breakdown(*(_clean(spark, sf_dir, d) for d in ("sales", "orders", "returns")))
+
+
+@query
+def clean_dimension_by_currency(spark, sf_dir):
+    return currency.dimension_by_currency(_clean(spark, sf_dir, "sales"), "region")
 
 
 # ---- ranking, scoping and drill-down of anomalies -------------------------------------------------------------------
@@ -371,18 +375,13 @@ def stockout_risks(spark, sf_dir):
     return risks.stockout_risks(star.inventory(spark, sf_dir, order=True))
 
 
-def _eur(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    sales = star.sales(spark, sf_dir, ["date", "sku", "region", "units", "revenue", "currency"])
-    returns = star.returns(spark, sf_dir, ["returnDate", "sku", "units", "currency"])
-    return (scoping.in_currency(sales, "EUR").drop("currency"), scoping.in_currency(returns, "EUR").drop("currency"))
-
-
 @query
 def risk_flags(spark, sf_dir):
-    sales, returns = _eur(spark, sf_dir)
+    """The list of each currency, and the stockouts, which belong to none."""
+    sales = star.sales(spark, sf_dir, ["date", "sku", "region", "revenue", "currency"])
     return risks.risk_flags(
-        star.inventory(spark, sf_dir, order=True), performers.performers_latest_month(sales, "sku"),
-        performers.performers_latest_month(sales, "region"), an.detect_anomalies(sales, returns))
+        star.inventory(spark, sf_dir, order=True), performers.performers_latest_month(sales, "sku", CURRENCY),
+        performers.performers_latest_month(sales, "region", CURRENCY), _currency_anomalies(spark, sf_dir), by=CURRENCY)
 
 
 @query
@@ -444,7 +443,7 @@ def required_blank_warning(spark, sf_dir):
 def required_blank_sample(spark, sf_dir):
     deduped = cleaning.dedupe(raw_feed(spark, sf_dir, "orders"))
     mapping = {"orderId": "OrderID", "orderDate": "Order Date", "total": "Total"}
-    return cleaning.required_blank_warning(deduped, "orders", mapping)
+    return cleaning.required_blank_warning(deduped, "orders", mapping, sample=200)
 
 
 @query

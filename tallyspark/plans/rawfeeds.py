@@ -15,9 +15,13 @@ from ..sources.schema import ORD
 _DAY = {
     "spark": {"@ISO@": "date_format({d}, 'yyyy-MM-dd')", "@US@": "date_format({d}, 'MM/dd/yyyy')",
               "@SLASH@": "date_format({d}, 'yyyy/MM/dd')", "@NAMED@": "date_format({d}, 'MMM dd, yyyy')",
+              "@SHORT@": "date_format({d}, 'M/d/yy')", "@DMY@": "date_format({d}, 'dd-MMM-yy')",
+              "@RFC@": "date_format({d}, 'EEE, dd MMM yyyy') || ' 00:00:00 GMT'", "@MONTH@": "date_format({d}, 'MMMM yyyy')",
               "@1@": "$1", "@2@": "$2"},
     "duckdb": {"@ISO@": "strftime({d}, '%Y-%m-%d')", "@US@": "strftime({d}, '%m/%d/%Y')",
                "@SLASH@": "strftime({d}, '%Y/%m/%d')", "@NAMED@": "strftime({d}, '%b %d, %Y')",
+               "@SHORT@": "strftime({d}, '%-m/%-d/%y')", "@DMY@": "strftime({d}, '%d-%b-%y')",
+               "@RFC@": "strftime({d}, '%a, %d %b %Y') || ' 00:00:00 GMT'", "@MONTH@": "strftime({d}, '%B %Y')",
                "@1@": "\\1", "@2@": "\\2"},
 }
 
@@ -25,6 +29,8 @@ _DAY = {
 FEEDS: dict[str, tuple[str, dict[str, str], int]] = {
     "sales": ("date", {
         "Date": "case when _ord % 101 = 0 then 'not a date' when _ord % 103 = 0 then '2025-02-30' "
+                "when _ord % 29 = 3 then @SHORT@ when _ord % 29 = 5 then @DMY@ when _ord % 29 = 7 then @RFC@ "
+                "when _ord % 29 = 11 then @MONTH@ when _ord % 29 = 13 then @ISO@ || ' 10:30:00+00' "
                 "when _ord % 6 = 1 then @US@ when _ord % 6 = 2 then @SLASH@ when _ord % 6 = 3 then @NAMED@ "
                 "when _ord % 6 = 4 then @ISO@ || 'T10:30:00Z' else @ISO@ end",
         "SKU": "case when _ord % 97 = 0 then ' ' when _ord % 7 = 0 then chr(160) || sku || ' ' else sku end",
@@ -34,7 +40,7 @@ FEEDS: dict[str, tuple[str, dict[str, str], int]] = {
         "Qty": "case when _ord % 89 = 0 then 'abc' when _ord % 83 = 0 then '1d' else cast(cast(units as int) as string) end",
         "Unit Price": "case when _ord % 79 = 0 then 'n/a' when _ord % 73 = 0 then '$' "
                       "when _ord % 5 = 0 then '$' || cast(unitPrice as string) else cast(unitPrice as string) end",
-        "Revenue": "case when _ord % 3 = 0 then regexp_replace(cast(revenue as string), "
+        "Revenue": "case when _ord % 109 = 4 then '100000000000000.00' when _ord % 109 = 8 then '0.000041' when _ord % 3 = 0 then regexp_replace(cast(revenue as string), "
                    "'^([0-9]+)([0-9]{3}[.])', '@1@,@2@') else cast(revenue as string) end",
         "Curr": "case when _ord % 61 = 0 then '' when _ord % 4 = 0 then lower(currency) else currency end",
     }, 59),
@@ -49,7 +55,7 @@ FEEDS: dict[str, tuple[str, dict[str, str], int]] = {
         "Curr": "currency",
     }, 53),
     "inventory": ("", {
-        "SKU": "sku",
+        "SKU": "case when sku like '%0' then 'X' || sku else sku end",
         "Product Name": "productName",
         "Warehouse": "case when _ord % 43 = 0 then '' else warehouse end",
         "On Hand": "case when _ord % 107 = 0 then 'x' else cast(cast(onHand as int) as string) end",
@@ -58,8 +64,8 @@ FEEDS: dict[str, tuple[str, dict[str, str], int]] = {
     }, 0),
     "returns": ("returnDate", {
         "ReturnID": "returnId",
-        "OrderID": "orderId",
-        "SKU": "sku",
+        "OrderID": "case when _ord % 37 = 0 then orderId || 'R' else orderId end",
+        "SKU": "case when _ord % 41 = 0 then 'R' || sku else sku end",
         "Return Date": "case when _ord % 5 = 1 then @US@ else @ISO@ end",
         "Reason": "case when _ord % 33 = 0 then '' else reason end",
         "Units": "cast(cast(units as int) as string)",

@@ -21,6 +21,7 @@ from ..functions.fmt import (
 from ..operators import anomalies as an
 from ..operators import currency as cur
 from ..operators import kpi, performers, risks
+from ..operators.cleaning import Cleaned
 from ..operators.ranges import date_bounds
 from ..operators.ranking import top_k
 from ..operators.scoping import DateRange, in_channel, in_currency, in_range, month_span
@@ -139,12 +140,21 @@ def format_kpis(rows: DataFrame, code: Column) -> DataFrame:
 
 
 def build_report(feeds: Feeds, scope: ReportScope = ReportScope(), method: str = "zscore",
-                 sensitivity: str = "standard", unit_cost_mapped: bool = True, stage: bool = False) -> Report:
+                 sensitivity: str = "standard", unit_cost_mapped: bool | None = None, stage: bool = False) -> Report:
     """All report tables of one scope. Trend and anomalies use full history; KPIs and rankings the chosen range.
 
     Several tables are made of the same anomalies and rankings. With ``stage`` those are written once to the shared
     scratch folder and read back, so that writing the whole report scans each feed once per shared table.
+
+    A feed may be given as ``Cleaned``; then the mapping tells whether a unit cost was mapped, and without one the margin is
+    withheld. For a plain table it is ``unit_cost_mapped``, or whether the column is there.
     """
+    if unit_cost_mapped is None:
+        stock = feeds.get("inventory")
+        unit_cost_mapped = (bool(stock.mapping.get("unitCost")) if isinstance(stock, Cleaned)
+                            else stock is not None and "unitCost" in stock.columns)
+    feeds = {n: df.rows if isinstance(df, Cleaned) else df for n, df in feeds.items()}
+
     def shared(df: DataFrame, name: str) -> DataFrame:
         if not stage:
             return df
@@ -193,10 +203,12 @@ def build_report(feeds: Feeds, scope: ReportScope = ReportScope(), method: str =
     }
     if inventory is not None:
         report["inventory_health"] = risks.inventory_risk(inventory)
+    judged = visible if scope.currency_scope == "display" else _windowed(feeds, None, channel)
+    report["judged_currencies"] = cur.available_currencies(*judged.values(), include_unknown=scope.include_unknown)
     if where.several_currencies:
-        report["currency_breakdown"] = cur.currency_breakdown(visible["sales"], visible["orders"], visible["returns"])
+        report["currency_breakdown"] = cur.currency_breakdown(judged["sales"], judged["orders"], judged["returns"])
         for dim in ("sku", "region", "channel"):
-            report[f"revenue_by_currency_{dim}"] = cur.dimension_by_currency(visible["sales"], dim)
+            report[f"revenue_by_currency_{dim}"] = cur.dimension_by_currency(judged["sales"], dim)
     return report
 
 
@@ -252,7 +264,7 @@ def _kpi_texts(report: Report, code: str) -> DataFrame:
 
 def _currency_note(report: Report, code: str) -> Column:
     """Names every currency found; one value per currency code is gathered."""
-    names = report["available_currencies"].agg(F.array_join(F.array_sort(F.collect_set("currency")), ", ")).scalar()
+    names = report["judged_currencies"].agg(F.array_join(F.array_sort(F.collect_set("currency")), ", ")).scalar()
     return F.concat(F.lit(CURRENCY_NOTE[0]), names, F.lit(CURRENCY_NOTE[1]), F.lit(code), F.lit(CURRENCY_NOTE[2]))
 
 

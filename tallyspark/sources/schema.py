@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 ORD = "_ord"
 UNKNOWN = "Unknown"
-MONEY = T.DecimalType(18, 4)
+MONEY = T.DecimalType(38, 10)
 
 
 @dataclass(frozen=True)

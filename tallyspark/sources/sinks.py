@@ -20,17 +20,23 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     df.write.format(fmt).save(path)
 
 
+def _no_rows(df: DataFrame, path: str, fmt: str) -> bool:
+    reader = df.sparkSession.read.schema(df.schema) if fmt != "csv" else df.sparkSession.read.option("header", True)
+    return reader.format(fmt).load(path).isEmpty()
+
+
 def bundle_path(root: str, period_label: str) -> str:
     """Folder of a report: its period label in lower case with dashes for blanks."""
     return f"{root.rstrip('/')}/business-report-{'-'.join(period_label.split()).lower()}"
 
 
 def write_bundle(tables: dict[str, DataFrame], path: str, fmt: str = "parquet") -> dict[str, str]:
-    """Every table under its own name; tables without a single row are left out."""
+    """Every table under its own name. A feed (``dataset_*``) without a row is left out of the answer; an empty section is
+    written with its schema. Each table runs once: emptiness is read from what was written."""
     written = {}
     for name, df in tables.items():
-        if df.isEmpty():
-            continue
         written[name] = f"{path.rstrip('/')}/{name}"
         write_table(df, written[name], fmt)
+        if name.startswith("dataset_") and _no_rows(df, written[name], fmt):
+            del written[name]
     return written

@@ -40,8 +40,12 @@ def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared checkpoint folder; a temporary folder only where none is configured (tests)."""
+    """A fresh folder below the shared checkpoint folder. On a cluster that one must be configured; a single machine, as in
+    tests, gets a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="tallyspark-")
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

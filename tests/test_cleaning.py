@@ -57,6 +57,15 @@ def test_wide_feed_with_many_rivals(spark):
     assert got["channel"] == (None, "none")
 
 
+def test_one_feed_name_under_two_datasets(spark):
+    rows = [("f", "sales", 0, "Date"), ("f", "sales", 1, "SKU"), ("f", "inventory", 0, "Item SKU"), ("f", "inventory", 1, "On Hand")]
+    catalogue = spark.createDataFrame(rows, "feed string, dataset string, header_ord int, header string")
+    got = {(r["dataset"], r["field"]): r["header"] for r in mapping.assign_headers(catalogue).collect()}
+    assert (got["sales", "sku"], got["inventory", "sku"], got["sales", "date"]) == ("SKU", "Item SKU", "Date")
+    pins = spark.createDataFrame([("f", "nonsense", "SKU"), (None, None, None)], "feed string, field string, header string")
+    assert {(r["dataset"], r["field"]): r["header"] for r in mapping.assign_headers(catalogue, pins).collect()} == got
+
+
 def test_mapping_report(spark):
     catalogue = _catalogue(spark, ["Date", "Notes", "Qty"])
     report = mapping.mapping_report(catalogue, mapping.assign_headers(catalogue))
@@ -110,10 +119,10 @@ def test_blank_warning_samples_in_file_order(spark):
     rows += [("2025-01-01", "A", "r", "1", "1", str(i)) for i in range(3, 400)]
     deduped = cleaning.dedupe(_raw(spark, rows))
     fields = {"sku": "SKU", "revenue": "Revenue"}
-    got = cleaning.required_blank_warning(deduped, "sales", fields).collect()
+    got = cleaning.required_blank_warning(deduped, "sales", fields, sample=200).collect()
     assert [(r["field"], r["blank"], r["sampled"]) for r in got] == [("sku", 3, 200)]
     assert got[0]["warning"] == "Blank in 3 of 200 sampled rows — those rows will be dropped."
-    assert cleaning.required_blank_warning(deduped, "sales", fields, sample=None).first()["sampled"] == 400
+    assert cleaning.required_blank_warning(deduped, "sales", fields).first()["sampled"] == 400
     assert cleaning.required_blank_warning(deduped, "sales", fields, sample=3).first()["warning"] == (
         "Blank in all 3 sampled rows — matching rows will be dropped.")
 
@@ -157,9 +166,9 @@ def test_header_catalogue_of_open_feeds(spark, tmp_path):
     assert [tuple(r) for r in catalogue.collect()] == [("mine", "sales", 0, "Date"), ("mine", "sales", 1, "SKU")]
 
 
-def test_bundle_skips_empty_tables(spark, tmp_path):
+def test_bundle_skips_empty_feeds_only(spark, tmp_path):
     full, empty = spark.range(3), spark.range(0)
     path = sinks.bundle_path(str(tmp_path), "Jun 2026")
-    written = sinks.write_bundle({"a": full, "b": empty}, path, "json")
-    assert list(written) == ["a"] and path.endswith("business-report-jun-2026")
+    written = sinks.write_bundle({"a": full, "b": empty, "dataset_c": empty, "dataset_d": full}, path, "json")
+    assert list(written) == ["a", "b", "dataset_d"] and path.endswith("business-report-jun-2026")
     assert spark.read.json(written["a"]).count() == 3

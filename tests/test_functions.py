@@ -1,6 +1,7 @@
 """Column functions on literal rows."""
 
 import datetime as dt
+import decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -30,8 +31,10 @@ def test_numbers(spark):
 
 
 def test_money_is_exact_and_out_of_range_is_null(spark):
-    got = texts(spark, ["0.1", "1,000,000.25", "1e20"], coerce.parse_money)
-    assert [str(x) for x in got] == ["0.1000", "1000000.2500", "None"]
+    cells = ["0.1", "1,000,000.25", "1e20", "100000000000000.00", "0.00004", "1e29"]
+    want = ["0.1", "1000000.25", "1e20", "1e14", "0.00004", None]
+    got = texts(spark, cells, coerce.parse_money)
+    assert got == [None if w is None else decimal.Decimal(w) for w in want]
 
 
 def test_days(spark):
@@ -40,7 +43,9 @@ def test_days(spark):
         "2025-03-04T10:00:00Z": (2025, 3, 4), "2025-03-04T23:30:00-05:00": (2025, 3, 5), "2025-03-04 10:00": (2025, 3, 4),
         "Mar 4, 2025": (2025, 3, 4), "March 4 2025": (2025, 3, 4), "4 Mar 2025": (2025, 3, 4), "Tue Mar 04 2025": (2025, 3, 4),
         "04-Mar-2025": (2025, 3, 4), "3/4/2025 5:30 PM": (2025, 3, 4), "2025-03": (2025, 3, 1), "2025": (2025, 1, 1),
-        "2025-02-30": None, "13/40/2025": None, "not a date": None, "45": None, "": None,
+        "6/1/25": (2025, 6, 1), "6/1/99": (1999, 6, 1), "01-Jun-25": (2025, 6, 1), "2025-06-01 10:30:00+00": (2025, 6, 1),
+        "2025-06-01 10:30:00+00:00": (2025, 6, 1), "2025-06-01 23:30:00-05": (2025, 6, 2), "June 2025": (2025, 6, 1),
+        "Mon, 02 Jun 2025 00:00:00 GMT": (2025, 6, 2), "2025-02-30": None, "13/40/2025": None, "not a date": None, "45": None, "": None,
     }
     want = [dt.date(*v) if v else None for v in cases.values()]
     assert texts(spark, list(cases), coerce.parse_day) == want

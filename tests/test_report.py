@@ -101,6 +101,24 @@ def test_currency_is_judged_on_history_unless_told_otherwise(spark):
     assert (display.several_currencies, display.currency) == (False, None)
 
 
+def test_currency_note_names_what_was_judged(spark):
+    """Euros in January, dollars in February: the note and the breakdown cover the history that was judged."""
+    report = rp.build_report(_tiny(spark), rp.ReportScope())
+    assert [r["currency"] for r in report["judged_currencies"].collect()] == ["EUR", "USD"]
+    assert {r["currency"] for r in report["currency_breakdown"].collect()} == {"EUR", "USD"}
+    text = rp.export_tables(report, _tiny(spark))["summary"].filter("item = 'Currency scope'").first()["text"]
+    assert "EUR, USD" in text
+
+
+def test_margin_needs_a_mapped_cost(spark):
+    raw = spark.createDataFrame([("a", "W", "5", "2", 0)], "SKU string, Warehouse string, `On Hand` string, `Reorder Pt` string, _ord bigint")
+    stock = cleaning.clean(raw, "inventory")
+    assert stock.mapping["unitCost"] is None
+    for feed, known in ((stock, False), (stock.rows, True)):
+        row = rp.build_report(_tiny(spark) | {"inventory": feed})["kpis"].filter("kpi = 'avgMargin'").first()
+        assert (row["current"] is not None) == known and (row["caveat"] == rp.MARGIN_CAVEAT) == (not known)
+
+
 def test_channel_only_counts_if_present_in_range(spark):
     feeds = _tiny(spark)
     assert rp.resolve_scope(feeds, rp.ReportScope(channel="Shop")).channel == "Shop"
