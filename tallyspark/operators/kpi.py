@@ -7,6 +7,7 @@ feed still arrives at the join as one row per period.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -134,10 +135,24 @@ def kpi_snapshot(sales: DataFrame, orders: DataFrame | None, returns: DataFrame
         *by, *[c.alias(k) for k, c in snap.items()], share.alias("costedRevenueShare"))
 
 
+def _first_needed_day(sales: DataFrame, by: tuple[str, ...]) -> dt.date | None:
+    last = sales.groupBy(*by_columns(sales, by)).agg(F.max("date").alias("last")).agg(F.min("last")).first()[0]
+    return dt.date(last.year - 1, last.month, 1) if last else None
+
+
 def kpi_trend(sales: DataFrame, orders: DataFrame | None, returns: DataFrame | None, unit_cost: DataFrame | None,
               by: tuple[str, ...] = ()) -> DataFrame:
-    """Latest month of each scope with month, quarter and year deltas: five rows per scope."""
+    """Latest month of each scope with month, quarter and year deltas: five rows per scope.
+
+    The earliest of the scopes' latest months is looked up first, from the date and scope columns alone; the feeds are then
+    read from twelve months before it, which covers the quarter before as well.
+    """
     costs = _Costs(unit_cost)
+    since = _first_needed_day(sales, by)
+    if since is not None:
+        sales = sales.filter(F.col("date") >= F.lit(since))
+        orders = orders.filter(F.col("orderDate") >= F.lit(since)) if orders is not None else None
+        returns = returns.filter(F.col("returnDate") >= F.lit(since)) if returns is not None else None
     rolled = kpi_rollup(sales, orders, returns, costs, month_start, by).filter(F.col("period").isNotNull())
     # one row per month is left, so a window over a whole scope is bounded by the calendar
     latest = F.max(F.when(F.col("n_sales") > 0, F.col("period"))).over(W.partitionBy(*by))

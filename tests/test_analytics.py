@@ -280,3 +280,13 @@ def test_one_currency_with_most_of_the_rows(spark):
     assert {(r["currency"], r["dimension_value"]): r["current"] for r in got} == want
     assert {(r["currency"], r["group_total"]) for r in got} == {("USD", 18_000.0), ("EUR", 2_000.0)}
     assert got[0]["currency"] == "USD"
+
+
+def test_trend_reads_only_the_months_it_needs(spark):
+    """The date bound of the year before reaches every scan."""
+    from tallyspark.plans.queries import QUERIES
+
+    plan = QUERIES["kpi_trend"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    pushed = [line for line in plan.splitlines() if "PushedFilters" in line]
+    for column in ("l_shipdate", "o_orderdate"):
+        assert any(f"GreaterThanOrEqual({column}" in line for line in pushed), column
