@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..sources.schema import FIELDS
+from ..sources.synthetic import GROWTH, SEASON, WEEKEND
 from .rawfeeds import header_catalogue_sql, raw_feed_sql
 
 _CURRENCY = "case c_nationkey % 3 when 0 then 'USD' when 1 then 'EUR' else 'INR' end"
@@ -737,3 +738,14 @@ ORACLES["report_bundle"] = with_views(
  union all select 'dataset_sales', count(*) from v_sales union all select 'dataset_orders', count(*) from v_orders
  union all select 'dataset_inventory', count(*) from v_inventory
  union all select 'dataset_returns', count(*) from v_returns""", "v_sales", "v_orders", "v_inventory", "v_returns")
+
+# ---- synthetic feeds ------------------------------------------------------------------------------------------------
+
+_MONTH_FACTOR = "case month(date) " + " ".join(f"when {m} then {f}" for m, f in SEASON.items()) + " else 1.0 end"
+ORACLES["synthetic_volume"] = f"""
+with p as (select cast(count(*) as double) / 100 as base from part),
+ d as (select r_name as region, 0.75::double + 0.1::double * r_regionkey as weight, cast(day as date) as date
+  from region, (select unnest(generate_series(date '2025-04-01', date '2026-06-30', interval 1 day)) as day)),
+ v as (select region, date, floor(base * weight * case when dayofweek(date) in (0, 6) then {WEEKEND}::double else 1.0 end
+  * cast({_MONTH_FACTOR} as double) * (1::double + ((year(date) - 2025) * 12 + month(date) - 4) * {GROWTH}::double) + 0.5) as n from d, p)
+select region, date, cast(n as bigint) as n_lines from v where n > 0"""

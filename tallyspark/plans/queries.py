@@ -602,7 +602,7 @@ def report_bundle(spark, sf_dir):
 def _catalogue(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     part = star.table(spark, sf_dir, "part")
     products = part.select(
-        (F.col("p_partkey") - 1).alias("pick"), F.col("p_partkey").cast("string").alias("sku"),
+        F.col("p_partkey").alias("pick"), F.col("p_partkey").cast("string").alias("sku"),
         F.col("p_name").alias("name"), F.col("p_retailprice").alias("price"),
         (F.col("p_retailprice") * 0.6).alias("cost"))
     regions = star.table(spark, sf_dir, "region").select(
@@ -610,6 +610,14 @@ def _catalogue(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return products, regions
 
 
+@query
+def synthetic_volume(spark, sf_dir):
+    """Lines per region and day of the generated feed, before the dirt."""
+    products, regions = _catalogue(spark, sf_dir)
+    lines = synthetic.sales_lines(products, regions, dt.date(2025, 4, 1), dt.date(2026, 6, 30), base=products.count() / 100)
+    return lines.groupBy("region", "date").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
 @query
 def synthetic_feed(spark, sf_dir):
     """A dirty sales feed over the table's own parts and regions, with volume in step with the number of parts."""

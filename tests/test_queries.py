@@ -4,6 +4,8 @@ import pytest
 from oracle_check import compare, connect
 
 from __spark_entry__ import entry, oracle_sql, queries
+from tallyspark.plans.oracles import ORACLES
+from tallyspark.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -15,12 +17,13 @@ def con():
 
 def test_every_statement_has_a_query():
     assert set(oracle_sql()) <= set(queries())
-    assert set(queries()) - set(oracle_sql()) == {"report_context", "synthetic_feed"}
+    assert set(QUERIES) - set(ORACLES) == {"report_context", "synthetic_feed"}
+    assert set(QUERIES) <= set(queries())
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    query, sql = queries()[name], oracle_sql().get(name)
+    query, sql = QUERIES[name], ORACLES.get(name)
     if sql is None:
         assert query(spark, SF).count() > 0
     else:
