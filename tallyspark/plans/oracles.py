@@ -295,12 +295,15 @@ def _cross_reference() -> None:
  select count(*) as keys, count(*) filter (where sku not in (select sku from k_sales)) as unmatched from k""",
         "v_sales", "v_returns")
     ORACLES["xref_report"] = with_views(
-        _clean_keys("sales", "orders", "inventory", "returns") + """, a as (select count(distinct sku) as n, count(distinct sku)
-  filter (where sku not in (select sku from k_inventory)) as u from k_sales where sku <> 'Unknown'),
+        """i as (select case when sku like '%0' then 'X' || sku else sku end as sku from v_inventory),
+ r as (select case when orderId like '%7' then 'X' || orderId else orderId end as orderId,
+  case when sku like '%99' then 'X' || sku else sku end as sku from v_returns),
+ a as (select count(distinct sku) as n, count(distinct sku) filter
+  (where sku not in (select sku from i)) as u from v_sales),
  b as (select count(distinct orderId) as n, count(distinct orderId) filter
-  (where orderId not in (select orderId from k_orders)) as u from k_returns where orderId <> 'Unknown'),
+  (where orderId not in (select orderId from v_orders)) as u from r),
  c as (select count(distinct sku) as n, count(distinct sku) filter
-  (where sku not in (select sku from k_sales)) as u from k_returns where sku <> 'Unknown')
+  (where sku not in (select sku from v_sales)) as u from r)
  select 0 as check_ord, 'Sales SKUs vs. inventory' as label, case when u = 0 then concat('All ', n,
   ' SKUs sold have a matching inventory record.') else concat(u, ' of ', n,
   ' SKUs sold have no matching inventory record.') end as detail, u = 0 as clean from a
