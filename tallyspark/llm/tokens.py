@@ -10,7 +10,7 @@ import zlib
 
 import numpy as np
 
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 _MARKS = string.punctuation
 #: White space to Python but not to the tokenizer, and the start of its special tokens.
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
