@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.common import components, numbered, pick, ship, stage
 from tallyspark.llm.shingles import mix, shingle_sets, slices
+from tallyspark.llm.tokens import forget
 
 VALUES = 128
 TREES = 16
@@ -50,6 +51,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()  # this worker may have packed before
     for batch in batches:
         texts, ids = batch.column(1), batch.column(0)
         for a, b in slices(texts):

@@ -8,6 +8,7 @@ and is its seed. Only the last window of a shard can be short.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,7 @@ QUERY_TERMS = 64
 def _tokenize(definition, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = load(definition.value)
+        gc.disable()  # nothing here is cyclic, and the collector would walk the cache of words again and again
         end = np.array([end_id], dtype=tok.dtype).tobytes()
         row = 0
         for batch in batches:
@@ -40,6 +42,7 @@ def _tokenize(definition, end_id: int):
                      pa.array(range(row, row + len(ids)), pa.int64())],
                     names=["doc_id", "ids", "doc_tokens", "row"])
                 row += len(ids)
+        gc.enable()
 
     return run
 

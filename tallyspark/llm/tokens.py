@@ -10,7 +10,7 @@ import zlib
 
 import numpy as np
 
-CACHE_WORDS = 250_000
+CACHE_WORDS = 500_000
 _MARKS = string.punctuation
 #: White space to Python but not to the tokenizer, and the start of its special tokens.
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
@@ -113,24 +113,30 @@ class WordTokenizer:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian integers of ``dtype``; a null text has none."""
         get = self.words.get
-        cut, rows, missing = [], [], set()
+        cut, rows, holes, missing = [], [], [], set()
         for t in texts:
             pieces = t.lower().split() if t and _plain(t) else None
             row = list(map(get, pieces)) if pieces else []
             cut.append(pieces)
             rows.append(row)
             if None in row:
-                missing.update([p for p, x in zip(pieces, row) if x is None])
+                at = [i for i, x in enumerate(row) if x is None]
+                holes.append((pieces, row, at))
+                missing.update([pieces[i] for i in at])
         once = self._learn(list(missing)) if missing else {}
         words = self.words
-        for pieces, row in zip(cut, rows):
-            if None in row:
-                for i in [i for i, x in enumerate(row) if x is None]:
-                    p = pieces[i]
-                    row[i] = words[p] if p in words else once[p]
+        for pieces, row, at in holes:
+            for i in at:
+                p = pieces[i]
+                row[i] = words[p] if p in words else once[p]
         return [self._ids([t])[0].tobytes() if t and p is None else b"".join(r) for t, p, r in zip(texts, cut, rows)]
 
 
+def forget() -> None:
+    """Gives up the tokenizers of this process and their caches, for work that needs the memory."""
+    _loaded.clear()
+
+
 def load(definition: str) -> WordTokenizer:
     """The tokenizer of this process for a definition; its cache of words lives as long as the worker."""
     key = zlib.crc32(definition.encode())
