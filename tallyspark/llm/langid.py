@@ -226,11 +226,13 @@ def fit_language_model(docs: DataFrame, per_label: int = PER_LABEL, max_train: i
                                                      & F.col("text").rlike(r"\p{L}"))
     src = src.select("text", F.col("lang").cast("string").alias("lang"), "doc_id",
                      (F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(7)).bitwiseAND(2**40 - 1)).alias("draw"))
-    # Draws below a bound that leaves about twice what is wanted of each language, so that few rows of it meet in one task.
-    counts = src.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select(F.col("lang").alias("of_lang"), (
-        F.least(F.lit(1.0), F.lit(2.0 * per_label + 50) / F.col("n")) * float(2**40)).alias("bound"))
-    ids = src.select("doc_id", "lang", "draw").join(counts, F.col("lang") == F.col("of_lang")).where(
-        F.col("draw") <= F.col("bound")).select("doc_id", "lang", "draw")
+    # Draws below a bound that leaves about twice what is wanted of each frequent language, so that few rows of it meet in
+    # one task. The bounds of at most 1,000 languages are a literal; of the others, which are rarer, every row goes on.
+    counts = src.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(1000).collect()
+    ids = src.select("doc_id", "lang", "draw")
+    if counts:
+        bounds = F.create_map(*(F.lit(x) for r in counts for x in (r.lang, min(1.0, (2 * per_label + 50) / r.n) * 2.0**40)))
+        ids = ids.where(F.col("draw") <= F.coalesce(F.try_element_at(bounds, F.col("lang")), F.lit(2.0**40)))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", F.col("doc_id").asc_nulls_first()))
     chosen = ids.withColumn("place", place).where(F.col("place") <= per_label)
     chosen = chosen.orderBy("place", "draw", "lang").limit(max_train).select(
