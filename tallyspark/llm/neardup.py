@@ -2,13 +2,14 @@
 
 A document is the set of its five-word shingles. Each distinct set gets a signature of 128 MinHash values. A tree of the
 forest is one order of these values: sets sorted by the reordered signature stand next to those with the longest common
-prefix. A region of a tree is the run of sets that share a prefix; its depth adapts to its density: it starts at
-the first of ``DEPTHS`` and deepens while more than ``REGION`` sets share the prefix, so every region is small enough for
-one task. Sets that had to go deeper get ``DENSE_TREES`` further orders, which makes up for the recall a longer prefix
-costs. Inside a region all neighbours whose signatures agree well are compared on the full shingle sets.
-
-Chance to miss one link at the exact limit (0.85): below 1e-6 with 16 trees at depth 3; with 40 trees and a region that
-went to depth 9, below 1e-4. A component is lost only when each of its chains of links is.
+prefix. A region of a tree is the run of sets that share the first ``DEPTH`` values. In a region of up to ``REGION`` sets all
+pairs whose signatures agree well are compared on the full shingle sets. Larger regions that share a set form a crowd. All
+pairs of a crowd whose sizes allow the limit are compared on full sets, without a look at the signatures: a crowd is cut into
+blocks by size and hash, and each pair of blocks is a task's worth of work.
+
+A link is missed only when its sets meet in no tree (at 0.85 with probability 5e-9, at 0.80 6e-7) or, in a small region, when
+their signatures agree by ``SLACK`` less than the sets (1.4e-8 and 8e-8). A component is lost only when each of its chains of
+links is.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.common import components, numbered, pick, ship, stage
@@ -26,15 +27,19 @@ from tallyspark.llm.shingles import mix, shingle_sets, slices
 from tallyspark.llm.tokens import forget
 
 VALUES = 128
-TREES = 16
-DENSE_TREES = 24
+TREES = 20
+DEPTH = 3
 REGION = 128
-DEPTHS = (3, 6, 9, 13, 18, 24, 32)
-SLACK = 0.11
+SLACK = 0.2
+#: Sets and shingles that a block of a crowd holds, about.
+BLOCK = 1024
+BLOCK_SHINGLES = 1 << 20
+#: Shingles of a region in at most so many sets are counted pair by pair, the others as columns of a matrix.
+RARE = 16
 
 _rng = np.random.default_rng(3)
 _MULTIPLIERS = _rng.integers(1, 2**32, VALUES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
-_ORDERS = np.stack([_rng.permutation(VALUES) for _ in range(TREES + DENSE_TREES)])
+_ORDERS = np.stack([_rng.permutation(VALUES) for _ in range(TREES)])
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
@@ -68,54 +73,61 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["doc_id", "n_shingles", "k1", "k2", "sig"])
 
 
-def _tree_keys(trees: range, depths: tuple[int, ...]):
-    """Rows (doc_id, tree, depth, key) of each set: the hash of its prefix in each tree at each depth."""
+def _tree_keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows (doc_id, tree, key) of each set: the hash of its prefix in each tree."""
+    for f in frames:
+        if not len(f):
+            continue
+        sig = np.frombuffer(b"".join(f.sig), dtype=np.uint16).reshape(len(f), VALUES)
+        for t in range(TREES):
+            h = np.full(len(f), mix(np.array([t + 1], dtype=np.uint64))[0])
+            for i in range(DEPTH):
+                h = mix(h ^ (sig[:, _ORDERS[t, i]].astype(np.uint64) + np.uint64(i << 20)))
+            yield pd.DataFrame({"doc_id": f.doc_id, "tree": np.int16(t), "key": h.view(np.int64)})
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            if not len(f):
-                continue
-            sig = np.frombuffer(b"".join(f.sig), dtype=np.uint16).reshape(len(f), VALUES)
-            for t in trees:
-                h = np.full(len(f), mix(np.array([t + 1], dtype=np.uint64))[0])
-                for i in range(max(depths)):
-                    h = mix(h ^ (sig[:, _ORDERS[t, i]].astype(np.uint64) + np.uint64(i << 20)))
-                    if i + 1 in depths:
-                        yield pd.DataFrame({"doc_id": f.doc_id, "tree": np.int16(t), "depth": np.int16(i + 1),
-                                            "key": h.view(np.int64)})
 
-    return run
+def _regions(sigs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Small regions (doc_id, tree, region) of two sets or more; and the larger ones as (doc_id, first), the smallest member."""
+    keys = stage(sigs.mapInPandas(_tree_keys, "doc_id long, tree smallint, key long"), "keys")
+    counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")).where("n > 1")
+    shared = stage(keys.join(counts, "key"), "regions")
+    small = shared.where(F.col("n") <= REGION).select("doc_id", "tree", F.col("key").alias("region"))
+    return small, shared.where(F.col("n") > REGION).select("doc_id", "first").distinct()
+
 
+def _block_pairs(reps: DataFrame, crowded: DataFrame, limit: float) -> DataFrame:
+    """(doc_id, region): every two sets of a crowd whose sizes allow ``limit`` have a region in common.
+
+    Sizes fall into classes, each ``1 / limit`` times the one before, so such sets are in one class or in neighbouring ones.
+    A class of a crowd is cut into blocks by hash; a region is a pair of blocks, or a block alone in its class.
+    """
+    crowds = components(crowded.select(F.col("doc_id").alias("a"), F.col("first").alias("b")))
+    step = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(-float(np.log(limit - 1e-9)))).cast("long")
+    sets = stage(reps.join(crowds, F.col("node") == F.col("doc_id")).select(
+        "doc_id", F.col("component").alias("crowd"), "n_shingles", step.alias("step")), "crowds")
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)), F.ceil(F.sum("n_shingles") / F.lit(BLOCK_SHINGLES)))
+    blocks = stage(sets.groupBy("crowd", "step").agg(parts.cast("long").alias("blocks")), "blocks")
 
-def _regions(sigs: DataFrame, trees: range, depth_at: int = 0) -> tuple[DataFrame, DataFrame | None]:
-    """Regions (doc_id, tree, region) of two sets or more, with the depth adapted; and the dense documents, if any."""
-    found, dense = [], None
-    shape = "doc_id long, tree smallint, depth smallint, key long"
-    level = stage(sigs.mapInPandas(_tree_keys(trees, (DEPTHS[depth_at],)), shape), "keys")
-    while True:
-        counts = level.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        last = depth_at + 1 == len(DEPTHS)
-        shared = stage(level.join(counts, "key"), "regions")
-        region = F.col("key")
-        if last:  # alike to the deepest level: cut by a hash of the set into parts of about REGION sets
-            region = F.when(F.col("n") <= REGION, region).otherwise(
-                F.xxhash64("key", F.pmod(F.xxhash64("doc_id", "tree"), F.ceil(F.col("n") / REGION))))
-        small = shared.select("doc_id", "tree", region.alias("region"), "n")
-        found.append((small if last else small.where(F.col("n") <= REGION)).drop("n"))
-        if last:
-            break
-        opened = shared.where(F.col("n") > REGION).select("doc_id", "tree")
-        if opened.isEmpty():
-            break
-        dense = opened if dense is None else dense
-        depth_at += 1
-        deeper = sigs.join(opened.select("doc_id").distinct(), "doc_id", "left_semi").mapInPandas(
-            _tree_keys(trees, (DEPTHS[depth_at],)), shape)
-        level = stage(deeper.join(opened, ["doc_id", "tree"], "left_semi"), "keys")
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out, dense
+    def near(by: int, name: str) -> DataFrame:
+        return blocks.select("crowd", (F.col("step") - by).alias("step"), F.col("blocks").alias(name))
+
+    every = blocks.join(near(1, "above"), ["crowd", "step"], "left").join(near(-1, "below"), ["crowd", "step"], "left")
+    zero, own = F.lit(0).cast("long"), F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
+
+    def pairs(n: str, pair) -> Column:
+        return F.when(F.coalesce(F.col(n), zero) > 0, F.transform(F.sequence(zero, F.col(n) - 1), pair)).otherwise(F.array())
+
+    def name(low: Column, i: Column, high: Column, j: Column) -> Column:
+        return F.xxhash64("crowd", low, i, high, j)
+
+    at = F.col("step")
+    same = pairs("blocks", lambda j: F.when((F.col("blocks") == 1) | (j != F.col("own")), name(
+        at, F.least(F.col("own"), j), at, F.greatest(F.col("own"), j))))
+    regions = F.concat(F.filter(same, lambda r: r.isNotNull()), pairs("above", lambda j: name(at, F.col("own"), at + 1, j)),
+                       pairs("below", lambda j: name(at - 1, j, at, F.col("own"))))
+    # At most one row of ``every`` for each REGION sets and size class.
+    placed = sets.join(F.broadcast(every), ["crowd", "step"]).withColumn("own", own)
+    return placed.select("doc_id", F.explode(regions).alias("region"))
 
 
 def _likely(sig: np.ndarray, sizes: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
@@ -209,6 +221,51 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
     return int((both[1:] == both[:-1]).sum())
 
 
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Numbers of common shingles of all pairs of sets."""
+    n = len(sets)
+    words = np.concatenate(sets)
+    row = np.repeat(np.arange(n), [len(s) for s in sets])
+    order = np.argsort(words, kind="stable")
+    words, row = words[order], row[order]
+    first = np.flatnonzero(np.concatenate(([True], words[1:] != words[:-1])))
+    size = np.diff(np.append(first, len(words)))
+    overlap = np.zeros((n, n), dtype=np.float32)
+    for k in range(2, RARE + 1):
+        own = row[first[size == k][:, None] + np.arange(k)]
+        for i in range(k - 1):  # rows rise within a word
+            for j in range(i + 1, k):
+                for low in range(0, len(own), 1 << 20):
+                    part = own[low:low + (1 << 20)]
+                    np.add.at(overlap, (part[:, i], part[:, j]), 1)
+    often = size > RARE
+    column = np.repeat(np.where(often, np.cumsum(often) - 1, -1), size)
+    row, column = row[column >= 0], column[column >= 0]
+    full = np.zeros((n, n), dtype=np.float32)
+    for low in range(0, int(often.sum()), 4096):
+        a, b = np.searchsorted(column, (low, low + 4096))
+        m = np.zeros((n, min(4096, int(often.sum()) - low)), dtype=np.float32)
+        m[row[a:b], column[a:b] - low] = 1
+        full += m @ m.T
+    return full + overlap + overlap.T
+
+
+def _chains(linked: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Links that join what a symmetric matrix of links joins, one fewer than a component has members."""
+    fresh = np.ones(len(linked), dtype=bool)
+    for start in range(len(linked)):
+        if not fresh[start]:
+            continue
+        fresh[start] = False
+        ahead = [start]
+        while ahead:
+            i = ahead.pop()
+            found = np.flatnonzero(linked[i] & fresh)
+            fresh[found] = False
+            yield from ((i, j) for j in found.tolist())
+            ahead += found.tolist()
+
+
 def _linked(percent: int):
     """Links of a region confirmed on full sets: enough of them to join what is joined (a, b)."""
 
@@ -220,38 +277,21 @@ def _linked(percent: int):
                 continue
             sets = [np.frombuffer(s, dtype=np.uint64) for s in f.shingles.iloc[a:b]]
             size = np.array([len(s) for s in sets])
-            root = list(range(b - a))
-
-            def top(x: int, root=root) -> int:
-                while root[x] != x:
-                    root[x] = root[root[x]]
-                    x = root[x]
-                return x
-
             if b - a > 12:  # all overlaps of the region at once
-                words, at = np.unique(np.concatenate(sets), return_inverse=True)
-                overlap = np.zeros((b - a, b - a), dtype=np.float32)
-                row = np.repeat(np.arange(b - a), size)
-                for low in range(0, len(words), 8192):
-                    own = (at >= low) & (at < low + 8192)
-                    m = np.zeros((b - a, min(8192, len(words) - low)), dtype=np.float32)
-                    m[row[own], at[own] - low] = 1
-                    overlap += m @ m.T
-                union = size[:, None] + size[None, :] - overlap
-                pairs = np.argwhere(np.triu(100 * overlap >= percent * union, 1)).tolist()
-            else:
-                pairs = [(i, j) for i in range(b - a) for j in range(i + 1, b - a)]
-            for i, j in pairs:
-                if top(i) == top(j):
-                    continue
-                if b - a <= 12:
-                    if 100 * min(size[i], size[j]) < percent * max(size[i], size[j]):
-                        continue
-                    same = _common(sets[i], sets[j])
-                    if 100 * same < percent * (size[i] + size[j] - same):
-                        continue
-                root[top(j)] = top(i)
-                out.append((ids[a + i], ids[a + j]))
+                overlap = _overlaps(sets)
+                linked = np.empty(overlap.shape, dtype=bool)
+                for i, own in enumerate(overlap):
+                    own = own.astype(np.int64)
+                    linked[i] = 100 * own >= percent * (size[i] + size - own)
+                out += [(ids[a + i], ids[a + j]) for i, j in _chains(linked)]
+                continue
+            linked = np.zeros((b - a, b - a), dtype=bool)
+            for i in range(b - a):
+                for j in range(i + 1, b - a):
+                    if 100 * min(size[i], size[j]) >= percent * max(size[i], size[j]):
+                        same = _common(sets[i], sets[j])
+                        linked[i, j] = linked[j, i] = 100 * same >= percent * (size[i] + size[j] - same)
+            out += [(ids[a + i], ids[a + j]) for i, j in _chains(linked)]
         if out:
             yield pd.DataFrame(out, columns=["a", "b"])
 
@@ -276,18 +316,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     reps = stage(first.select(F.col("rep").alias("doc_id"), "n_shingles", "k1", "k2", "sig"), "sets")
     sigs = reps.select("doc_id", "sig")
 
-    regions, dense = _regions(sigs, range(TREES))
-    if dense is not None:  # known to be crowded, so these orders start one step deeper
-        crowd = sigs.join(dense.select("doc_id").distinct(), "doc_id", "left_semi")
-        regions = regions.unionByName(_regions(stage(crowd, "crowd"), range(TREES, TREES + DENSE_TREES), 1)[0])
-    all_trees = TREES + DENSE_TREES
+    regions, crowded = _regions(sigs)
     per_doc = regions.groupBy("doc_id").agg(F.collect_list(F.struct("tree", "region")).alias("own"))
     # doc -> its region in every tree, as bytes: pairs that met in an earlier tree are told from these.
     members = reps.select("doc_id", "n_shingles", "sig")
-    spread = members.join(per_doc, "doc_id").mapInPandas(_spread(all_trees), "region long, tree smallint, doc_id long, "
+    spread = members.join(per_doc, "doc_id").mapInPandas(_spread(TREES), "region long, tree smallint, doc_id long, "
                                                          "n_shingles long, sig binary, regions binary")
     met = stage(spread.repartition("region").sortWithinPartitions("region", "doc_id").mapInPandas(
         _meet(limit), "doc_id long, region long"), "meetings")
+    if not crowded.isEmpty():
+        met = met.unionByName(_block_pairs(reps, crowded, limit))
 
     wanted = met.groupBy("doc_id").agg(F.collect_set("region").alias("regions"))
     texts = src.where("doc_id is not null").join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "regions")

@@ -52,6 +52,25 @@ def test_crowd_of_near_copies(spark, monkeypatch, crowd):
     assert found(near_duplicates(df)) == near_duplicate_groups(docs)
 
 
+def test_links_inside_a_large_crowd(spark):
+    """Thousands of sets at 0.75 to 0.847 from one template, with pairs just over the limit among them; sizes of two classes."""
+    rng = random.Random(5)
+    template = [f"t{i}" for i in range(192)]  # 188 shingles; a tail of k words adds k, c of them shared by a pair
+    docs, want = [], {}
+    for pair in range(2200):
+        ka, kb = rng.randint(17, 30), rng.randint(17, 30)
+        c = 0
+        if pair < 800:
+            c = next(c for c in range(99) if 100 * (188 + c) >= 85 * (188 + ka + kb - c))
+            c = min(c + rng.randint(0, 2), ka, kb)
+        a = len(docs)
+        for d, k in ((a, ka), (a + 1, kb)) if c else ((a, ka),):
+            docs.append((d, " ".join(template + [f"p{pair}x{i}" for i in range(c)] + [f"d{d}x{i}" for i in range(k - c)])))
+            want[d] = (188 + k, a)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    assert len(docs) == 3000 and found(near_duplicates(df)) == want
+
+
 def test_one_document_of_each_group_stays(spark):
     docs = awkward(spark).where("doc_id is not null")
     kept = drop_near_duplicates(docs)
