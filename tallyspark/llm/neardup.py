@@ -362,7 +362,17 @@ def _spread(trees: int):
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """``docs`` without the documents that are not the one kept of their group; columns as they are."""
-    gone = near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
+    """``docs`` with one row of each group, the one with the smallest id; columns as they are.
+
+    Rows are grouped and dropped one by one, whatever their id: of equal rows one stays, a text of its own stays under an id
+    that another group uses, and rows with a null id take part, behind those with an id. Rows without a shingle all stay.
+    """
     plain, at = numbered(docs)
-    return plain.join(gone, F.col(at["doc_id"]) == F.col("gone_id"), "left_anti").toDF(*docs.columns)
+    rows = stage(plain.withColumn("row", F.monotonically_increasing_id()), "rows")  # fixes the numbers
+    groups = near_duplicates(rows.select(F.col("row").alias("doc_id"), F.col(at["text"]).alias("text")), percent)
+    doc = F.col(at["doc_id"]).cast("long")
+    ids = rows.select(F.col("row").alias("doc_id"), doc.alias("id"))
+    place = F.struct(F.col("id").isNull().alias("none"), "id", F.col("doc_id").alias("row"))
+    named = ids.join(groups.select("doc_id", "component_id"), "doc_id")
+    kept = named.groupBy("component_id").agg(F.min(place).alias("best")).select(F.col("best.row").alias("row"))
+    return rows.join(kept, "row", "left_semi").drop("row").toDF(*docs.columns)

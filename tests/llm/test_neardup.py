@@ -78,6 +78,19 @@ def test_one_document_of_each_group_stays(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4, 5, 6, 7, 9, 10, 12]
 
 
+def test_rows_are_dropped_whatever_their_id(spark):
+    """Repeated rows, null ids, and another text under an id that goes."""
+    base = [f"w{i}" for i in range(100)]  # 96 shingles; ten more words give 96 / 106 = 0.91, twenty 96 / 116 = 0.83
+    text, near, far = (" ".join(base + [f"{n}x{i}" for i in range(n)]) for n in (0, 10, 20))
+    rows = [(1, text), (1, text), (2, near), (2, "some text of its own"), (None, text), (None, "twice without an id"),
+            (None, "twice without an id"), (3, None), (4, far), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    order = lambda own: sorted(own, key=str)
+    want = [(1, text), (2, "some text of its own"), (None, "twice without an id"), (3, None), (3, None)]
+    assert order(map(tuple, drop_near_duplicates(docs).collect())) == order([*want, (4, far)])
+    assert order(map(tuple, drop_near_duplicates(docs, 80).collect())) == order(want)
+
+
 def test_components_of_a_path_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 100 + i) for i in range(1, 40)] + [(7, 7), (3, 2)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
