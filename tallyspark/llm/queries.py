@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm.ann import nearest_neighbours
+from tallyspark.llm.bestfit import pack_best_fit
 from tallyspark.llm.fingerprints import CHECK, ROWS, WIDTHS, fingerprint_documents
 from tallyspark.llm.langid import held_out, identify_language
 from tallyspark.llm.licenses import TEMPLATES, THRESHOLD, scan_licenses
 from tallyspark.llm.mixing import BLOCK_TOKENS, REPEAT_LIMIT, mix_sources
 from tallyspark.llm.neardup import near_duplicates
+from tallyspark.llm.negatives import mine_negatives
 from tallyspark.llm.packing import pack_documents
 from tallyspark.llm.pii import BASE, find_personal_data
+from tallyspark.llm.runs import periodic_runs
 from tallyspark.llm.sharding import BITS, SHARD_BYTES, shard_documents
 from tallyspark.llm.warc import read_archives, write_archives
 
@@ -222,3 +225,75 @@ m as (select doc_id, license, kind, no, 2.0::double * len(list_intersect(b.own,
 r as (select *, row_number() over (partition by doc_id, license order by dice desc, kind, no) as place from m where dice >= {THRESHOLD})
 select doc_id, license, dice, (['document', 'paragraph', 'line', 'sentence'])[kind + 1] as part, cast(no as bigint) as part_no from r where place = 1
 """
+
+
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """Texts of which every tenth, by the checksum of its number, goes on in a period from some word on.
+
+    With h = crc32(doc_id) and g = h div 10, a text of n words with h divisible by 10 keeps its first a + p words, a = g % n and
+    p = 1 + (n - a) div (3 + g % 8), and then repeats the last p of them. Other texts, those without words and those without a
+    number stay as they are.
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+
+    def planted(r):
+        at = F.sequence(F.lit(0).cast("long"), r.n - 1)
+        return F.array_join(F.transform(at, lambda i: F.get(r.words, F.when(i < r.a, i).otherwise(r.a + (i - r.a) % r.p))), " ")
+
+    # one-row arrays name a value once, so the text is cut once
+    one = F.transform(F.array(words), lambda w: F.struct(w.alias("words"), F.size(w).cast("long").alias("n")))
+    g = F.floor(h / 10)
+    two = F.transform(one, lambda r: F.struct(r.words, r.n, (g % F.greatest(r.n, F.lit(1))).alias("a")))
+    three = F.transform(two, lambda r: F.struct(
+        r.words, r.n, r.a, (1 + F.floor((r.n - r.a) / (3 + g % 8))).alias("p")))
+    text = F.get(F.transform(three, lambda r: F.when(r.n > 0, planted(r)).otherwise(F.col("text"))), 0)
+    return docs.select("doc_id", F.when(h % 10 == 0, text).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of the words of every document."""
+    found = periodic_runs(with_planted_periods(table(spark, sf_dir, "documents")))
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r.length).alias("less"), r.start, r.period)))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n")))
+    found = found.withColumn("best", longest)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), (-F.col("best.less")).alias("length"),
+        F.col("best.period").alias("period"), F.expr("(-1000 * best.less) div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+@query
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in few sequences of 4096 tokens, cut only where longer."""
+    pieces = pack_best_fit(table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "piece", "start", F.expr("cast(octet_length(ids) div 4 as long)").alias("length"),
+                         F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, labels moved on by one where vec_id is divisible by 7."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_negatives(table(spark, sf_dir, "embeddings"), label=moved)
+
+
+ORACLES["op13_hard_negatives"] = """
+with r as (
+  select vec_id, cast(case when vec_id % 7 = 0 then (label + 1) % 10 else label end as bigint) as label,
+         list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+  from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, c.vec_id as vec_id, a.label = c.label as same,
+             cast(list_sum(list_transform(list_zip(a.v, c.v), lambda p: p[1] * p[2])) as bigint) as score
+      from r a join r c on a.vec_id <> c.vec_id where a.vec_id % 100 = 0),
+p as (select anchor_id, vec_id as positive_id, score as positive_score,
+             row_number() over (partition by anchor_id order by score desc, vec_id) as place from s where same),
+n as (select p.anchor_id, positive_id, vec_id as negative_id, positive_score, score as negative_score,
+             row_number() over (partition by p.anchor_id, positive_id order by score desc, vec_id) as rank
+      from p join s on p.anchor_id = s.anchor_id and not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+      where place <= 5)
+select anchor_id, positive_id, cast(rank as int) as rank, negative_id, positive_score, negative_score from n where rank <= 10
+"""
