@@ -26,10 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.common import pick, ship
-from tallyspark.llm.tokens import load, tokenizer_file
+from tallyspark.llm.tokens import forget, load, tokenizer_file
 
 WINDOW = 4096
-SHARD_ROWS = 16_384
+SHARD_ROWS = 4096
 #: Numbers of groups, tried in turn until the windows are as few as the tokens allow; the fewest windows count.
 GROUPS = (16, 8, 32)
 LARGE = 1 / 4
@@ -234,16 +234,27 @@ def _pieces(definition, end_id: int, window: int):
     return run
 
 
+def _wide(ids: pa.Array, dtype: str) -> tuple[np.ndarray, pa.Array]:
+    """Lengths of the pieces, and their ids as unsigned 32-bit integers, without an object for each piece."""
+    size = np.dtype(dtype).itemsize
+    _, ends, data = ids.buffers()
+    ends = np.frombuffer(ends, np.int32)[ids.offset:ids.offset + len(ids) + 1]
+    numbers = np.frombuffer(data, dtype=dtype, offset=int(ends[0]), count=int(ends[-1] - ends[0]) // size).astype("<u4")
+    at = (ends - ends[0]) // size
+    return np.diff(at).astype(np.int64), pa.BinaryArray.from_buffers(
+        pa.binary(), len(ids), [None, pa.py_buffer((4 * at).astype(np.int32)), pa.py_buffer(numbers)])
+
+
 def _pack(dtype: str, window: int, groups: tuple[int, ...], large: float):
     def run(pieces: pa.Table) -> pa.Table:
+        forget()  # of the tokenizing before, in the same worker
         pieces = pieces.sort_by([("doc_id", "ascending"), ("row", "ascending"), ("start", "ascending")]).combine_chunks()
-        ids = [np.frombuffer(x, dtype=dtype) for x in pieces["ids"].to_pylist()]
-        number, offset = assign(np.array([len(x) for x in ids], dtype=np.int64), window, groups, large)
+        lengths, ids = _wide(pieces["ids"].chunk(0), dtype)
+        number, offset = assign(lengths, window, groups, large)
         base = pieces["shard"][0].as_py() << 32
         start = pieces["start"].to_numpy()
         return pa.table({"doc_id": pieces["doc_id"], "piece": pa.array(start // window, pa.int32()), "start": pieces["start"],
-                         "sequence_id": pa.array(base + number, pa.int64()), "offset": pa.array(offset, pa.int64()),
-                         "ids": pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())})
+                         "sequence_id": pa.array(base + number, pa.int64()), "offset": pa.array(offset, pa.int64()), "ids": ids})
 
     return run
 
