@@ -581,6 +581,9 @@ ORACLES["clean_dimension_by_currency"] = with_views(
  cast(sum(current) over (partition by currency) as double) as group_total from c""", "v_sales")
 ORACLES["feed_roundtrip"] = with_views(
     f"r as ({raw_feed_sql('sales')}) select * exclude (_ord) from r", "v_sales")
+ORACLES["feed_line_breaks"] = with_views(
+    f"""r as ({raw_feed_sql('sales')}) select * exclude (_ord) replace (case when "Qty" like '%1'
+ then concat("Product", chr(10), '"', "Region", '",', chr(10), "Channel") else "Product" end as "Product") from r""", "v_sales")
 
 # ---- header mapping -------------------------------------------------------------------------------------------------
 

@@ -462,6 +462,17 @@ def feed_roundtrip(spark, sf_dir):
     return feeds.read_feed(spark, path).drop("_ord")
 
 
+@query
+def feed_line_breaks(spark, sf_dir):
+    """The raw sales feed with line breaks, quotes and commas inside cells, written as CSV and read back by split."""
+    raw = raw_feed(spark, sf_dir, "sales", order=False)
+    broken = F.concat("Product", F.lit('\n"'), "Region", F.lit('",\n'), "Channel")
+    raw = raw.withColumn("Product", F.when(F.col("Qty").endswith("1"), broken).otherwise(F.col("Product")))
+    path = scratch_path(spark, "feed") + ".csv"
+    sinks.write_table(raw, path, "csv")
+    return feeds.read_feed(spark, path).drop("_ord")
+
+
 # ---- header mapping -------------------------------------------------------------------------------------------------
 
 @query

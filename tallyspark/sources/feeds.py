@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .csvsplit import read_csv
 from .schema import ORD
 
 READERS = ("csv", "json", "parquet", "orc")
@@ -18,18 +19,21 @@ def feed_format(path: str) -> str:
     return suffix
 
 
-def read_feed(spark: SparkSession, path: str, fmt: str | None = None, multiline: bool = False) -> DataFrame:
+def read_feed(spark: SparkSession, path: str, fmt: str | None = None, multiline: bool = True) -> DataFrame:
     """A feed with every cell as text (blank for missing), trimmed header names and the row ordinal ``_ord``.
 
-    ``_ord`` grows with the position in the file: the splits of one file are read as consecutive partitions. It is the
-    same for the same files and split settings; store it with the cleaned table to fix it for good. ``multiline`` allows
-    line breaks inside quoted cells but makes a file one task, so it is off unless asked for. A folder of CSV files must
-    have one header row spelling; a file that differs fails instead of being read by position.
+    ``_ord`` grows with the position in the file. Of a CSV feed it is the number of the record, counted over the files in the
+    order of their paths, and does not depend on the splits. Other formats count by consecutive partitions: the same for the
+    same files and split settings; store it with the cleaned table to fix it for good. Quoted cells of a CSV feed keep their
+    line breaks in splits of any size; ``multiline=False`` saves the scan that this takes, for feeds known to have none. A
+    folder of CSV files must have one header row spelling; a file that differs fails instead of being read by position.
     """
     fmt = fmt or feed_format(path)
+    if fmt == "csv" and multiline:
+        return read_csv(spark, path)
     if fmt == "csv":
-        raw = spark.read.csv(path, header=True, multiLine=multiline, escape='"', enforceSchema=False,
-                             ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+        raw = spark.read.csv(path, header=True, escape='"', enforceSchema=False, ignoreLeadingWhiteSpace=False,
+                             ignoreTrailingWhiteSpace=False)
     elif fmt == "json":
         raw = spark.read.json(path, primitivesAsString=True)
     elif fmt in READERS:
