@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.coerce import number_or_zero
 from ..functions.dates import GRAIN_START
-from .scoping import by_columns, real_dimension
+from .scoping import by_columns, count_rows, real_dimension
 
 
 def bucket(df: DataFrame, date_column: str, grain: str, value: str | Column, dim: str | None = None,
@@ -24,7 +25,7 @@ def bucket(df: DataFrame, date_column: str, grain: str, value: str | Column, dim
         keys.append(F.col(dim).alias("dimension_value"))
     return (
         df.groupBy(*keys, GRAIN_START[grain](F.col(date_column)).alias("start"))
-        .agg(F.sum(value).cast("double").alias("value"), F.count(F.lit(1)).alias("n_rows"))
+        .agg(number_or_zero(F.sum(value).cast("double")).alias("value"), count_rows(df).alias("n_rows"))
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.schema import ORD, UNKNOWN
-from .scoping import currency_code, real_dimension
+from .scoping import count_rows, currency_code, real_dimension, row_weight
 
 NO_CURRENCY = UNKNOWN.upper()
 SALTS = 64
@@ -34,7 +34,7 @@ def default_currency(sales: DataFrame) -> DataFrame:
     return (
         sales.filter(code.isNotNull() & (code != NO_CURRENCY))
         .groupBy(code.alias("currency"))
-        .agg(F.count(F.lit(1)).alias("n_rows"), F.min(ORD).alias("_first"))
+        .agg(count_rows(sales).alias("n_rows"), F.min(ORD).alias("_first"))
         .orderBy(F.col("n_rows").desc(), "_first", "currency").limit(1)
         .select("currency", "n_rows")
     )
@@ -45,9 +45,9 @@ def currency_breakdown(sales: DataFrame, orders: DataFrame | None, returns: Data
     code = currency_code(F.col("currency")).alias("currency")
     parts = [sales.select(code, "revenue", "units")]
     if orders is not None:
-        parts.append(orders.select(code, F.lit(1).cast("bigint").alias("order_row")))
+        parts.append(orders.select(code, row_weight(orders).alias("order_row")))
     if returns is not None:
-        parts.append(returns.select(code, F.lit(1).cast("bigint").alias("return_row"), "refund"))
+        parts.append(returns.select(code, row_weight(returns).alias("return_row"), "refund"))
     merged = parts[0]
     for part in parts[1:]:
         merged = merged.unionByName(part, allowMissingColumns=True)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import month_key, month_start, quarter_start, shift_month, shift_quarter
 from ..sources.schema import ORD
 from ..spark_tools import small_rows
-from .scoping import DateRange, by_columns, previous_span
+from .scoping import ROWS, DateRange, by_columns, count_rows, previous_span
 
 # The five KPIs with label, display format and whether more is better.
 KPIS = (
@@ -60,14 +60,15 @@ class _Costs:
 
 
 def _fold_sales(sales: DataFrame, costs: _Costs, keys: list[Column], names: list[str]) -> DataFrame:
-    sums = [F.sum("revenue").alias("revenue"), F.sum("units").alias("units"), F.count(F.lit(1)).alias("n_sales")]
+    sums = [F.sum("revenue").alias("revenue"), F.sum("units").alias("units"), count_rows(sales).alias("n_sales")]
     if costs.table is None:
         return sales.groupBy(*keys).agg(*sums)
     # a product of two decimals would leave the fast 18 digits on every line; cost only ever feeds a ratio
     spent = F.sum(F.col("unitCost").cast("double") * F.col("units")).alias("cost")
     covered = F.sum(F.when(F.col("unitCost").isNotNull(), F.col("revenue"))).alias("costed_revenue")
     if costs.small:
-        return sales.select(*keys, "sku", "revenue", "units").join(costs.table, "sku", "left").groupBy(*names).agg(
+        kept = ["sku", "revenue", "units", *([ROWS] if ROWS in sales.columns else [])]
+        return sales.select(*keys, *kept).join(costs.table, "sku", "left").groupBy(*names).agg(
             *sums, spent, covered)
     return (
         sales.groupBy(*keys, "sku").agg(*sums).join(costs.table, "sku", "left").groupBy(*names)
@@ -86,7 +87,7 @@ def kpi_rollup(sales: DataFrame, orders: DataFrame | None, returns: DataFrame |
 
     parts = [_fold_sales(sales, costs, keys(sales, "date"), names)]
     if orders is not None:
-        parts.append(orders.groupBy(*keys(orders, "orderDate")).agg(F.count(F.lit(1)).alias("n_orders")))
+        parts.append(orders.groupBy(*keys(orders, "orderDate")).agg(count_rows(orders).alias("n_orders")))
     if returns is not None:
         parts.append(returns.groupBy(*keys(returns, "returnDate")).agg(F.sum("units").alias("returned_units")))
     merged = parts[0]

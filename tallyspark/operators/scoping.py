@@ -11,6 +11,17 @@ from ..functions.coerce import text_or_null
 from ..sources.schema import UNKNOWN
 
 DateRange = tuple[dt.date, dt.date]
+#: How many raw rows a row of a folded feed stands for.
+ROWS = "_rows"
+
+
+def row_weight(df: DataFrame) -> Column:
+    return F.col(ROWS) if ROWS in df.columns else F.lit(1).cast("bigint")
+
+
+def count_rows(df: DataFrame) -> Column:
+    """Number of raw rows, of a feed or of its fold."""
+    return F.sum(ROWS) if ROWS in df.columns else F.count(F.lit(1))
 
 
 def currency_code(c: Column) -> Column:

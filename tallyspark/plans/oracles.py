@@ -342,11 +342,13 @@ def _preset(sql: str) -> str:
 
 
 ORACLES["anomalies_all_presets"] = with_views(
-    f"""{_WEEKS}, {_REGION_MONTHS}
+    f"""{_WEEKS}, {_REGION_MONTHS}, {_RETURN_MONTHS}
  select * from ({_preset(rolling_sql('gm', 't', extra=_levels(0.4, 0.25, 0.15)))}) a
  union all by name select * from ({_preset(zscore_sql('wk', 'week', *_W, t='t', extra=_levels(3.5, 2.5, 1.75)))}) b
- union all by name select * from ({_preset(iqr_sql('wk', 'week', *_W, t='t', extra=_levels(3, 1.5, 0.75)))}) c""",
-    "v_sales")
+ union all by name select * from ({_preset(iqr_sql('wk', 'week', *_W, t='t', extra=_levels(3, 1.5, 0.75)))}) c
+ union all by name select * from ({_preset(zscore_sql('rm', 'month', *_M, t='t', extra=_levels(3.5, 2.5, 1.75)))}) d
+ union all by name select * from ({_preset(iqr_sql('rm', 'month', *_M, t='t', extra=_levels(3, 1.5, 0.75)))}) e""",
+    "v_sales", "v_returns")
 
 _TOP_WEEKS = f"""{_WEEKS}, z as ({zscore_sql('wk', 'week', *_W)}),
  top as (select *, row_number() over (order by abs(deviation) desc, dimension_value, period) as rank from z)"""
@@ -454,7 +456,7 @@ ORACLES["risk_rules"] = with_views(
   format('{{:,}}', cast(floor(baseline + 0.5) as bigint)), '.') from h where rn <= 3""", "v_sales", "v_returns")
 
 _PERIOD_SKU = _PERIOD_REGION[_PERIOD_REGION.index("rg as"):].replace("rg as", "sk as").replace("region as", "sku as")
-ORACLES["risk_flags"] = with_views(
+_RISK_FLAGS = (
     f"""{_ALL}, {_AT_RISK}, {_STOCKOUTS}, {_PERIOD_REGION}, {_PERIOD_SKU},
  g as (select *, (current - previous) / previous as d, row_number() over (partition by currency
   order by (current - previous) / previous desc, current desc, dimension_value) as rn from sk
@@ -475,8 +477,8 @@ ORACLES["risk_flags"] = with_views(
   format('{{:,}}', cast(floor(observed + 0.5) as bigint)), ' vs. an expected ~',
   format('{{:,}}', cast(floor(baseline + 0.5) as bigint)), '.') from h where rn <= 3),
  numbered as (select *, row_number() over (partition by currency order by rule, place) as item from every)
- select currency, cast(item as int) as item, type, title, detail from numbered where item <= 6""",
-    "v_sales", "v_returns", "v_inventory")
+ select currency, cast(item as int) as item, type, title, detail from numbered where item <= 6""")
+ORACLES["risk_flags"] = with_views(_RISK_FLAGS, "v_sales", "v_returns", "v_inventory")
 
 # ---- cleaning -------------------------------------------------------------------------------------------------------
 
@@ -729,6 +731,19 @@ ORACLES["report_channel_kpis"] = with_views(
  as caveat, case when mom is null or mom = 0 then 'neutral' when mom > 0 then 'good' else 'bad' end as polarity from k""",
     "v_sales", "v_orders", "v_inventory")
 
+def _open_sums(tag: str, start: str, end: str) -> str:
+    return _scoped_sums(tag, (start, end)).replace(f"date '{start}'", start).replace(f"date '{end}'", end)
+
+
+_OPEN = f"(select max(date) from v_sales) - date '{_R[0]}'"
+_BEFORE = (f"cast(date '{_R[0]}' - cast(({_OPEN}) + 1 as integer) as date)", f"cast(date '{_R[0]}' - 1 as date)")
+ORACLES["report_open_range_kpis"] = with_views(
+    f"{_COST}, {_open_sums('cur', f'cast({chr(39)}{_R[0]}{chr(39)} as date)', '(select max(date) from v_sales)')}, "
+    f"{_open_sums('prev', *_BEFORE)}, k as (" + " union all ".join(
+        f"select '{k}' as kpi, round(cur.{k}, 6) as current, round((cur.{k} - prev.{k}) / prev.{k}, 6) as mom from cur, prev"
+        for k in ("revenue", "units", "orders", "avgMargin")) + """
+ union all select 'returnRate', null, null) select * from k""", "v_sales", "v_orders", "v_inventory")
+
 ORACLES["report_bundle"] = with_views(
     f"""best as (select currency from v_sales group by 1 order by count(*) desc, min(_ord) limit 1),
  mo as (select date_trunc('month', max(date)) as m from v_sales join best using (currency)),
@@ -745,6 +760,59 @@ ORACLES["report_bundle"] = with_views(
  union all select 'dataset_inventory', count(*) from v_inventory
  union all select 'dataset_returns', count(*) from v_returns""", "v_sales", "v_orders", "v_inventory", "v_returns")
 
+
+def _scoped(body: str, returns_of: str) -> str:
+    """``body`` over views whose currency is ``currency|channel``, ``*`` for all channels; returns as ``returns_of`` says."""
+    views = [f"b_sales as ({VIEWS['v_sales']})", f"b_orders as ({VIEWS['v_orders']})",
+             f"b_returns as ({VIEWS['v_returns'].replace('from v_sales', 'from b_sales')})", f"v_inventory as ({VIEWS['v_inventory']})",
+             "scopes as (select distinct currency, channel from b_sales union select distinct currency, '*' from b_sales)",
+             *(f"v_{n} as (select * replace (currency || '|*' as currency) from b_{n} union all "
+               f"select * replace (currency || '|' || channel as currency) from b_{n})" for n in ("sales", "orders")),
+             f"v_returns as ({returns_of})"]
+    return f"with {', '.join(views)}, {body}"
+
+
+_SCOPE_NAMES = "split_part(currency, '|', 1) as currency, split_part(currency, '|', 2) as channel"
+ORACLES["report_all_scopes"] = _scoped(
+    kpi_trend_ctes() + f""", c as (select {_SCOPE_NAMES}, anchor_month, kpi, current, mom, qoq, yoy from kpis),
+ h as (select * replace (case when kpi <> 'returnRate' or channel = '*' then current end as current,
+  case when kpi <> 'returnRate' or channel = '*' then mom end as mom, case when kpi <> 'returnRate' or channel = '*' then qoq end as qoq,
+  case when kpi <> 'returnRate' or channel = '*' then yoy end as yoy) from c)
+ select *, case when kpi = 'returnRate' and channel <> '*' then concat('Your Returns data isn''t tagged by channel, so ',
+  'return rate can''t be scoped to "', channel, '" — it would wrongly divide all-channel returns by one channel''s units.')
+  when kpi <> 'avgMargin' and mom is null then 'No prior-period data in your upload to compare against.' end as caveat,
+ case when mom is null or mom = 0 then 'neutral' when (mom > 0) = (kpi <> 'returnRate') then 'good' else 'bad' end as polarity
+ from h""", "select * replace (currency || '|*' as currency) from b_returns")
+ORACLES["report_all_scopes_risks"] = _scoped(
+    _RISK_FLAGS.replace("select currency, cast(item as int)", f"select {_SCOPE_NAMES}, cast(item as int)"),
+    "select b_returns.* replace (b_returns.currency || '|' || scopes.channel as currency) from b_returns join scopes using (currency)")
+
+
+def _scope_sql(name: str, span: tuple[str, str] | None = None, channel: str = "", currency: str = "", display: bool = False) -> str:
+    start, end = (f"date '{span[0]}'", f"date '{span[1]}'") if span else ("cast(date_trunc('month', hi) as date)", "last_day(hi)")
+    in_view = "{d} between (select d0 from b) and (select d1 from b)"
+    found = " or ".join(f"exists (select 1 from v_{n} where channel = '{channel}' and {in_view.format(d=d)})"
+                        for n, d in (("sales", "date"), ("orders", "orderDate")))
+    judged = " union ".join(f"select currency from v_{n}, ch where {'true' if n == 'returns' else '(ch is null or channel = ch)'}"
+                            + (f" and {in_view.format(d=d)}" if display else "")
+                            for n, d in (("sales", "date"), ("orders", "orderDate"), ("returns", "returnDate")))
+    chosen = f"'{currency}'" if currency else "null"
+    anchor = "cast(null as date)" if span else """(select cast(date_trunc('month', max(date)) as date) from v_sales, ch, cu
+  where (ch is null or channel = ch) and (cu is null or currency = cu))"""
+    return f"""select * from (with b as (select lo, hi, {start} as d0, {end} as d1 from (select min(date) as lo, max(date) as hi from v_sales)),
+ ch as (select case when {found} then '{channel}' end as ch), jd as ({judged}),
+ mj as (select currency from v_sales, ch where (ch is null or channel = ch) {('and ' + in_view.format(d='date')) if display else ''}
+  group by 1 order by count(*) desc, min(_ord) limit 1),
+ cu as (select case when (select count(*) from jd) > 1 then coalesce({chosen}, (select currency from mj)) end as cu)
+ select '{name}' as scope, lo as data_start, hi as data_end, d0 as display_start, d1 as display_end, ch as channel, cu as currency,
+ (select count(*) from jd) > 1 as several_currencies, {anchor} as anchor from b, ch, cu)"""
+
+
+ORACLES["report_scopes"] = with_views("all_of as (" + " union all ".join([
+    _scope_sql("nothing picked"), _scope_sql("range, currencies of its display", _R, display=True), _scope_sql("channel", None, "2-HIGH"),
+    _scope_sql("range, channel and currency", _R, "2-HIGH", "INR"), _scope_sql("channel that does not occur", None, "none", "EUR"),
+]) + ") select * from all_of", "v_sales", "v_orders", "v_returns")
+
 # ---- synthetic feeds ------------------------------------------------------------------------------------------------
 
 _MONTH_FACTOR = "case month(date) " + " ".join(f"when {m} then {f}" for m, f in SEASON.items()) + " else 1.0 end"

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, fmt
 from ..operators import anomalies as an
 from ..operators import cleaning, crossref, currency, kpi, mapping, performers, ranges, responses, risks, scoping
+from ..operators.fold import staged_folds
 from ..sources import feeds, sinks, star, synthetic
 from ..spark_tools import scratch_path
 from . import report
@@ -267,11 +268,17 @@ def clean_dimension_by_currency(spark, sf_dir):
 
 # ---- ranking, scoping and drill-down of anomalies -------------------------------------------------------------------
 
-def _currency_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All detectors at standard sensitivity within each currency."""
+def _folds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Sales and returns folded by day, each scanned once for all tables made of them."""
     sales = star.sales(spark, sf_dir, ["date", "sku", "region", "units", "revenue", "currency"])
     returns = star.returns(spark, sf_dir, ["returnDate", "sku", "units", "currency"])
-    return an.detect_anomalies(sales, returns, by=CURRENCY)
+    folds = staged_folds({"sales": sales, "returns": returns})
+    return folds["sales"], folds["returns"]
+
+
+def _currency_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All detectors at standard sensitivity within each currency."""
+    return an.detect_anomalies(*_folds(spark, sf_dir), by=CURRENCY)
 
 
 @query
@@ -293,7 +300,10 @@ def anomalies_all_presets(spark, sf_dir):
     z = an.zscore_outliers(weeks, an.THRESHOLDS["zscore"], "sku", "week", an.WEEKLY_UNITS)
     q = an.iqr_outliers(weeks, an.THRESHOLDS["iqr"], "sku", "week", an.WEEKLY_UNITS)
     r = an.region_revenue_anomalies(regional, an.THRESHOLDS["rolling-baseline"], by=CURRENCY)
-    return _rounded(r.unionByName(z, allowMissingColumns=True).unionByName(q, allowMissingColumns=True), *_FLOATS)
+    back = _unit_returns(spark, sf_dir)
+    for found in (z, q, *(an.sku_return_anomalies(back, m, an.THRESHOLDS[m]) for m in ("zscore", "iqr"))):
+        r = r.unionByName(found, allowMissingColumns=True)
+    return _rounded(r, *_FLOATS)
 
 
 def _strongest_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -386,19 +396,20 @@ def stockout_risks(spark, sf_dir):
 @query
 def risk_flags(spark, sf_dir):
     """The list of each currency, and the stockouts, which belong to none."""
-    sales = star.sales(spark, sf_dir, ["date", "sku", "region", "revenue", "currency"])
+    sales, returns = _folds(spark, sf_dir)
     return risks.risk_flags(
         star.inventory(spark, sf_dir, order=True), performers.performers_latest_month(sales, "sku", CURRENCY),
-        performers.performers_latest_month(sales, "region", CURRENCY), _currency_anomalies(spark, sf_dir), by=CURRENCY)
+        performers.performers_latest_month(sales, "region", CURRENCY), an.detect_anomalies(sales, returns, by=CURRENCY),
+        by=CURRENCY)
 
 
 @query
 def risk_rules(spark, sf_dir):
     """The rules behind the stockouts, per currency and against the range before."""
-    sales = star.sales(spark, sf_dir, ["date", "sku", "region", "revenue", "currency"])
+    sales, returns = _folds(spark, sf_dir)
     growth = risks.growth_opportunity(performers.performers_in_range(sales, "sku", SPAN, CURRENCY), CURRENCY)
     decline = risks.declining_region(performers.performers_latest_month(sales, "region", CURRENCY), CURRENCY)
-    flags = risks.high_anomaly_flags(_currency_anomalies(spark, sf_dir), by=CURRENCY).drop("within_ord")
+    flags = risks.high_anomaly_flags(an.detect_anomalies(sales, returns, by=CURRENCY), by=CURRENCY).drop("within_ord")
     return growth.unionByName(decline).unionByName(flags)
 
 
@@ -599,6 +610,48 @@ def report_channel_kpis(spark, sf_dir):
     return _rounded(kpis, "current", "mom").select("kpi", "current", "mom", "caveat", "polarity")
 
 
+@query
+def report_open_range_kpis(spark, sf_dir):
+    """KPIs of a range typed in without an end, against the equally long range before it."""
+    scope = report.ReportScope(span=(SPAN[0], None), channel="2-HIGH", currency="INR")
+    kpis = report.build_report(_feeds(spark, sf_dir), scope)["kpis"]
+    return _rounded(kpis, "current", "mom").select("kpi", "current", "mom")
+
+
+SCOPES = {
+    "nothing picked": report.ReportScope(),
+    "range, currencies of its display": report.ReportScope(span=SPAN, currency_scope="display"),
+    "channel": report.ReportScope(channel="2-HIGH"),
+    "range, channel and currency": report.ReportScope(span=SPAN, channel="2-HIGH", currency="INR"),
+    "channel that does not occur": report.ReportScope(channel="none", currency="EUR"),
+}
+
+
+@query
+def report_scopes(spark, sf_dir):
+    """What some choices come to on the data: display range, channel, currency and latest month."""
+    folds = staged_folds({n: df for n, df in _feeds(spark, sf_dir).items() if n != "inventory"})
+    rows = [report.scope_row(folds, scope).select(F.lit(name).alias("scope"), "*") for name, scope in SCOPES.items()]
+    out = rows[0]
+    for row in rows[1:]:
+        out = out.unionByName(row)
+    return out
+
+
+@query
+def report_all_scopes(spark, sf_dir):
+    """KPI cards of every currency and every channel within it."""
+    kpis = report.report_all_scopes(_feeds(spark, sf_dir))["kpis"]
+    return _rounded(kpis, "current", "mom", "qoq", "yoy").select(
+        "currency", "channel", "anchor_month", "kpi", "current", "mom", "qoq", "yoy", "caveat", "polarity")
+
+
+@query
+def report_all_scopes_risks(spark, sf_dir):
+    """Flags of every currency and every channel within it."""
+    return report.report_all_scopes(_feeds(spark, sf_dir))["risks"]
+
+
 @query
 def report_context(spark, sf_dir):
     built = report.build_report(_feeds(spark, sf_dir), stage=True)

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import month_label, range_label
+from ..functions.dates import month_label, month_start, range_label
 from ..functions.fmt import (
     delta_polarity,
     format_currency,
@@ -22,10 +22,11 @@ from ..operators import anomalies as an
 from ..operators import currency as cur
 from ..operators import kpi, performers, risks
 from ..operators.cleaning import Cleaned
-from ..operators.ranges import date_bounds
+from ..operators.fold import ALL_CHANNELS, all_scopes, staged_folds
+from ..operators.ranges import custom_range, date_bounds
 from ..operators.ranking import top_k
-from ..operators.scoping import DateRange, in_channel, in_currency, in_range, month_span
-from ..sources.schema import DATASET_LABELS, DATE_COLUMN
+from ..operators.scoping import DateRange, by_columns, in_channel, in_currency, in_range, row_weight
+from ..sources.schema import DATASET_LABELS, DATE_COLUMN, ORD
 from ..spark_tools import scratch_path
 
 Feeds = dict[str, DataFrame | None]
@@ -54,12 +55,13 @@ DEFAULT_CURRENCY = "USD"
 class ReportScope:
     """What the reader picked; nothing picked means calendar mode, all channels, the majority currency.
 
+    ``span`` may be open at either end, where the data's own first or last day counts; a reversed range is no range.
     ``currency_scope`` says where several currencies are looked for: in the full ``history`` (so a single-currency latest
     month never blends an older mix) or only in the ``display`` range. ``include_unknown`` counts rows without a currency
     as one more currency.
     """
 
-    span: DateRange | None = None
+    span: tuple[dt.date | None, dt.date | None] | None = None
     channel: str | None = None
     currency: str | None = None
     currency_scope: str = "history"
@@ -87,49 +89,119 @@ def _windowed(feeds: Feeds, span: DateRange | None, channel: str | None) -> Feed
     return {name: cut(name) for name in ("sales", "orders", "returns")}
 
 
+def with_closed_range(feeds: Feeds, scope: ReportScope) -> ReportScope:
+    """``scope`` with a range as typed in closed at both ends; the data is asked for its bounds only if an end is open."""
+    if scope.span is None:
+        return scope
+    bounds = scope.span
+    if None in scope.span:
+        row = date_bounds(feeds["sales"]).first()
+        if row is None:
+            return replace(scope, span=None)
+        bounds = (row["start"], row["end"])
+    return replace(scope, span=custom_range(*scope.span, bounds))
+
+
 def resolve_scope(feeds: Feeds, scope: ReportScope) -> ResolvedScope:
-    """Turns choices and data into literals that later filters can push into the scans.
+    """Turns choices and data into literals that later filters can push into the scans; reads back one row."""
+    row = scope_row(feeds, scope).first()
+    return ResolvedScope(
+        (row["data_start"], row["data_end"]) if row["data_end"] else None,
+        (row["display_start"], row["display_end"]) if row["display_end"] else None,
+        row["channel"], row["currency"], row["several_currencies"], row["anchor"])
+
 
-    Reads back a bounds row, at most two currency names, one default currency and one existence check.
+def scope_row(feeds: Feeds, scope: ReportScope) -> DataFrame:
+    """What ``scope`` comes to on the data, as one row: bounds, display range, channel, currency and latest month.
+
+    Feeds or their folds are read once and folded to one row per currency code, feed and month with what a chosen channel
+    leaves of it; that table, bounded by the codes and the calendar, is folded again per code and then as a whole. What
+    depends on whether the chosen channel occurs is reckoned for both cases.
     """
-    sales = feeds["sales"]
-    row = date_bounds(sales).first()
-    bounds = (row["start"], row["end"]) if row else None
-    display = scope.span or (month_span(bounds[1]) if bounds else None)
-    channel = None
-    if scope.channel:
-        in_view = _windowed(feeds, display, scope.channel)
-        found = any(in_view[n] is not None and not in_view[n].isEmpty() for n in ("sales", "orders"))
-        channel = scope.channel if found else None
-    judged = _windowed(feeds, display if scope.currency_scope == "display" else None, channel)
-    codes = cur.available_currencies(*judged.values(), include_unknown=scope.include_unknown).limit(2).collect()
-    currency = None
-    if len(codes) > 1:
-        default = cur.default_currency(judged["sales"]).first()
-        currency = scope.currency or (default["currency"] if default else None)
-    scoped = in_channel(in_currency(sales, currency), channel)
-    last = scoped.agg(F.max("date")).first()[0] if scope.span is None else None
-    return ResolvedScope(bounds, display, channel, currency, len(codes) > 1, last.replace(day=1) if last else None)
+    scope = with_closed_range(feeds, scope)
+    parts = []
+    for name, date in DATE_COLUMN.items():
+        df = feeds.get(name)
+        if df is None:
+            continue
+        mine = F.lit(True) if name == "returns" or not scope.channel else F.coalesce(F.col("channel") == scope.channel, F.lit(False))
+        named = F.lit(scope.channel is not None and name != "returns") & mine
+        parts.append(df.select(
+            F.lit(name == "sales").alias("sale"), cur.currency_code(F.col("currency")).alias("code"), F.col(date).alias("day"),
+            mine.alias("mine"), named.alias("named"), row_weight(df).alias("n"),
+            (F.col(ORD) if ORD in df.columns else F.lit(None).cast("bigint")).alias("first")))
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    span = [F.lit(d).cast("date") for d in scope.span] if scope.span else None
+    month = F.col("day").between(*span).cast("int") if span else month_start(F.col("day"))
+    keys = ["sale", "code", "mine", "named"]
+    months = rows.groupBy(*keys, month.alias("at")).agg(
+        F.sum("n").alias("n"), F.min("first").alias("first"), F.min("day").alias("start"), F.max("day").alias("end"))
+    sale = F.col("sale")
+    bounds = months.agg(F.min(F.when(sale, F.col("start"))).alias("data_start"), F.max(F.when(sale, F.col("end"))).alias("data_end"))
+    months = months.crossJoin(F.broadcast(bounds))  # one row
+    shown = F.coalesce(F.col("at") == (F.lit(1) if span else month_start(F.col("data_end"))), F.lit(False))
+    judged = shown if scope.currency_scope == "display" else F.lit(True)
+    cases = {"all": F.lit(True), "own": F.col("mine")}
+    codes = months.groupBy("code", "data_start", "data_end").agg(
+        F.bool_or(shown & F.col("named")).alias("found"),
+        *[c.alias(f"{k}_{case}") for case, ok in cases.items() for k, c in {
+            "seen": F.bool_or(judged & ok), "n": F.sum(F.when(judged & ok & sale, F.col("n"))),
+            "first": F.min(F.when(judged & ok & sale, F.col("first"))), "last": F.max(F.when(ok & sale, F.col("end")))}.items()])
+    code = F.col("code")
+    known = code.isNotNull() & (code != cur.NO_CURRENCY)
+    counted = code.isNotNull() if scope.include_unknown else known
+    wanted = F.lit(scope.currency).cast("string")
+    whole = codes.agg(
+        F.first("data_start").alias("data_start"), F.first("data_end").alias("data_end"), F.bool_or("found").alias("found"),
+        *[c.alias(f"{k}_{case}") for case in cases for k, c in {
+            "several": F.count_if(counted & F.col(f"seen_{case}")) > 1, "last": F.max(f"last_{case}"),
+            "wanted_last": F.max(F.when(code == wanted, F.col(f"last_{case}"))),
+            "major": F.min_by(F.struct("code", F.col(f"last_{case}").alias("last")), F.when(known & (F.col(f"n_{case}") > 0), F.struct(
+                -F.col(f"n_{case}"), F.coalesce(F.col(f"first_{case}"), F.lit(2**63 - 1)), code)))}.items()])
+
+    def case(k: str) -> Column:
+        return F.when(F.col("found"), F.col(f"{k}_own")).otherwise(F.col(f"{k}_all"))
+
+    several, major = F.coalesce(case("several"), F.lit(False)), case("major")
+    currency = F.when(several, F.coalesce(wanted, major["code"]))
+    last = F.when(~several, case("last")).when(wanted.isNotNull(), case("wanted_last")).when(
+        major["code"].isNotNull(), major["last"]).otherwise(case("last"))
+    start, end = span or (month_start(F.col("data_end")), F.last_day("data_end"))
+    return whole.select(
+        "data_start", "data_end", start.alias("display_start"), end.alias("display_end"),
+        F.when(F.col("found"), F.lit(scope.channel).cast("string")).alias("channel"), currency.alias("currency"),
+        several.alias("several_currencies"),
+        (F.lit(None).cast("date") if span else month_start(last)).alias("anchor"))
 
 
 def kpi_captions(rows: DataFrame, has_orders: bool, has_returns: bool, margin_known: bool,
-                 channel: str | None) -> DataFrame:
-    """Blanks explain themselves: adds the first caveat that applies, and whether the delta is good or bad news."""
+                 channel: str | Column | None) -> DataFrame:
+    """Blanks explain themselves: adds the first caveat that applies, and whether the delta is good or bad news.
+
+    ``channel`` is the report's channel, or a column with every row's own (null for all channels).
+    """
     k = F.col("kpi")
     caveat = F.when((k == "avgMargin") & F.lit(not margin_known), MARGIN_CAVEAT)
     # margin has no other caveat of its own, so it is decided before the rest are asked
     caveat = caveat.when((k == "avgMargin"), F.lit(None).cast("string"))
     caveat = caveat.when((k == "orders") & F.lit(not has_orders), ORDERS_CAVEAT)
     caveat = caveat.when((k == "returnRate") & F.lit(not has_returns), RETURNS_CAVEAT)
-    if channel:
+    if isinstance(channel, Column):
+        before, after = CHANNEL_CAVEAT.split("{0}")
+        caveat = caveat.when((k == "returnRate") & channel.isNotNull(), F.concat(F.lit(before), channel, F.lit(after)))
+    elif channel:
         caveat = caveat.when(k == "returnRate", CHANNEL_CAVEAT.format(channel))
     caveat = caveat.when(F.col("mom").isNull(), NO_PRIOR_CAVEAT)
     return rows.withColumn("caveat", caveat).withColumn("polarity", delta_polarity(F.col("mom"), F.col("higher_is_better")))
 
 
-def without_return_rate(rows: DataFrame) -> DataFrame:
-    """Returns carry no channel, so under a channel the return rate is withheld."""
+def without_return_rate(rows: DataFrame, where: Column | None = None) -> DataFrame:
+    """Returns carry no channel, so under a channel the return rate is withheld (in the rows of ``where``, or in all)."""
     hidden = F.col("kpi") == "returnRate"
+    if where is not None:
+        hidden = hidden & where
     return rows.withColumns({c: F.when(~hidden, F.col(c)) for c in ("current", "mom", "qoq", "yoy")})
 
 
@@ -143,8 +215,9 @@ def build_report(feeds: Feeds, scope: ReportScope = ReportScope(), method: str =
                  sensitivity: str = "standard", unit_cost_mapped: bool | None = None, stage: bool = False) -> Report:
     """All report tables of one scope. Trend and anomalies use full history; KPIs and rankings the chosen range.
 
-    Several tables are made of the same anomalies and rankings. With ``stage`` those are written once to the shared
-    scratch folder and read back, so that writing the whole report scans each feed once per shared table.
+    Sales, orders and returns are folded by day first; the folds are the only readers of their rows, and one query over them
+    settles the scope before anything is planned. Several tables are made of the same anomalies and rankings. With ``stage``
+    those are written once to the shared scratch folder and read back as well.
 
     A feed may be given as ``Cleaned``; then the mapping tells whether a unit cost was mapped, and without one the margin is
     withheld. For a plain table it is ``unit_cost_mapped``, or whether the column is there.
@@ -153,7 +226,7 @@ def build_report(feeds: Feeds, scope: ReportScope = ReportScope(), method: str =
         stock = feeds.get("inventory")
         unit_cost_mapped = (bool(stock.mapping.get("unitCost")) if isinstance(stock, Cleaned)
                             else stock is not None and "unitCost" in stock.columns)
-    feeds = {n: df.rows if isinstance(df, Cleaned) else df for n, df in feeds.items()}
+    feeds = staged_folds({n: df.rows if isinstance(df, Cleaned) else df for n, df in feeds.items()})
 
     def shared(df: DataFrame, name: str) -> DataFrame:
         if not stage:
@@ -162,6 +235,7 @@ def build_report(feeds: Feeds, scope: ReportScope = ReportScope(), method: str =
         df.write.parquet(path)
         return df.sparkSession.read.parquet(path)
 
+    scope = with_closed_range(feeds, scope)
     where = resolve_scope(feeds, scope)
     span, channel = scope.span, where.channel
     full = _windowed(feeds, None, channel)
@@ -212,6 +286,49 @@ def build_report(feeds: Feeds, scope: ReportScope = ReportScope(), method: str =
     return report
 
 
+def report_all_scopes(feeds: Feeds, method: str = "zscore", sensitivity: str = "standard",
+                      unit_cost_mapped: bool | None = None) -> Report:
+    """The report of every currency and of every channel within it at once, each table keyed by (currency, channel).
+
+    The channel ``*`` stands for all channels. Feeds are folded by day and the folds by grouping sets, so each is scanned once
+    whatever the number of scopes. Every scope has its own latest month. Returns carry no channel: their anomalies are in
+    every scope of their currency, and the return rate in those of all channels only. Stockouts belong to no scope.
+    """
+    stock = feeds.get("inventory")
+    if unit_cost_mapped is None:
+        unit_cost_mapped = (bool(stock.mapping.get("unitCost")) if isinstance(stock, Cleaned)
+                            else stock is not None and "unitCost" in stock.columns)
+    feeds = staged_folds({n: df.rows if isinstance(df, Cleaned) else df for n, df in feeds.items()})
+    inventory = feeds.get("inventory")
+    unit_cost = kpi.unit_cost_by_sku(inventory) if inventory is not None and unit_cost_mapped else None
+    scoped = staged_folds({n: df for n, df in feeds.items() if n in DATE_COLUMN}, all_scopes)
+    sales, orders, returns = scoped["sales"], scoped.get("orders"), scoped.get("returns")
+    by, one_channel = ("currency", "channel"), F.col("channel") != ALL_CHANNELS
+
+    kpis = without_return_rate(kpi.kpi_trend(sales, orders, returns, unit_cost, by), one_channel)
+    kpis = kpi_captions(kpis, orders is not None, returns is not None, unit_cost is not None,
+                        F.when(one_channel, F.col("channel")))
+    found = an.detect_anomalies(sales, None, method, sensitivity, by)
+    if returns is not None:
+        scopes = sales.select(*by_columns(sales, by)).distinct()
+        level = an.THRESHOLDS[method][sensitivity]
+        of_returns = an.sku_return_anomalies(returns, method, level, ("currency",)).withColumn("detector_ord", F.lit(1))
+        found = found.unionByName(of_returns.join(scopes, "currency"))
+    path = scratch_path(sales.sparkSession, "report-anomalies")
+    found.write.parquet(path)  # listed and cut for the flags
+    found = sales.sparkSession.read.schema(found.schema).parquet(path)
+    ranking = {dim: performers.performers_latest_month(sales, dim, by) for dim in ("sku", "region")}
+    return {
+        "kpis": kpis,
+        "revenue_trend": kpi.monthly_revenue(sales, by),
+        "anomalies": an.ranked(found),
+        **{f"performers_{dim}": performers.ranked_performers(df, by) for dim, df in ranking.items()},
+        "performers_channel": performers.ranked_performers(
+            performers.performers_latest_month(feeds["sales"], "channel", ("currency",)), ("currency",)),
+        "risks": risks.risk_flags(inventory, ranking["sku"], ranking["region"], found, by=by),
+    }
+
+
 def _labels(feeds: Feeds, scope: ReportScope, where: ResolvedScope, margin_known: bool) -> DataFrame:
     """One row of names and flags that head the report."""
     if scope.span:
