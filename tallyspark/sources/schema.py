@@ -24,53 +24,58 @@ class Field:
         return {"string": T.StringType(), "number": T.DoubleType(), "money": MONEY, "date": T.DateType()}[self.kind]
 
 
-def _f(key: str, label: str, kind: str, required: bool, aliases: str) -> Field:
-    return Field(key, label, kind, required, tuple(aliases.split()))
-
-
 # Canonical field keys, labels and the normalised header spellings each one accepts.
 FIELDS: dict[str, tuple[Field, ...]] = {
     "sales": (
-        _f("date", "Date", "date", True, "date saledate transactiondate purchasedate dateofsale invoicedate orderdate"),
-        _f("sku", "SKU", "string", True, "sku productsku itemsku productcode asin itemid productid"),
-        _f("product", "Product", "string", False, "product productname itemname description producttitle itemtitle title"),
-        _f("region", "Region", "string", False, "region salesregion territory shipstate state market country"),
-        _f("channel", "Channel", "string", False, "channel saleschannel marketplace platform"),
-        _f("units", "Units", "number", True, "units unitssold qty quantity qtyordered unitsordered"),
-        _f("unitPrice", "Unit price", "money", False, "unitprice price priceperunit itemprice saleprice soldfor"),
-        _f("revenue", "Revenue", "money", True, "revenue sales amount total netrevenue itemtotal linetotal grosssales"),
-        _f("currency", "Currency", "string", False, "currency currencycode curr"),
+        Field("date", "Date", "date", True,
+              ("date", "saledate", "transactiondate", "purchasedate", "dateofsale", "invoicedate", "orderdate")),
+        Field("sku", "SKU", "string", True, ("sku", "productsku", "itemsku", "productcode", "asin", "itemid", "productid")),
+        Field("product", "Product", "string", False,
+              ("product", "productname", "itemname", "description", "producttitle", "itemtitle", "title")),
+        Field("region", "Region", "string", False,
+              ("region", "salesregion", "territory", "shipstate", "state", "market", "country")),
+        Field("channel", "Channel", "string", False, ("channel", "saleschannel", "marketplace", "platform")),
+        Field("units", "Units", "number", True, ("units", "unitssold", "qty", "quantity", "qtyordered", "unitsordered")),
+        Field("unitPrice", "Unit price", "money", False,
+              ("unitprice", "price", "priceperunit", "itemprice", "saleprice", "soldfor")),
+        Field("revenue", "Revenue", "money", True,
+              ("revenue", "sales", "amount", "total", "netrevenue", "itemtotal", "linetotal", "grosssales")),
+        Field("currency", "Currency", "string", False, ("currency", "currencycode", "curr")),
     ),
     "orders": (
-        _f("orderId", "Order ID", "string", True, "orderid order orderno ordernumber transactionid"),
-        _f("orderDate", "Order date", "date", True, "orderdate date purchasedate dateoforder orderedon saledate"),
-        _f("customerId", "Customer ID", "string", False, "customerid custid customer buyerid buyerusername buyername"),
-        _f("channel", "Channel", "string", False, "channel saleschannel marketplace platform"),
-        _f("region", "Region", "string", False, "region territory shipstate state country"),
-        _f("status", "Status", "string", False, "status orderstatus shipmentstatus fulfillmentstatus"),
-        _f("total", "Order total", "money", True, "total ordertotal amount revenue grandtotal amountpaid"),
-        _f("currency", "Currency", "string", False, "currency currencycode curr"),
+        Field("orderId", "Order ID", "string", True, ("orderid", "order", "orderno", "ordernumber", "transactionid")),
+        Field("orderDate", "Order date", "date", True,
+              ("orderdate", "date", "purchasedate", "dateoforder", "orderedon", "saledate")),
+        Field("customerId", "Customer ID", "string", False,
+              ("customerid", "custid", "customer", "buyerid", "buyerusername", "buyername")),
+        Field("channel", "Channel", "string", False, ("channel", "saleschannel", "marketplace", "platform")),
+        Field("region", "Region", "string", False, ("region", "territory", "shipstate", "state", "country")),
+        Field("status", "Status", "string", False, ("status", "orderstatus", "shipmentstatus", "fulfillmentstatus")),
+        Field("total", "Order total", "money", True, ("total", "ordertotal", "amount", "revenue", "grandtotal", "amountpaid")),
+        Field("currency", "Currency", "string", False, ("currency", "currencycode", "curr")),
     ),
     "inventory": (
-        _f("sku", "SKU", "string", True, "sku productsku itemsku asin itemid productid"),
-        _f("productName", "Product name", "string", False,
-           "productname product itemname description producttitle itemtitle title"),
-        _f("warehouse", "Warehouse", "string", False, "warehouse location dc distributioncenter fulfillmentcenter"),
-        _f("onHand", "On-hand units", "number", True,
-           "onhand onhandunits quantity stock unitsonhand quantityavailable availableqty stockqty"),
-        _f("reorderPoint", "Reorder point", "number", False,
-           "reorderpoint reorderpt reorderlevel minstock reorderthreshold safetystock"),
-        _f("unitCost", "Unit cost", "money", False, "unitcost cost costperunit costprice cogs"),
+        Field("sku", "SKU", "string", True, ("sku", "productsku", "itemsku", "asin", "itemid", "productid")),
+        Field("productName", "Product name", "string", False,
+              ("productname", "product", "itemname", "description", "producttitle", "itemtitle", "title")),
+        Field("warehouse", "Warehouse", "string", False,
+              ("warehouse", "location", "dc", "distributioncenter", "fulfillmentcenter")),
+        Field("onHand", "On-hand units", "number", True,
+              ("onhand", "onhandunits", "quantity", "stock", "unitsonhand", "quantityavailable", "availableqty", "stockqty")),
+        Field("reorderPoint", "Reorder point", "number", False,
+              ("reorderpoint", "reorderpt", "reorderlevel", "minstock", "reorderthreshold", "safetystock")),
+        Field("unitCost", "Unit cost", "money", False, ("unitcost", "cost", "costperunit", "costprice", "cogs")),
     ),
     "returns": (
-        _f("returnId", "Return ID", "string", False, "returnid rmaid returnno rmanumber returnnumber claimid"),
-        _f("orderId", "Order ID", "string", False, "orderid order ordernumber transactionid"),
-        _f("sku", "SKU", "string", True, "sku productsku itemsku asin itemid productid"),
-        _f("returnDate", "Return date", "date", True, "returndate date dateofreturn refunddate"),
-        _f("reason", "Reason", "string", False, "reason returnreason reasonforreturn"),
-        _f("units", "Units returned", "number", True, "units unitsreturned qty quantity quantityreturned"),
-        _f("refund", "Refund amount", "money", False, "refund refundamount amount amountrefunded refundtotal"),
-        _f("currency", "Currency", "string", False, "currency currencycode curr"),
+        Field("returnId", "Return ID", "string", False,
+              ("returnid", "rmaid", "returnno", "rmanumber", "returnnumber", "claimid")),
+        Field("orderId", "Order ID", "string", False, ("orderid", "order", "ordernumber", "transactionid")),
+        Field("sku", "SKU", "string", True, ("sku", "productsku", "itemsku", "asin", "itemid", "productid")),
+        Field("returnDate", "Return date", "date", True, ("returndate", "date", "dateofreturn", "refunddate")),
+        Field("reason", "Reason", "string", False, ("reason", "returnreason", "reasonforreturn")),
+        Field("units", "Units returned", "number", True, ("units", "unitsreturned", "qty", "quantity", "quantityreturned")),
+        Field("refund", "Refund amount", "money", False, ("refund", "refundamount", "amount", "amountrefunded", "refundtotal")),
+        Field("currency", "Currency", "string", False, ("currency", "currencycode", "curr")),
     ),
 }
 

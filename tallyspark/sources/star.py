@@ -12,16 +12,13 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .schema import ORD
+from .schema import FIELDS, ORD
 
 # The three reporting currencies, dealt out by nation.
 CURRENCIES = ("USD", "EUR", "INR")
 
-SALES_COLUMNS = ("date", "sku", "product", "region", "channel", "units", "unitPrice", "revenue", "currency")
-ORDERS_COLUMNS = ("orderId", "orderDate", "customerId", "channel", "region", "status", "total", "currency")
-RETURNS_COLUMNS = ("returnId", "orderId", "sku", "returnDate", "reason", "units", "refund", "currency")
-INVENTORY_COLUMNS = ("sku", "productName", "warehouse", "onHand", "reorderPoint", "unitCost")
-
+SALES_COLUMNS, ORDERS_COLUMNS, RETURNS_COLUMNS, INVENTORY_COLUMNS = (
+    tuple(f.key for f in FIELDS[name]) for name in ("sales", "orders", "returns", "inventory"))
 
 # Declared schemas spare a footer-reading job per table.
 SCHEMAS = {

@@ -19,7 +19,7 @@ SEASON = {1: 0.8, 7: 1.2, 8: 1.2, 11: 1.45, 12: 1.45}
 WEEKEND, GROWTH = 1.25, 0.012
 CHANNELS = {"Online": 1.2, "Retail": 0.9, "Wholesale": 0.6}
 REASONS = ("Defective", "Wrong item", "No longer needed", "Sizing issue", "Damaged in transit")
-WAREHOUSES = ("DC-North", "DC-South", "DC-East", "DC-West")
+WAREHOUSES = ("Harbour", "Airport", "Depot", "Annex")
 DIRT = {
     "sales": (0.015, {"Region": 0.02, "Channel": 0.015, "Revenue": 0.01}),
     "orders": (0.02, {"Region": 0.02, "CustomerID": 0.015}),

@@ -7,13 +7,9 @@ import pytest
 from tallyspark.operators import cleaning, mapping
 from tallyspark.sources import feeds, sinks
 from tallyspark.sources.schema import FIELDS, canonical_schema
+from tallyspark.sources.synthetic import RAW_HEADERS
 
-EXPORT_HEADERS = {
-    "sales": ["Date", "SKU", "Product", "Region", "Channel", "Qty", "Unit Price", "Revenue"],
-    "orders": ["OrderID", "Order Date", "CustomerID", "Channel", "Region", "Status", "Total"],
-    "inventory": ["SKU", "Product Name", "Warehouse", "On Hand", "Reorder Pt", "Unit Cost"],
-    "returns": ["ReturnID", "OrderID", "SKU", "Return Date", "Reason", "Units", "Refund"],
-}
+EXPORT_HEADERS = {name: list(headers.values()) for name, headers in RAW_HEADERS.items()}
 
 
 @pytest.mark.parametrize("dataset", list(EXPORT_HEADERS))

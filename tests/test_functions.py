@@ -46,6 +46,11 @@ def test_days(spark):
         "6/1/25": (2025, 6, 1), "6/1/99": (1999, 6, 1), "01-Jun-25": (2025, 6, 1), "2025-06-01 10:30:00+00": (2025, 6, 1),
         "2025-06-01 10:30:00+00:00": (2025, 6, 1), "2025-06-01 23:30:00-05": (2025, 6, 2), "June 2025": (2025, 6, 1),
         "Mon, 02 Jun 2025 00:00:00 GMT": (2025, 6, 2), "2025-02-30": None, "13/40/2025": None, "not a date": None, "45": None, "": None,
+        "2025-06-01 10:30:00 +00:00": (2025, 6, 1), "2025-06-01 10:30:00 UTC": (2025, 6, 1), "2025-06-01 22:30:00 EST": (2025, 6, 2),
+        "Mon, 02 Jun 2025 00:00:00 +0530": (2025, 6, 1), "June 1, 2025 10:30:00 GMT+0200": (2025, 6, 1),
+        "Sun Jun 01 2025 00:00:00 GMT+0000 (Coordinated Universal Time)": (2025, 6, 1), "6/1/2025 11:30 PM PST": (2025, 6, 2),
+        "2025-06-01 00:10 GMT+02": (2025, 5, 31), "12/31/2024 12:05 AM UTC": (2024, 12, 31), "Jun-25": (2001, 6, 25), "Jun-2025": (2025, 6, 1),
+        "6.1.2025": (2025, 6, 1), "31.12.2025": None, "20250601": None, "June 31, 2025 10:00 UTC": None, "soon 10:30 UTC": None,
     }
     want = [dt.date(*v) if v else None for v in cases.values()]
     assert texts(spark, list(cases), coerce.parse_day) == want
