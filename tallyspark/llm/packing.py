@@ -23,7 +23,6 @@ from tallyspark.llm.tokens import load, tokenizer_file
 WINDOW = 2048
 SHARD_TOKENS = 1_000_000
 K1, B = 1.2, 0.75
-QUERY_TERMS = 64
 
 
 def _tokenize(definition, end_id: int):
@@ -74,18 +73,17 @@ class ShardIndex:
     """BM25 postings of the documents of one shard, with the term weights of the whole corpus."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean_length: float):
-        terms, owner, weight, asks = [], [], [], []
+        self.of_doc, terms, owner, weight = [], [], [], []
         place = np.zeros(len(idf), dtype=np.int64)
         for i, ids in enumerate(docs):
             t, tf = _terms(ids, place)
             useful = idf[t] > 0
             t, tf = t[useful].astype(np.int64), tf[useful]
             w = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / mean_length))
+            self.of_doc.append(t)
             terms.append(t)
             owner.append(np.full(len(t), i, dtype=np.int32))
             weight.append(w)
-            asks.append(t if len(t) <= QUERY_TERMS else t[np.argpartition(-w, QUERY_TERMS)[:QUERY_TERMS]])
-        self.of_doc = asks
         terms = np.concatenate(terms)
         order = np.argsort(terms, kind="stable")
         self.owner, self.weight = np.concatenate(owner)[order], np.concatenate(weight)[order]
@@ -93,7 +91,7 @@ class ShardIndex:
         self.n = len(docs)
 
     def scores(self, i: int) -> np.ndarray:
-        """BM25 of every document of the shard for the ``QUERY_TERMS`` heaviest terms of document ``i``."""
+        """BM25 of every document of the shard for all terms of document ``i``."""
         t = self.of_doc[i]
         first, size = self.starts[t], self.starts[t + 1] - self.starts[t]
         at = np.arange(int(size.sum())) + np.repeat(first - (np.cumsum(size) - size), size)
