@@ -76,15 +76,22 @@ def bisect_exponent(sizes: DataFrame, entropy: float | None = None, repeat_limit
     return exponent, sums([exponent])[0][0]
 
 
+def free_names(columns: list[str]) -> list[str]:
+    """Names of the columns of the mix, with as many underscores in front as keep them apart from ``columns``."""
+    taken, prefix = {c.lower() for c in columns}, ""
+    while taken & {prefix + c for c in MIX}:
+        prefix += "_"
+    return [prefix + c for c in MIX]
+
+
 def mix_sources(docs: DataFrame, entropy: float | None = None, repeat_limit: float = REPEAT_LIMIT,
                 budget_tokens: int | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = 17) -> DataFrame:
-    """``docs`` with mix_tokens, mix_weight, mix_rate, mix_block and mix_copies (how often the document is taken).
+    """``docs`` with mix_tokens, mix_weight, mix_rate, mix_block and mix_copies (how often the document is taken) as last columns.
 
+    Where ``docs`` has a column of such a name, in any case, it stays and all five new ones get underscores in front.
     Without ``budget_tokens`` the budget is the least at which every source is taken whole, so nothing is dropped. A null source
     is one of its own, a null text has one token; repeated rows are counted and taken one by one; an empty table stays empty.
     """
-    if clash := [c for c in MIX if c in {n.lower() for n in docs.columns}]:
-        raise ValueError(f"columns {clash} are in the way")
     plain, at = numbered(docs)
     rows = plain.withColumns({"mix_tokens": token_count(F.col(at["text"])), "mix_key": source_key(F.col(at["source"]))})
     sizes = stage(rows.groupBy("mix_key").agg(F.sum("mix_tokens").alias("tokens")), "sources")
@@ -105,13 +112,13 @@ def mix_sources(docs: DataFrame, entropy: float | None = None, repeat_limit: flo
     whole = F.floor("mix_rate")
     extra = middle <= 2 * (F.col("mix_rate") - whole) * F.sum("mix_tokens").over(block)
     out = rows.withColumn("mix_copies", (whole + extra.cast("int")).cast("long"))
-    return out.select(*plain.columns, *MIX).toDF(*docs.columns, *MIX)
+    return out.select(*plain.columns, *MIX).toDF(*docs.columns, *free_names(docs.columns))
 
 
 def take_copies(mixed: DataFrame) -> DataFrame:
-    """The documents as often as the mix takes them, without the columns of the mix."""
-    plain, at = numbered(mixed)
-    copies = F.col(at["mix_copies"])
+    """The documents of ``mix_sources`` as often as the mix takes them, without the five columns of the mix."""
+    plain, _ = numbered(mixed)
+    own = mixed.columns[:-len(MIX)]
+    copies = F.col(plain.columns[-1])
     many = plain.where(copies > 0).withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
-    own = [c for c in mixed.columns if c not in MIX]
-    return many.select(*(f"_{i}" for i, c in enumerate(mixed.columns) if c not in MIX)).toDF(*own)
+    return many.select(*plain.columns[:len(own)]).toDF(*own)

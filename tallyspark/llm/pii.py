@@ -30,8 +30,11 @@ KINDS = (*BASE, "secret")
 MAX_TRAIN = 20_000
 FEATURES = 256
 
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: The base patterns in a form that takes one look at each character: an address is found from its "@" outwards, and four
+#: numbers from the beginning of the first one.
+_HOST = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+_NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Broader than the base patterns: what only the votes can tell.
@@ -85,11 +88,27 @@ def matches(kind: str, text: str) -> bool:
     return True
 
 
+def emails(text: str) -> list[tuple[int, int]]:
+    """Leftmost non-overlapping matches of ``[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+``, in linear time."""
+    found, done, at = [], 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > done and text[start - 1] in _NAME:
+            start -= 1
+        host = _HOST.match(text, at + 1) if start < at else None
+        # a name never holds an "@", so the next one's characters lie behind this one whether it matched or not
+        done = host.end() if host else at + 1
+        if host:
+            found.append((start, done))
+        at = text.find("@", done)
+    return found
+
+
 def candidates(text: str) -> list[tuple[str, int, int, bool]]:
     """(kind, start, end, base) of each candidate span of a text; base ones are the leftmost non-overlapping matches."""
     found = []
     if "@" in text:
-        found += [("email", *m.span(), True) for m in _EMAIL.finditer(text)]
+        found += [("email", *span, True) for span in emails(text)]
     if "[" in text or "(" in text:
         found += [("email", *m.span(), False) for m in _LOOSE_EMAIL.finditer(text)]
     if _DIGIT.search(text):

@@ -157,6 +157,13 @@ def test_mix_keeps_its_budget(spark):
     assert abs(half.agg(F.sum(F.col("mix_copies") * F.col("mix_tokens"))).first()[0] - 20_000) < 800
 
 
+def test_mix_beside_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, "w " * i, "s", i, "kept") for i in range(1, 40)], "doc_id long, text string, source string, mix_copies long, MIX_Tokens string")
+    mixed = mix_sources(docs)
+    assert mixed.columns == [*docs.columns, "_mix_tokens", "_mix_weight", "_mix_rate", "_mix_block", "_mix_copies"]
+    assert sorted(map(tuple, take_copies(mixed).collect())) == sorted(map(tuple, docs.collect()))
+
+
 def test_mix_of_awkward_and_empty_tables(spark):
     docs = awkward(spark)
     assert mix_sources(docs).where("mix_copies >= 1").count() == docs.count()

@@ -1,7 +1,9 @@
 """Personal data, language and licences on small texts."""
 
 import hashlib
+import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -10,7 +12,7 @@ from brute import awkward, empty
 from tallyspark.llm import queries
 from tallyspark.llm.langid import BUCKETS, fit_language_model, held_out, identify_language, keep_identified, profiles, train
 from tallyspark.llm.licenses import TEMPLATES, Templates, bigrams, scan, scan_licenses, words
-from tallyspark.llm.pii import fit_span_model, find_personal_data, luhn, redact_personal_data, reliabilities
+from tallyspark.llm.pii import _IP, candidates, emails, fit_span_model, find_personal_data, luhn, redact_personal_data, reliabilities
 
 SF = "/root/testdata/sf0.001"
 PRIVATE = ["write to ann.lee@mail.example.com or b@c or x@y.z now", "host 10.0.0.255 and 10.0.0.256 and 1.2.3.4.5",
@@ -39,6 +41,27 @@ def test_luhn():
     assert luhn("4111111111111111") and not luhn("4111111111111112")
 
 
+def test_linear_patterns_equal_the_base_patterns():
+    """Leftmost non-overlapping matches of the contract's patterns, on text full of near misses."""
+    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    ip = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    rng = random.Random(7)
+    for _ in range(20_000):
+        text = "".join(rng.choice("a1.@-_ é@.") for _ in range(rng.randint(0, 24)))
+        assert emails(text) == [m.span() for m in email.finditer(text)]
+        text = "".join(rng.choice("012.. x") for _ in range(rng.randint(0, 30)))
+        assert [m.span() for m in _IP.finditer(text)] == [m.span() for m in ip.finditer(text)]
+
+
+@pytest.mark.parametrize("text", ["1" * 10**6, "a" * 10**6 + "@", "a@" * 500_000, "a" * 500_000 + "@b" + "c" * 500_000, "1." * 500_000, "+1 " * 300_000,
+                                  "x" * 10**6 + " a@b.cd"])
+def test_a_megabyte_without_blanks(text):
+    began = time.perf_counter()
+    found = candidates(text)
+    assert time.perf_counter() - began < 10
+    assert [c for c in found if c[0] == "email"] == ([("email", 10**6 + 1, 10**6 + 7, True)] if text.endswith("cd") else [])
+
+
 def test_base_spans_stay_and_are_exact(spark):
     docs = spark.createDataFrame(list(enumerate(PRIVATE)), "doc_id long, text string")
     for r in find_personal_data(docs).collect():
