@@ -24,8 +24,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-duplicates, the one with the smallest id."""
-    return drop_near_duplicates(docs)
+    """One row of each group of documents that share four fifths of their word shingles, the one with the smallest id."""
+    return drop_near_duplicates(docs, 80)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
