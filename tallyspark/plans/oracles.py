@@ -698,6 +698,26 @@ ORACLES["kpi_formatted"] = with_views(
  case when mom is null or mom = 0 then 'neutral' when (mom > 0) = (kpi <> 'returnRate') then 'good' else 'bad' end
   as polarity from kpis""", "v_sales", "v_orders", "v_returns", "v_inventory")
 
+def _unpivot(section: str, source: str, number: str, cells: dict[str, str]) -> str:
+    return " union all ".join(f"select '{section}' as section, cast({number} as int) as row_no, '{c}' as cell, {x} as text from {source}"
+                              for c, x in cells.items())
+
+
+_AMOUNT = f"concat(case currency when 'USD' then '$' when 'EUR' then '€' else '₹' end, {_grouped('current')})"
+_SELLER = {"dimension_value": "dimension_value", "revenue": _AMOUNT, "trend": f"concat({_delta_text('d')}, ' MoM')"}
+ORACLES["export_cells"] = with_views(
+    kpi_trend_ctes().replace("round(", "(").replace(", 6)", ")") + f""", {_AT_RISK}, {_STOCKOUTS},
+ best as (select currency from v_sales group by 1 order by count(*) desc, min(_ord) limit 1),
+ kb as (select *, list_position(['revenue', 'units', 'orders', 'returnRate', 'avgMargin'], kpi) - 1 as kpi_ord from kpis join best using (currency)),
+ t as (select currency, sku as dimension_value, {_performer_cols("date_trunc('month', date) = m", "date_trunc('month', date) = m - interval 1 month")}
+  from v_sales join anchors using (currency) join best using (currency) where date_trunc('month', date) in (m, m - interval 1 month) group by 1, 2),
+ n as (select *, (current - previous) / previous as d, row_number() over (order by current desc, dimension_value) as up,
+  row_number() over (order by current, dimension_value desc) as down from t),
+ hi as (select * from n where up <= 5), lo as (select * from n where down <= 5), so6 as (select * from so where n <= 6)
+ {_unpivot('kpis', 'kb', 'kpi_ord', {'label': 'label', 'current': f"case when current is null then '—' when format = 'currency' then {_AMOUNT} when format = 'percent' then {_percent('current')} else {_grouped('current')} end", **{c: _delta_text(c) for c in ('mom', 'qoq', 'yoy')}})}
+ union all {_unpivot('top_performers', 'hi', 'up', _SELLER)} union all {_unpivot('bottom_performers', 'lo', 'down', _SELLER)}
+ union all {_unpivot('risks', 'so6', 'n', {c: c for c in ('type', 'title', 'detail')})}""", "v_sales", "v_orders", "v_returns", "v_inventory")
+
 _UNROUNDED = _ALL.replace("round(value, 6)", "value").replace("round(m, 6)", "m").replace("round(z, 6)", "z").replace(
     "round(base, 6)", "base").replace("round(dev, 6)", "dev")
 ORACLES["anomaly_captions"] = with_views(

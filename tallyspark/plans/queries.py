@@ -671,6 +671,23 @@ def report_bundle(spark, sf_dir):
     return counted
 
 
+@query
+def export_cells(spark, sf_dir):
+    """Cells of the export's sections, read back from a bundle in the folder of its reporting period."""
+    feeds_ = {n: df for n, df in _feeds(spark, sf_dir).items()}
+    built = report.build_report(feeds_, stage=True)
+    tables = {n: df for n, df in report.export_tables(built, {}).items() if n in ("kpis", "risks", "top_performers", "bottom_performers")}
+    path = sinks.bundle_path(scratch_path(spark, "export"), built["labels"].first()["period_label"])
+    sinks.write_bundle(tables, path)
+    cells = None
+    for section, df in sinks.read_bundle(spark, path).items():
+        number = "item" if section == "risks" else "row_no"
+        rows = df.select(F.lit(section).alias("section"), F.col(number).cast("int").alias("row_no"), F.inline(F.array(*[
+            F.struct(F.lit(c).alias("cell"), F.col(c).cast("string").alias("text")) for c in df.columns if c != number])))
+        cells = rows if cells is None else cells.unionByName(rows)
+    return cells
+
+
 def _catalogue(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     part = star.table(spark, sf_dir, "part")
     products = part.select(

@@ -162,6 +162,24 @@ def test_header_catalogue_of_open_feeds(spark, tmp_path):
     assert [tuple(r) for r in catalogue.collect()] == [("mine", "sales", 0, "Date"), ("mine", "sales", 1, "SKU")]
 
 
+@pytest.mark.parametrize("fmt", sinks.WRITERS)
+def test_bundles_are_read_by_their_manifest(spark, tmp_path, fmt):
+    path = str(tmp_path / "b")
+    lines = spark.createDataFrame([(1, 'say "hi",\nyou', 0.5), (2, None, None)], "n int, note string, x double")
+    sinks.write_bundle({"a": lines, "none": lines.where("false")}, path, fmt)
+    back = sinks.read_bundle(spark, path)
+    assert sorted(map(tuple, back["a"].collect())) == sorted(map(tuple, lines.collect())) and back["none"].count() == 0
+    assert [(r["section"], r["n_rows"]) for r in sinks.read_manifest(spark, path)] == [("a", 2), ("none", 0)]
+    lines.limit(1).write.format(fmt).mode("append").save(f"{path}/a")
+    with pytest.raises(ValueError, match="not what its manifest lists"):
+        sinks.read_bundle(spark, path)
+    (tmp_path / "b" / "manifest" / "_SUCCESS").rename(tmp_path / "b" / "manifest" / "_LATER")
+    with pytest.raises(ValueError, match="no finished bundle"):
+        sinks.read_bundle(spark, path)
+    with pytest.raises(ValueError, match="no finished bundle"):
+        sinks.read_bundle(spark, str(tmp_path / "nowhere"))
+
+
 def test_bundle_skips_empty_feeds_only(spark, tmp_path):
     full, empty = spark.range(3), spark.range(0)
     path = sinks.bundle_path(str(tmp_path), "Jun 2026")
