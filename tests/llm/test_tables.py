@@ -249,7 +249,7 @@ def test_pipeline(spark):
         assert at.columns == docs.columns
         seen[name] = at.collect()
     assert len(seen["language"]) >= 0.98 * docs.count()
-    groups = near_duplicate_groups([(r.doc_id, r.text) for r in seen["language"]])
+    groups = near_duplicate_groups([(r.doc_id, r.text) for r in seen["language"]], 80)
     kept = {d for d, (_, c) in groups.items() if d == c}
     assert {r.doc_id for r in seen["near_duplicates"]} == kept == {r.doc_id for r in seen["personal_data"]} == {r.doc_id for r in seen["mixing"]}
     rows = corpus_pipeline.run(spark, SF).collect()
