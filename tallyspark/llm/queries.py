@@ -192,38 +192,40 @@ from f join e on f.doc_id = e.doc_id and f.depth = e.depth join s on s.depth = e
 
 @query
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The licences in every document."""
-    return scan_licenses(table(spark, sf_dir, "documents"))
+    """The places of licences in every document."""
+    return scan_licenses(table(spark, sf_dir, "documents")).select("doc_id", "license", "dice", "first_word", "n_words")
 
 
-_QUOTED = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in TEMPLATES)
+_QUOTED = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(TEMPLATES))
 
 
-def _bigrams_sql(text: str) -> str:
+def _pairs_sql(text: str) -> str:
     lower = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     own = f"list_transform(regexp_extract_all({lower}, '[a-z0-9]+(?:\\.[a-z0-9]+)*'), lambda w: case when w = 'licence' then 'license' else w end)"
-    return f"list_distinct(list_transform(list_zip({own}[:-2], {own}[2:]), lambda p: p[1] || ' ' || p[2]))"
+    return f"list_transform(list_zip({own}[:-2], {own}[2:]), lambda p: p[1] || ' ' || p[2])"
 
 
 ORACLES["op9_license_scan"] = f"""
-with d as (select doc_id, coalesce(text, '') as text from documents),
-t as (select license, {_bigrams_sql("body")} as own from (values {_QUOTED}) as v(license, body)),
-lines as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as no from d),
-blank as (select *, sum(case when trim(line, ' ' || chr(9) || chr(13)) = '' then 1 else 0 end) over (partition by doc_id order by no) as gaps
-          from lines),
-u as (
-  select doc_id, 0 as kind, 0 as no, text as body from d
-  union all select doc_id, 1, gaps, string_agg(line, chr(10) order by no) from blank where trim(line, ' ' || chr(9) || chr(13)) <> '' group by doc_id, gaps
-  union all select doc_id, 2, no, line from lines
-  union all select doc_id, 3, cast(row_number() over (partition by doc_id order by no, k) - 1 as bigint), piece from (
-    select doc_id, no, unnest(string_split(cut, chr(10))) as piece, unnest(range(len(string_split(cut, chr(10))))) as k
-    from (select *, regexp_replace(line, '([.!?]) +', '\\1' || chr(10), 'g') as cut from lines))),
-b as (select doc_id, kind, no, {_bigrams_sql("body")} as own from u),
-m as (select doc_id, license, kind, no, 2.0::double * len(list_intersect(b.own, t.own)) / (len(b.own) + len(t.own)) as dice
-      from b join t on len(b.own) >= len(t.own) * {THRESHOLD} / (2 - {THRESHOLD}) - 1e-9 and len(b.own) <= len(t.own) * (2 - {THRESHOLD}) / {THRESHOLD} + 1e-9
-      where len(b.own) > 0),
-r as (select *, row_number() over (partition by doc_id, license order by dice desc, kind, no) as place from m where dice >= {THRESHOLD})
-select doc_id, license, dice, (['document', 'paragraph', 'line', 'sentence'])[kind + 1] as part, cast(no as bigint) as part_no from r where place = 1
+with d as (select row_number() over () as rid, doc_id, {_pairs_sql("coalesce(text, '')")} as pairs from documents),
+t as (select *, ceil(size * {THRESHOLD} / (2 - {THRESHOLD}) - 1e-9) as need, floor(size * (2 - {THRESHOLD}) / {THRESHOLD} + 1e-9) as reach
+      from (select *, len(own) as size from (select tid, license, {_pairs_sql("body")} as own from (values {_QUOTED}) as v(tid, license, body)))),
+n as (select tid, pair, count(*) as times from (select tid, unnest(own) as pair from t) group by tid, pair),
+p as (select rid, unnest(pairs) as pair, unnest(range(len(pairs))) as pos from d),
+h as (select rid, tid, pos, pair, times from p join n using (pair)),
+f as (select a.rid, a.tid, a.pos as first, b.pos as last from h a join h b on a.rid = b.rid and a.tid = b.tid join t on t.tid = a.tid
+      where b.pos - a.pos + 1 between need and reach),
+c as (select f.rid, f.tid, first, last, least(count(*), any_value(times)) as held
+      from f join h on f.rid = h.rid and f.tid = h.tid and h.pos between first and last group by f.rid, f.tid, first, last, pair),
+g as (select rid, tid, first, last, sum(held) as shared from c group by rid, tid, first, last),
+s as (select g.*, doc_id, license, size + last - first + 1 as every, 2.0::double * shared / (size + last - first + 1) as dice
+      from g join (select rid, doc_id from d) using (rid) join t using (tid)),
+b as (select *, row_number() over (partition by rid, tid, first order by dice desc, last desc) as best from s where dice >= {THRESHOLD}),
+k as (select rid, doc_id, list([{{'license': license, 'dice': dice, 'first': first, 'last': last}}]
+                                order by 4 * shared - every desc, dice desc, first, last, license, tid) as runs from b where best = 1 group by rid, doc_id),
+u as (select doc_id, unnest(list_reduce(runs, lambda kept, run: case when len(list_filter(kept, lambda o:
+        o['first'] <= run[1]['last'] + 1 and run[1]['first'] <= o['last'] + 1)) = 0 then kept || run else kept end)) as run from k)
+select doc_id, run['license'] as license, run['dice'] as dice, cast(run['first'] as bigint) as first_word,
+       cast(run['last'] - run['first'] + 2 as bigint) as n_words from u
 """
 
 
