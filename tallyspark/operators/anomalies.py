@@ -12,6 +12,7 @@ from ..spark_tools import small_side
 from .buckets import bucket, quartile_stats, spread_stats, trailing_mean
 from .ranking import top_k
 from .scoping import DateRange, by_columns
+from .skew import skew_join
 
 # Thresholds of each detector at each sensitivity, the shortest series worth judging, the severity margins,
 # and the metric labels with the word that introduces their period.
@@ -213,12 +214,14 @@ def drill_down(source: DataFrame, date_column: str, grain: str, dim: str, anomal
                columns: list[str], sample: int = 20, by: tuple[str, ...] = ()) -> DataFrame:
     """First ``sample`` source rows behind each anomaly in file order; ``n_rows`` tells how many there are in all.
 
-    Each task keeps only its own first ``sample`` rows per anomaly before the shuffle.
+    Each task keeps only its own first ``sample`` rows per anomaly before the shuffle. Anomalies beyond the broadcast bound
+    meet the rows in a shuffle join that splits the SKU-weeks holding much of the feed.
     """
-    wanted = small_side(anomalies.select(*by, "id", F.col("dimension_value").alias("_dim"),
-                                         F.col("span_start").alias("_start"), "n_rows"))
+    wanted = anomalies.select(*by, "id", F.col("dimension_value").alias("_dim"), F.col("span_start").alias("_start"), "n_rows")
+    small = small_side(wanted)
     rows = source.select(*by_columns(source, by), *[c for c in source.columns if c not in by])
     rows = rows.withColumn("_start", GRAIN_START[grain](F.col(date_column))).withColumn("_dim", F.col(dim))
-    joined = rows.join(wanted, [*by, "_dim", "_start"])
+    keys = [*by, "_dim", "_start"]
+    joined = rows.join(small, keys) if small is not wanted else skew_join(rows, wanted, keys)
     order = [F.col(ORD), *[F.col(c) for c in columns]]
     return top_k(joined, sample, order, (*by, "id"), "row_no").select(*by, "id", "n_rows", "row_no", *columns)

@@ -12,6 +12,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.skew import skew_join
+from ..spark_tools import will_broadcast
 from .schema import FIELDS, ORD
 
 # The three reporting currencies, dealt out by nation.
@@ -44,6 +46,14 @@ def _currency() -> Column:
     return F.when(key == 0, CURRENCIES[0]).when(key == 1, CURRENCIES[1]).otherwise(CURRENCIES[2])
 
 
+def _lookup(rows: DataFrame, table_: DataFrame, key: str, table_key: str) -> DataFrame:
+    """``rows`` with the columns of a table of unique keys; hot keys are split where the table is too large to broadcast."""
+    own = table_.withColumnRenamed(table_key, key)
+    if will_broadcast(own):
+        return rows.join(own, key)
+    return skew_join(rows, own, [key], spread=F.struct(*[c for c in ("o_orderkey", "l_orderkey", "l_linenumber") if c in rows.columns]))
+
+
 def _customers(spark: SparkSession, sf_dir: str, region: bool) -> DataFrame:
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     if not region:
@@ -60,7 +70,7 @@ def _order_side(spark: SparkSession, sf_dir: str, wanted: set[str], keep: list[s
     orders = table(spark, sf_dir, "orders")
     if wanted & {"region", "currency"}:
         people = _customers(spark, sf_dir, "region" in wanted)
-        orders = orders.join(people, F.col("o_custkey") == F.col("c_custkey")).drop("c_custkey")
+        orders = _lookup(orders, people, "o_custkey", "c_custkey")
         keep = [*keep, "c_nationkey", *(["r_name"] if "region" in wanted else [])]
     return orders.select(*keep)
 
@@ -90,7 +100,7 @@ def _lines(spark: SparkSession, sf_dir: str, wanted: set[str], returned_only: bo
         lines = lines.join(head, F.col("l_orderkey") == F.col("o_orderkey"))
     if "product" in wanted:
         parts = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-        lines = lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
+        lines = _lookup(lines, parts, "l_partkey", "p_partkey")
     return lines
 
 

@@ -39,6 +39,21 @@ def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     return df if rows is None else F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
+def shuffle_parts(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """What the optimizer takes the size of ``df`` for, from file sizes; runs no job."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def will_broadcast(df: DataFrame) -> bool:
+    """Whether the optimizer takes ``df`` for small enough to broadcast it by itself."""
+    bound = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return estimated_bytes(df) <= int(bound)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared checkpoint folder. On a cluster that one must be configured; a single machine, as in
     tests, gets a temporary one."""
