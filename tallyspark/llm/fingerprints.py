@@ -1,29 +1,34 @@
 """Document fingerprints as invertible Bloom lookup sketches of paragraph digests; DataFrame functions only.
 
 A text is cut into paragraphs at line breaks and after sentence ends; the set of their 60-bit digests goes into cells that
-hold a count, the XOR of digests and the XOR of check values. Every digest is in one cell of each of ``ROWS`` rows. Sketches
-of two versions are subtracted cell by cell, equal paragraphs cancel, and peeling of cells with one digest recovers the
-paragraphs that differ. A long text has many groups of such cells, a digest's group drawn from its bits, so the work grows
-with the text. A group whose peeling gets stuck is sketched again with twice the cells, drawn from other bits, and again;
-a pair that is stuck even then is sketched again with more groups and other hashes.
+hold a count, the XOR of digests and the XOR of check values. The cells lie in groups of ``ROWS`` rows of ``WIDTH`` cells; some
+bits of a digest name its group, others its cell in each row. A fingerprint has a power of two of groups, one for up to eight
+paragraphs, so it grows with the text, and folds to fewer groups as cells are added up.
+
+Two fingerprints are folded to the fewer groups of the two and subtracted cell by cell: equal paragraphs cancel, and peeling of
+cells with one digest recovers the paragraphs that differ. Where that gets stuck, both sets are sketched again with a group for
+each digest and other bits, then with four times as many, and so on. Cells are sums and XORs by row id and group, so nothing
+but digests is shuffled and a long text is no more work than as many short ones.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.llm.common import pick, shuffle_parts, stage
 
 ROWS = 3
-#: Cells of a row in the first, second and third try of a group, and the first bit of a digest that each try reads.
-WIDTHS = (4, 8, 16)
-FIRST_BIT = (0, 6, 15)
+WIDTH = 4
 GROUP_BIT = 27
+LOAD = 8
 CHECK = 2_147_483_629
 PRIME = 2_147_483_647
 SLOTS = 1 << 16
-MAX_ROUNDS = 12
+MAX_ROUNDS = 16
+FOUND = "array<struct<d: bigint, s: bigint>>"
 
 
 def _let(value: Column, use) -> Column:
@@ -39,12 +44,23 @@ def _scramble(digest: Column, turn: int) -> Column:
     return F.shiftleft(low, 29).bitwiseXOR(high)
 
 
-def _place(bits: Column, row: int, size: int) -> Column:
-    return F.shiftright(bits, FIRST_BIT[size] + row * (2 + size)).bitwiseAND(WIDTHS[size] - 1)
+def _place(bits: Column, row: int) -> Column:
+    return F.shiftright(bits, 2 * row).bitwiseAND(WIDTH - 1)
 
 
 def check_value(digest: Column) -> Column:
-    return digest % CHECK
+    return F.shiftleft(digest % CHECK, 29).bitwiseXOR(digest % PRIME)
+
+
+def _power_of_two(at_least: Column) -> Column:
+    """The smallest power of two that is not below ``at_least``, 1 at least."""
+    return F.when(at_least <= 1, F.lit(1).cast("long")).otherwise(
+        F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(at_least.cast("long") - 1))))
+
+
+def groups_of(n: Column) -> Column:
+    """Groups of the fingerprint of ``n`` digests."""
+    return _power_of_two(F.ceil(n / LOAD))
 
 
 def paragraph_digests(text: Column) -> Column:
@@ -54,96 +70,171 @@ def paragraph_digests(text: Column) -> Column:
     return F.array_distinct(own)
 
 
-def _item(digest: Column, sign: Column | int, turn: int) -> Column:
-    sign = F.lit(sign).cast("long") if isinstance(sign, int) else sign
-    return F.struct(digest.alias("d"), sign.alias("s"), _scramble(digest, turn).alias("b"))
+def sketch_text(digests: Column) -> Column:
+    """The fingerprint of a set of digests as text: its cells, group after group and row after row, joined by ``|``; a cell is
+    its count, XOR and check XOR, an empty one nothing."""
+    zero = F.lit(0).cast("long")
 
+    def cell(own: Column) -> Column:
+        start = F.struct(zero.alias("n"), zero.alias("x"), zero.alias("y"))
+        full = F.aggregate(own, start, lambda a, d: F.struct((a.n + 1).alias("n"), a.x.bitwiseXOR(d).alias("x"),
+                                                             a.y.bitwiseXOR(check_value(d)).alias("y")))
+        return _let(full, lambda c: F.when(c.n == 0, "").otherwise(F.concat_ws(".", c.n, F.lower(F.hex(c.x)), F.lower(F.hex(c.y)))))
 
-def _cells(items: Column, size: int) -> Column:
-    """The cells of one group of items: an array of (count, XOR of digests, XOR of checks), row after row."""
+    def group(own: Column) -> Column:
+        def row(j: int) -> Column:
+            return F.transform(F.sequence(zero, F.lit(WIDTH - 1).cast("long")), lambda c: cell(F.filter(own, lambda d: _place(d, j) == c)))
 
-    def fold(own: Column) -> Column:
-        zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"))
-        return F.aggregate(own, zero, lambda a, i: F.struct((a.n + i.s).alias("n"), a.x.bitwiseXOR(i.d).alias("x"),
-                                                            a.y.bitwiseXOR(check_value(i.d)).alias("y")))
+        return F.array_join(F.concat(*map(row, range(ROWS))), "|")
 
-    def row(j: int) -> Column:
-        return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(WIDTHS[size] - 1).cast("long")),
-                           lambda c: fold(F.filter(items, lambda i: _place(i.b, j, size) == c)))
+    groups = groups_of(F.size(digests))
+    return _let(digests, lambda every: _let(groups, lambda g: F.array_join(F.transform(_split(every, g), group), "|")))
 
-    return F.concat(*(row(j) for j in range(ROWS)))
 
+def _split(every: Column, groups: Column) -> Column:
+    """Digests by group, as an array of arrays; in two steps, so that a long text takes its length to the power 1.5."""
+    zero = F.lit(0).cast("long")
 
-def sketch_text(digests: Column) -> Column:
-    """The smallest sketch of a set of digests as text: count, XOR and check XOR of each cell."""
-    items = F.transform(digests, lambda d: _item(d, 1, 0))
-    cells = _let(items, lambda own: _cells(own, 0))
-    return F.array_join(F.transform(cells, lambda c: F.concat_ws(".", c.n, F.lower(F.hex(c.x)), F.lower(F.hex(c.y)))), "|")
+    def group(d: Column) -> Column:
+        return F.shiftright(d, GROUP_BIT) % groups
 
+    def two_steps(fine: Column) -> Column:
+        # ``fine`` neighbouring groups at a time; both are powers of two
+        return F.flatten(F.transform(F.sequence(zero, F.try_divide(groups, fine).cast("long") - 1), lambda c: _let(
+            F.filter(every, lambda d: F.floor(group(d) / fine) == c), lambda part: F.transform(
+                F.sequence(zero, fine - 1), lambda k: F.filter(part, lambda d: group(d) == c * fine + k)))))
 
-def _split(items: Column, groups: Column) -> Column:
-    """Items by group, as an array of arrays; in two steps, so that a long text takes its length to the power 1.5."""
-    zero = F.lit(0).cast("long")
+    half = F.call_function("shiftleft", F.lit(1).cast("long"), F.floor(F.length(F.bin(groups)) / 2).cast("int"))
+    return _let(F.least(half, groups), two_steps)
 
-    def group(i: Column) -> Column:
-        return F.shiftright(i.b, GROUP_BIT) % groups
 
-    def two_steps(every: Column, coarse: Column) -> Column:
-        return F.flatten(F.transform(F.sequence(zero, coarse - 1), lambda c: _let(
-            F.filter(every, lambda i: group(i) % coarse == c), lambda part: F.transform(
-                F.sequence(zero, F.ceil((groups - c) / coarse) - 1), lambda k: F.filter(part, lambda i: group(i) == k * coarse + c)))))
+def _names() -> list[tuple[str, int, int]]:
+    return [(f"{j}{c}", j, c) for j in range(ROWS) for c in range(WIDTH)]
 
-    coarse = F.greatest(F.lit(1), F.floor(F.sqrt(groups)).cast("long"))
-    return _let(items, lambda every: _let(coarse, lambda width: two_steps(every, width)))
 
+def _cells(items: DataFrame, keys: Sequence[str], groups: Column, sign: Column, turn: int) -> DataFrame:
+    """The cells of every group of the digests ``d``, one row a group: columns n, x and y of each cell."""
+    bits = items.withColumn("bits", _scramble(F.col("d"), turn)).withColumn("check", check_value(F.col("d")))
+    bits = bits.withColumn("grp", F.shiftright("bits", GROUP_BIT) % groups).withColumn("sign", sign.cast("long"))
+    zero, sums = F.lit(0).cast("long"), []
+    for name, j, c in _names():
+        here = _place(F.col("bits"), j) == c
+        sums += [F.sum(F.when(here, F.col("sign")).otherwise(zero)).alias(f"n{name}"),
+                 F.bit_xor(F.when(here, F.col("d")).otherwise(zero)).alias(f"x{name}"),
+                 F.bit_xor(F.when(here, F.col("check")).otherwise(zero)).alias(f"y{name}")]
+    return bits.groupBy(*keys, "grp").agg(*sums)
 
-def _peel(cells: Column, size: int, turn: int) -> Column:
-    """Peels the cells of one group: (number of digests recovered, whether every cell came out empty)."""
-    steps = 3 * WIDTHS[size]
+
+def _peel(cells: Column, turn: int) -> Column:
+    """Peels the cells of one group: the digests recovered with their signs, or null where cells stay."""
 
     def step(state: Column, _: Column) -> Column:
         pure = F.filter(state.cells, lambda c: (F.abs(c.n) == 1) & (check_value(c.x) == c.y))
 
         def less(one: Column) -> Column:
             bits = _scramble(one.x, turn)
-            places = F.array(*((_place(bits, j, size) + j * WIDTHS[size]).cast("int") for j in range(ROWS)))
+            places = F.array(*((_place(bits, j) + j * WIDTH).cast("int") for j in range(ROWS)))
             return _let(places, lambda at: F.transform(state.cells, lambda c, i: F.when(F.array_contains(at, i), F.struct(
                 (c.n - one.n).alias("n"), c.x.bitwiseXOR(one.x).alias("x"), c.y.bitwiseXOR(one.y).alias("y"))).otherwise(c)))
 
         # One pure cell at a time.
         after = F.transform(F.slice(pure, 1, 1), lambda one: F.struct(
-            less(one).alias("cells"), (state.found + 1).alias("found"), F.lit(True).alias("going")))
+            less(one).alias("cells"), F.concat(state.found, F.array(F.struct(one.x.alias("d"), one.n.alias("s")))).alias("found"),
+            F.lit(True).alias("going")))
         stuck = F.struct(state.cells.alias("cells"), state.found.alias("found"), F.lit(False).alias("going"))
         return F.when(state.going, F.coalesce(F.get(after, F.lit(0)), stuck)).otherwise(state)
 
-    start = F.struct(cells.alias("cells"), F.lit(0).cast("long").alias("found"), F.lit(True).alias("going"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda s: F.struct(
-        s.found.alias("found"), (~F.exists(s.cells, lambda c: (c.n != 0) | (c.x != 0) | (c.y != 0))).alias("whole")))
-
-
-def _recovered(items: Column, turn: int, size: int = 0) -> Column:
-    """Digests recovered from the difference of one group, with larger cells where peeling gets stuck; null when it stays so."""
-
-    def try_cells(cells: Column) -> Column:
-        more = _recovered(items, turn, size + 1) if size + 1 < len(WIDTHS) else F.lit(None).cast("long")
-        some = F.exists(F.slice(cells, 1, WIDTHS[size]), lambda c: (c.n != 0) | (c.x != 0) | (c.y != 0))
-        peeled = _let(_peel(cells, size, turn), lambda p: F.when(p.whole, p.found).otherwise(more))
-        return F.when(some, peeled).otherwise(F.lit(0).cast("long"))
-
-    return _let(_cells(items, size), try_cells)
-
-
-def _difference(ours: Column, theirs: Column, turn: int) -> Column:
-    """Number of digests in one of two sets only, from subtracted sketches; null where peeling got stuck."""
-    power = F.ceil(F.log2(F.greatest(F.lit(1.0), (F.size(ours) + F.size(theirs)) / F.lit(2.0)))) + turn
-    groups = F.pow(F.lit(2.0), power).cast("long")
+    start = F.struct(cells.alias("cells"), F.array().cast(FOUND).alias("found"), F.lit(True).alias("going"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROWS * WIDTH)), start, step, lambda s: F.when(
+        ~F.exists(s.cells, lambda c: (c.n != 0) | (c.x != 0) | (c.y != 0)), s.found))
+
+
+def _recovered(turn: int) -> Column:
+    """The digests of the difference in one group. A row of cells with one digest at most in each names them all, so only
+    groups without such a row are peeled step by step."""
+    def pure(name: str) -> Column:
+        n, x, y = (F.col(f"{k}{name}") for k in "nxy")
+        return ((n == 0) & (x == 0) & (y == 0)) | ((F.abs(n) == 1) & (check_value(x) == y))
+
+    def cell(name: str) -> Column:
+        return F.struct(F.col(f"x{name}").alias("d"), F.col(f"n{name}").alias("s"))
+
+    whole = F.array(*(F.struct(*(F.col(f"{k}{name}").alias(k) for k in "nxy")) for name, _, _ in _names()))
+    out = _peel(whole, turn)
+    for j in reversed(range(ROWS)):
+        row = [name for name, r, _ in _names() if r == j]
+        clear = pure(row[0])
+        for name in row[1:]:
+            clear = clear & pure(name)
+        out = F.when(clear, F.filter(F.array(*map(cell, row)), lambda c: c.s != 0)).otherwise(out)
+    return out
+
+
+def _stored_difference(rows: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """The cells of the difference of the fingerprints of each pair, folded to the fewer groups of the two."""
+    sets = sorted({c for pair in pairs for c in pair})
+    sizes = [groups_of(F.size(c)).alias(f"g_{c}") for c in sets]
+    sides = F.array(*(F.struct(F.lit(i).alias("side"), F.col(c).alias("ds")) for i, c in enumerate(sets)))
+    items = rows.select("rid", *sets).repartition("rid").select("rid", *sizes, F.inline(sides))
+    keys = ["rid", "side", *(f"g_{c}" for c in sets)]
+    items = items.select(*keys, F.explode("ds").alias("d"))
+    own = F.col(f"g_{sets[-1]}")
+    for i, c in enumerate(sets[:-1]):
+        own = F.when(F.col("side") == i, F.col(f"g_{c}")).otherwise(own)
+    stored = _cells(items, keys, own, F.lit(1), 0)
+    uses = F.array(*(F.struct(F.lit(p).alias("pair"), F.lit(sets.index(c)).alias("of"), F.lit(s).cast("long").alias("sign"),
+                              F.least(*(F.col(f"g_{o}") for o in pair)).alias("folded"))
+                     for p, pair in enumerate(pairs) for c, s in zip(pair, (1, -1))))
+    used = stored.select("*", F.inline(uses)).where("side = of").withColumn("grp", F.expr("grp % folded"))
+    sums = [out for name, _, _ in _names() for out in (
+        F.sum(F.col(f"n{name}") * F.col("sign")).alias(f"n{name}"), F.bit_xor(f"x{name}").alias(f"x{name}"), F.bit_xor(f"y{name}").alias(f"y{name}"))]
+    return used.groupBy("rid", "pair", "grp").agg(*sums)
+
+
+def _larger_difference(rows: DataFrame, stuck: DataFrame, pairs: Sequence[tuple[str, str]], turn: int) -> DataFrame:
+    """The cells of the difference of larger sketches of the stuck pairs, a group for each digest or 4, 16, ... of them."""
+    open_ = rows.join(stuck.select("rid", "pair"), "rid")
+
+    def chosen(side: int) -> Column:
+        out = F.col(pairs[-1][side])
+        for p, pair in enumerate(pairs[:-1]):
+            out = F.when(F.col("pair") == p, F.col(pair[side])).otherwise(out)
+        return out
+
+    sides = F.array(F.struct(F.lit(1).alias("s"), chosen(0).alias("ds")), F.struct(F.lit(-1).alias("s"), chosen(1).alias("ds")))
+    groups = (_power_of_two(F.size(chosen(0)) + F.size(chosen(1))) * 4 ** (turn - 1)).alias("groups")
+    items = open_.select("rid", "pair", groups, F.inline(sides)).select("rid", "pair", "groups", "s", F.explode("ds").alias("d"))
+    return _cells(items, ["rid", "pair"], F.col("groups"), F.col("s"), turn)
+
+
+def differences(rows: DataFrame, pairs: Sequence[tuple[str, str]], digests: bool = False) -> DataFrame:
+    """What differs between the digest sets of each row: (rid, pair, found), ``pair`` the number in ``pairs``, two columns each.
+
+    ``found`` counts the digests in one of the two sets only; with ``digests`` two more columns hold them, ``ours`` those of the
+    first set and ``theirs`` those of the second. ``rid`` names a row and must not repeat; two empty sets give no row. The pairs
+    that get stuck are sketched again, larger each time.
+    """
+    done, cells = None, _stored_difference(rows, pairs)
+    for turn in range(MAX_ROUNDS):
+        groups = cells.select("rid", "pair", _recovered(turn).alias("got"))
+        sums = [F.sum(F.size("got")).alias("found"), F.bool_and(F.col("got").isNotNull()).alias("whole")]
+        more = [F.flatten(F.collect_list("got")).alias("got")] if digests else []
+        result = stage(groups.groupBy("rid", "pair").agg(*sums, *more), "differences")
+        part = result.where("whole")
+        done = part if done is None else done.unionByName(part)
+        stuck = result.where("not whole")
+        if stuck.isEmpty():
+            break
+        cells = _larger_difference(rows, stuck, pairs, turn + 1)
+    else:
+        raise RuntimeError(f"sketches did not peel in {MAX_ROUNDS} rounds")
+    if not digests:
+        return done.select("rid", "pair", "found")
 
-    def work(g: Column) -> Column:
-        items = F.concat(F.transform(ours, lambda d: _item(d, 1, turn)), F.transform(theirs, lambda d: _item(d, -1, turn)))
-        full = F.filter(_split(items, g), lambda own: F.size(own) > 0)
-        return F.aggregate(F.transform(full, lambda own: _recovered(own, turn)), F.lit(0).cast("long"), lambda total, n: total + n)
+    def side(sign: int) -> Column:
+        return F.transform(F.filter("got", lambda c: c.s == sign), lambda c: c.d)
 
-    return _let(groups, work)
+    return done.select("rid", "pair", "found", side(1).alias("ours"), side(-1).alias("theirs"))
 
 
 def likeness(ours: Column, theirs: Column, difference: Column) -> Column:
@@ -152,14 +243,6 @@ def likeness(ours: Column, theirs: Column, difference: Column) -> Column:
     return F.when(both == 0, F.lit(1.0)).otherwise((both - difference) / (both + difference))
 
 
-def _compared(rows: DataFrame, turn: int) -> DataFrame:
-    """``rows`` with the differences of a round; the digests stay with the rows where one of the two is missing."""
-    done = rows.withColumns({"to_edited": _difference(F.col("own"), F.col("changed"), turn),
-                             "to_next": _difference(F.col("own"), F.col("following"), turn)})
-    stuck = F.col("to_edited").isNull() | F.col("to_next").isNull()
-    return stage(done.withColumns({c: F.when(stuck, F.col(c)) for c in ("own", "changed", "following")}), "fingerprints")
-
-
 def with_next_text(docs: DataFrame) -> DataFrame:
     """(row, doc_id, text, next_text): the text that follows by ascending doc_id, after the last one the first.
 
@@ -194,32 +277,35 @@ def with_next_text(docs: DataFrame) -> DataFrame:
     return both.where("guest = 0").select("doc_id", "text", "next_text")
 
 
+def paragraph_sets(docs: DataFrame) -> DataFrame:
+    """(rid, doc_id, n_chars, edited_sha256, own, changed, following): the digest sets of every text, of its edited text and of
+    the text that follows, written to the shared folder."""
+    n = F.char_length("text")
+    cut = F.floor(n / 4).cast("int")
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut))
+    rows = with_next_text(docs).withColumn("edited", edited).select(
+        F.monotonically_increasing_id().alias("rid"), "doc_id", F.char_length("text").cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), paragraph_digests(F.col("text")).alias("own"),
+        paragraph_digests(F.col("edited")).alias("changed"), paragraph_digests(F.col("next_text")).alias("following"))
+    return stage(rows, "paragraphs")
+
+
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, and how alike they are.
 
     Returns (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next). In the edited text the
     last quarter is replaced by as many characters from the start of the following document. A null text counts as empty;
-    two empty texts are alike by 1. Repeated rows come out repeated, an empty table gives no row.
+    two empty texts are alike by 1. Rows of one id are ordered by text; repeated rows come out repeated, an empty table gives
+    no row. Texts are read whole, whatever their length; further columns do not matter.
     """
-    n = F.char_length("text")
-    cut = F.floor(n / 4).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut))
-    rows = with_next_text(docs).withColumn("edited", edited).select(
-        "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        paragraph_digests(F.col("text")).alias("own"), paragraph_digests(F.col("edited")).alias("changed"),
-        paragraph_digests(F.col("next_text")).alias("following"))
-    rows = rows.withColumns({"fingerprint": sketch_text(F.col("own")), "edited_fingerprint": sketch_text(F.col("changed")),
-                             **{f"n_{c}": F.size(c) for c in ("own", "changed", "following")}})
-    solved = None
-    for turn in range(MAX_ROUNDS):
-        rows = _compared(rows, turn)
-        done = rows.where("own is null")
-        solved = done if solved is None else solved.unionByName(done)
-        rows = rows.where("own is not null").drop("to_edited", "to_next")
-        if rows.isEmpty():
-            break
-    else:
-        raise RuntimeError(f"sketches did not peel in {MAX_ROUNDS} rounds")
-    return solved.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-                         likeness(F.col("n_own"), F.col("n_changed"), F.col("to_edited")).alias("near_edited"),
-                         likeness(F.col("n_own"), F.col("n_following"), F.col("to_next")).alias("near_next"))
+    rows = paragraph_sets(docs)
+    found = differences(rows, (("own", "changed"), ("own", "following")))
+    wide = found.groupBy("rid").agg(*(F.max(F.when(F.col("pair") == p, F.col("found"))).alias(f"to_{p}") for p in range(2)))
+    rows = rows.join(wide, "rid", "left")
+
+    def near(other: str, pair: int) -> Column:
+        return likeness(F.size("own"), F.size(other), F.coalesce(F.col(f"to_{pair}"), F.lit(0)))
+
+    return rows.select("doc_id", "n_chars", "edited_sha256", sketch_text(F.col("own")).alias("fingerprint"),
+                       sketch_text(F.col("changed")).alias("edited_fingerprint"), near("changed", 0).alias("near_edited"),
+                       near("following", 1).alias("near_next"))

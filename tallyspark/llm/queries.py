@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.ann import nearest_neighbours
 from tallyspark.llm.bestfit import pack_best_fit
-from tallyspark.llm.fingerprints import CHECK, ROWS, WIDTHS, fingerprint_documents
+from tallyspark.llm.fingerprints import CHECK, GROUP_BIT, LOAD, PRIME, ROWS, WIDTH, fingerprint_documents
 from tallyspark.llm.langid import held_out, identify_language
 from tallyspark.llm.licenses import TEMPLATES, THRESHOLD, scan_licenses
 from tallyspark.llm.mixing import BLOCK_TOKENS, REPEAT_LIMIT, mix_sources
@@ -113,11 +113,13 @@ def _digests_sql(text: str) -> str:
 
 
 def _sketch_sql(digests: str) -> str:
-    rows = [f"list_transform(range({WIDTHS[0]}), lambda c: list_filter({digests}, lambda d: (d >> {2 * j}) & {WIDTHS[0] - 1} = c))"
-            for j in range(ROWS)]
-    return (f"array_to_string(list_transform({' || '.join(rows)}, lambda own: concat_ws('.', len(own), "
-            "lower(to_hex(coalesce(list_aggregate(own, 'bit_xor'), 0))), "
-            f"lower(to_hex(coalesce(list_aggregate(list_transform(own, lambda d: d % {CHECK}), 'bit_xor'), 0))))), '|')")
+    groups = f"(case when len({digests}) <= {LOAD} then 1 else 1 << len(to_binary((len({digests}) + {LOAD - 1}) // {LOAD} - 1)) end)"
+    own = (f"list_filter({digests}, lambda d: (d >> {GROUP_BIT}) % {groups} = i // {ROWS * WIDTH} "
+           f"and (d >> (2 * (i % {ROWS * WIDTH} // {WIDTH}))) & {WIDTH - 1} = i % {WIDTH})")
+    check = f"xor((d % {CHECK}) << 29, d % {PRIME})"
+    return (f"array_to_string(list_transform(list_transform(range({groups} * {ROWS * WIDTH}), lambda i: {own}), lambda own: "
+            "case when len(own) = 0 then '' else concat_ws('.', len(own), lower(to_hex(list_aggregate(own, 'bit_xor'))), "
+            f"lower(to_hex(list_aggregate(list_transform(own, lambda d: {check}), 'bit_xor')))) end), '|')")
 
 
 ORACLES["op10_invertible_sketch"] = f"""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm import queries
 from tallyspark.llm.ann import Block, nearest_neighbours
-from tallyspark.llm.fingerprints import fingerprint_documents
+from tallyspark.llm.fingerprints import CHECK, GROUP_BIT, PRIME, ROWS, WIDTH, differences, fingerprint_documents, paragraph_sets
 from tallyspark.llm.mixing import bisect_exponent, mix_sources, take_copies
 from tallyspark.llm.sharding import directory, shard_documents
 from tallyspark.llm.warc import build_dictionary, page_of, read_archives, read_records, record_id, write_archives
@@ -229,6 +229,75 @@ def test_fingerprints_of_long_texts(spark):
         assert r.near_next == pytest.approx(len(a & b) / len(a | b))
 
 
+def cells_of(fingerprint):
+    cells = [tuple(int(v, 16 if k else 10) for k, v in enumerate(c.split("."))) if c else (0, 0, 0) for c in fingerprint.split("|")]
+    size = ROWS * WIDTH
+    return [cells[i:i + size] for i in range(0, len(cells), size)]
+
+
+def peeled(a, b):
+    """Signed digests recovered from two fingerprints alone, or None where peeling gets stuck."""
+    a, b = cells_of(a), cells_of(b)
+    n = min(len(a), len(b))
+    groups = [[[0, 0, 0] for _ in range(ROWS * WIDTH)] for _ in range(n)]
+    for sign, own in ((1, a), (-1, b)):
+        for g, group in enumerate(own):
+            for cell, (k, x, y) in zip(groups[g % n], group):
+                cell[:] = cell[0] + sign * k, cell[1] ^ x, cell[2] ^ y
+    found = {}
+    check = lambda d: (d % CHECK) << 29 ^ d % PRIME
+    while pure := [c for g in groups for c in g if abs(c[0]) == 1 and check(c[1]) == c[2]]:
+        k, x, y = pure[0]
+        found[x] = k
+        for j in range(ROWS):
+            cell = groups[(x >> GROUP_BIT) % n][j * WIDTH + ((x >> 2 * j) & (WIDTH - 1))]
+            cell[:] = cell[0] - k, cell[1] ^ x, cell[2] ^ y
+    return found if not any(any(c) for g in groups for c in g) else None
+
+
+def test_likeness_from_the_fingerprints_alone(spark):
+    """Two versions of a text that differ in a few paragraphs: the strings name the digests; their sizes follow the text."""
+    rng = np.random.default_rng(8)
+    rows, digest = [], lambda t: int(hashlib.md5(t.encode()).hexdigest()[:15], 16)
+    for i in range(60):
+        old = [f"line {x}" for x in rng.integers(0, 10**6, rng.integers(1, 200))]
+        new = [f"new {i} {k}" if rng.random() < 0.05 else t for k, t in enumerate(old)]
+        rows += [(2 * i, "\n".join(old)), (2 * i + 1, "\n".join(new))]
+    got = {r.doc_id: r for r in fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts, solved = dict(rows), 0
+    for d in range(0, 120, 2):
+        a, b = ({digest(t) for t in texts[k].split("\n")} for k in (d, d + 1))
+        groups = len(cells_of(got[d].fingerprint))
+        assert groups & (groups - 1) == 0 and len(a) <= 8 * groups and (groups == 1 or len(a) > 4 * groups)
+        found = peeled(got[d].fingerprint, got[d + 1].fingerprint)
+        if found is not None:
+            solved += 1
+            assert found == {x: 1 if x in a else -1 for x in a ^ b}
+            both = len(a) + len(b)
+            assert got[d].near_next == (both - len(found)) / (both + len(found))
+    assert solved > 40
+
+
+def test_recovered_digests(spark):
+    """Also of pairs whose stored sketches get stuck, and of sets of very unlike sizes."""
+    rng = np.random.default_rng(9)
+    pool = [int(x) for x in rng.integers(1, 1 << 60, 5000)]
+    rows = []
+    for i, (a, b) in enumerate([(0, 0), (1, 0), (0, 5), (8, 8), (9, 300), (3000, 2), (1000, 1000), (40, 40), (17, 16)]):
+        rows.append((i, pool[:a], pool[a // 2:a // 2 + b], pool[:a]))
+    sets = spark.createDataFrame(rows, "rid long, x array<long>, y array<long>, z array<long>")
+    got = {(r.rid, r.pair): r for r in differences(sets, (("x", "y"), ("x", "z")), digests=True).collect()}
+    for rid, x, y, z in rows:
+        for pair, other in enumerate((y, z)):
+            r = got.get((rid, pair))
+            ours, theirs = set(x) - set(other), set(other) - set(x)
+            assert (set(r.ours), set(r.theirs), r.found) == (ours, theirs, len(ours ^ theirs)) if r else not x and not other
+
+
+def test_paragraph_sets_keep_every_row(spark):
+    assert paragraph_sets(awkward(spark)).select("rid").distinct().count() == awkward(spark).count()
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_against_sql(spark, name):
     from oracle_check import compare, connect
