@@ -6,8 +6,8 @@ bits of a digest name its group, others its cell in each row. A fingerprint has
 paragraphs, so it grows with the text, and folds to fewer groups as cells are added up.
 
 Two fingerprints are folded to the fewer groups of the two and subtracted cell by cell: equal paragraphs cancel, and peeling of
-cells with one digest recovers the paragraphs that differ. Where that gets stuck, both sets are sketched again with a group for
-each digest and other bits, then with four times as many, and so on. Cells are sums and XORs by row id and group, so nothing
+cells with one digest recovers the paragraphs that differ. Where that gets stuck, both sets are sketched again with two
+groups for each digest and other bits, then with sixteen times as many, and so on. Cells are sums and XORs by row id and group, so nothing
 but digests is shuffled and a long text is no more work than as many short ones.
 """
 
@@ -27,7 +27,7 @@ LOAD = 8
 CHECK = 2_147_483_629
 PRIME = 2_147_483_647
 SLOTS = 1 << 16
-MAX_ROUNDS = 16
+MAX_ROUNDS = 8
 FOUND = "array<struct<d: bigint, s: bigint>>"
 
 
@@ -192,7 +192,7 @@ def _stored_difference(rows: DataFrame, pairs: Sequence[tuple[str, str]]) -> Dat
 
 
 def _larger_difference(rows: DataFrame, stuck: DataFrame, pairs: Sequence[tuple[str, str]], turn: int) -> DataFrame:
-    """The cells of the difference of larger sketches of the stuck pairs, a group for each digest or 4, 16, ... of them."""
+    """The cells of the difference of larger sketches of the stuck pairs, two groups for each digest or 32, 512, ... of them."""
     open_ = rows.join(stuck.select("rid", "pair"), "rid")
 
     def chosen(side: int) -> Column:
@@ -202,7 +202,7 @@ def _larger_difference(rows: DataFrame, stuck: DataFrame, pairs: Sequence[tuple[
         return out
 
     sides = F.array(F.struct(F.lit(1).alias("s"), chosen(0).alias("ds")), F.struct(F.lit(-1).alias("s"), chosen(1).alias("ds")))
-    groups = (_power_of_two(F.size(chosen(0)) + F.size(chosen(1))) * 4 ** (turn - 1)).alias("groups")
+    groups = (_power_of_two(F.size(chosen(0)) + F.size(chosen(1))) * (2 * 16 ** (turn - 1))).alias("groups")
     items = open_.select("rid", "pair", groups, F.inline(sides)).select("rid", "pair", "groups", "s", F.explode("ds").alias("d"))
     return _cells(items, ["rid", "pair"], F.col("groups"), F.col("s"), turn)
 
@@ -287,7 +287,7 @@ def paragraph_sets(docs: DataFrame) -> DataFrame:
         F.monotonically_increasing_id().alias("rid"), "doc_id", F.char_length("text").cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), paragraph_digests(F.col("text")).alias("own"),
         paragraph_digests(F.col("edited")).alias("changed"), paragraph_digests(F.col("next_text")).alias("following"))
-    return stage(rows, "paragraphs")
+    return stage(rows, "paragraphs", "none")  # digests do not shrink
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
