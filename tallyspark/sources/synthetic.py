@@ -13,10 +13,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..spark_tools import SMALL_ROWS, shuffle_parts
+
 # Demand multipliers per month of the year (others 1), weekend lift, growth per month, channel weights,
 # return reasons, rates of duplicated rows and blanked cells per feed.
 SEASON = {1: 0.8, 7: 1.2, 8: 1.2, 11: 1.45, 12: 1.45}
 WEEKEND, GROWTH = 1.25, 0.012
+LINE_BLOCK, TASK_LINES = 1_000, 500_000  # lines of a day that stay together, lines that a task makes
 CHANNELS = {"Online": 1.2, "Retail": 0.9, "Wholesale": 0.6}
 REASONS = ("Defective", "Wrong item", "No longer needed", "Sizing issue", "Damaged in transit")
 WAREHOUSES = ("Harbour", "Airport", "Depot", "Annex")
@@ -72,6 +75,8 @@ def _per_month(d: Column, factors: dict[int, float]) -> Column:
 def _joined_product(rows: DataFrame, products: DataFrame, n_products: int, seed: int, salt: str,
                     *identity: Column) -> DataFrame:
     chosen = F.floor(draw(seed, salt, *identity) * n_products).cast("bigint")
+    if n_products > SMALL_ROWS:  # the file size says little about what the broadcast would take on the driver
+        products = products.hint("merge")
     return rows.withColumn("pick", chosen).join(products, "pick")
 
 
@@ -81,8 +86,6 @@ def sales_lines(products: DataFrame, regions: DataFrame, start: dt.date, end: dt
     day = F.col("date")
     months = (F.year(day) - start.year) * 12 + F.month(day) - start.month
     lines = regions.select("region", "weight", F.explode(F.sequence(F.lit(start), F.lit(end))).alias("date"))
-    # the calendar is spread over the cluster before it is blown up into lines
-    lines = lines.repartition("region", "date")
     slump = F.lit(1.0)
     if plants.slump:
         region, month, factor = plants.slump
@@ -90,7 +93,13 @@ def sales_lines(products: DataFrame, regions: DataFrame, start: dt.date, end: dt
     volume = (base * F.col("weight") * F.when(F.dayofweek(day).isin(1, 7), WEEKEND).otherwise(1.0)
               * _per_month(day, SEASON) * (1 + months * GROWTH) * slump)
     lines = lines.withColumn("n", F.floor(volume + 0.5).cast("int")).filter("n > 0")
-    lines = lines.select("region", "date", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("t"))
+    # the calendar is spread over the cluster in blocks of lines, as many as there are lines, before it is blown up
+    total = lines.agg(F.sum("n")).first()[0] or 0
+    first = F.explode(F.sequence(F.lit(1), F.col("n"), F.lit(LINE_BLOCK))).alias("first")
+    blocks = lines.select("region", "date", "n", first).repartition(
+        max(shuffle_parts(lines.sparkSession), -(-total // TASK_LINES)), "region", "date", "first")
+    lines = blocks.select("region", "date", F.explode(F.sequence(
+        F.col("first"), F.least(F.col("n"), F.col("first") + (LINE_BLOCK - 1)))).alias("t"))
     who = [F.col("region"), day, F.col("t")]
     lines = _joined_product(lines, products, products.count(), seed, "product", *who)
     lines = lines.withColumn("channel", _pick(draw(seed, "channel", *who), tuple(CHANNELS)))
