@@ -4,6 +4,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from tallyspark.functions import coerce
+from tallyspark.operators import cleaning
 from tallyspark.sources import synthetic
 from tallyspark.spark_tools import SMALL_ROWS
 
@@ -32,3 +34,18 @@ def test_lines_of_one_day_are_made_by_several_tasks(spark):
     lines = synthetic.sales_lines(products, regions, first, first, base=5_000.0)
     assert lines.rdd.glom().map(bool).sum() > 1
     assert sorted(r["t"] for r in lines.collect()) == list(range(1, 5_001))
+
+
+def test_cells_are_parsed_apart_and_as_before(spark):
+    days = {"2025-01-02": (2025, 1, 2), "Thu, 02 Jan 2025 23:30:00 EST": (2025, 1, 3), "Jan 2, 2025": (2025, 1, 2), "2-Jan-25": (2025, 1, 2),
+            "Thu 2 January 2025": (2025, 1, 2), "Jan 2025": (2025, 1, 1), "1.2.2025": (2025, 1, 2), "2025-02-30": None, "[x]": None, "": None}
+    numbers = {"12": 12.0, "12\n": 12.0, " $1,200.5 ": 1200.5, "$": 0.0, "1e2": 100.0, ".5": 0.5, "1d": None, "12 3": None, "é1": None}
+    texts = {" a": "a", "a　": "a", "a b": "a b", "é ": "é", "": "", "﻿~": "~"}
+    for expected, parse, kind in ((days, coerce.parse_day, lambda d: dt.date(*d) if d else d),
+                                  (numbers, coerce.parse_number, lambda n: n), (texts, coerce.trim_blanks, lambda s: s)):
+        df = spark.createDataFrame([(t,) for t in expected], "t string").repartition(2)
+        for value in (parse(F.col("t")), coerce.named(F.col("t"), parse)):
+            assert {r["t"]: r["v"] for r in df.select("t", value.alias("v")).collect()} == {t: kind(v) for t, v in expected.items()}
+    raw = spark.createDataFrame([("1", "2", 0)], "Date string, Qty string, _ord bigint")
+    rows = cleaning.coerce(raw, "sales", {"date": "Date", "units": "Qty"})
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("transform(array(") >= 2
