@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import coerce
 from tallyspark.operators import cleaning
+from tallyspark.plans import rawfeeds
 from tallyspark.sources import synthetic
 from tallyspark.spark_tools import SMALL_ROWS
 
@@ -36,6 +37,15 @@ def test_lines_of_one_day_are_made_by_several_tasks(spark):
     assert sorted(r["t"] for r in lines.collect()) == list(range(1, 5_001))
 
 
+def test_small_files_that_grow_in_a_query_are_dealt_out_first(spark, tmp_path):
+    spark.range(500).selectExpr("id as c_custkey", "'a' as c_name", "1 as c_nationkey", "0d as c_acctbal", "'b' as c_mktsegment").coalesce(
+        1).write.parquet(str(tmp_path / "customer.parquet"))
+    headers = rawfeeds.header_catalogue(spark, str(tmp_path))
+    for df in (headers,):
+        sizes = df.rdd.glom().map(len).collect()
+        assert len(sizes) == 4 and max(sizes) < 0.5 * sum(sizes)
+
+
 def test_cells_are_parsed_apart_and_as_before(spark):
     days = {"2025-01-02": (2025, 1, 2), "Thu, 02 Jan 2025 23:30:00 EST": (2025, 1, 3), "Jan 2, 2025": (2025, 1, 2), "2-Jan-25": (2025, 1, 2),
             "Thu 2 January 2025": (2025, 1, 2), "Jan 2025": (2025, 1, 1), "1.2.2025": (2025, 1, 2), "2025-02-30": None, "[x]": None, "": None}
