@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions import coerce
 from tallyspark.operators import cleaning
 from tallyspark.plans import rawfeeds
-from tallyspark.sources import synthetic
+from tallyspark.sources import star, synthetic
 from tallyspark.spark_tools import SMALL_ROWS
 
 
@@ -40,8 +40,11 @@ def test_lines_of_one_day_are_made_by_several_tasks(spark):
 def test_small_files_that_grow_in_a_query_are_dealt_out_first(spark, tmp_path):
     spark.range(500).selectExpr("id as c_custkey", "'a' as c_name", "1 as c_nationkey", "0d as c_acctbal", "'b' as c_mktsegment").coalesce(
         1).write.parquet(str(tmp_path / "customer.parquet"))
+    spark.range(500).selectExpr("id as l_orderkey", "id as l_partkey", "id as l_suppkey").coalesce(1).write.parquet(
+        str(tmp_path / "lineitem.parquet"))
     headers = rawfeeds.header_catalogue(spark, str(tmp_path))
-    for df in (headers,):
+    stock = star.inventory(spark, str(tmp_path), ["sku", "warehouse"])
+    for df in (headers, stock):
         sizes = df.rdd.glom().map(len).collect()
         assert len(sizes) == 4 and max(sizes) < 0.5 * sum(sizes)
 
