@@ -64,7 +64,7 @@ def _records(df: DataFrame, by: tuple[str, ...], method: str, suffix: str, dim_t
 
 def zscore_outliers(buckets: DataFrame, thresholds: Thresholds, dim_type: str, grain: str, metric: tuple[str, str],
                     by: tuple[str, ...] = ()) -> DataFrame:
-    stats = spread_stats(buckets, by).filter((F.col("n") >= MIN_SERIES) & (F.col("sd") != 0))
+    stats = spread_stats(buckets, by, MIN_SERIES).filter(F.col("sd") != 0)
     scored = stats.withColumn("z", (F.col("value") - F.col("mean")) / F.col("sd"))
     size = F.abs("z")
     flagged = _with_thresholds(scored.filter(size >= _loosest(thresholds)), thresholds)

@@ -35,11 +35,12 @@ def _series(by: tuple[str, ...]):
     return W.partitionBy(*by, "dimension_value").orderBy("start")
 
 
-def spread_stats(buckets: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Adds length, mean and population deviation of each series (two passes over one sorted partition)."""
+def spread_stats(buckets: DataFrame, by: tuple[str, ...] = (), least: int = 1) -> DataFrame:
+    """Adds length, mean and population deviation of each series of at least ``least`` periods (passes over one sorted
+    partition; shorter series leave after the first)."""
     whole = _series(by).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     return (
-        buckets.withColumn("n", F.count(F.lit(1)).over(whole))
+        buckets.withColumn("n", F.count(F.lit(1)).over(whole)).filter(F.col("n") >= least)
         .withColumn("mean", F.sum("value").over(whole) / F.col("n"))
         .withColumn("sd", F.sqrt(
             F.sum((F.col("value") - F.col("mean")) * (F.col("value") - F.col("mean"))).over(whole) / F.col("n")))

@@ -35,18 +35,19 @@ def daily_fold(feed: DataFrame, dataset: str, dimensions: Iterable[str] | None =
 
 
 def all_scopes(fold: DataFrame, dataset: str) -> DataFrame:
-    """A fold for every currency and for every channel of it in one aggregation; the channel of a whole currency is ``*``.
+    """A fold for every currency and for every channel of it; the channel of a whole currency is ``*``.
 
-    Amounts of different currencies are never added up, so there is no set without the currency.
+    The rows of a fold are those of its channels already and go on as they are; only the whole currencies are added up. Amounts
+    of different currencies are never added up, so there is no set without the currency.
     """
     dims = [c for c in (DATE_COLUMN[dataset], *DIMENSIONS[dataset]) if c in fold.columns]
-    sums = [F.sum(c).alias(c) for c in (*MEASURES[dataset], ROWS) if c in fold.columns]
-    whole = [c for c in dims if c != "channel"]
+    measures = [c for c in (*MEASURES[dataset], ROWS) if c in fold.columns]
+    whole = fold.groupBy(*[c for c in dims if c != "channel"]).agg(*[F.sum(c).alias(c) for c in measures])
+    whole = whole.withColumn("channel", F.lit(ALL_CHANNELS))
     if "channel" not in dims:
-        return fold.groupBy(*whole).agg(*sums).withColumn("channel", F.lit(ALL_CHANNELS))
-    sets = fold.groupingSets([[F.col(c) for c in dims], [F.col(c) for c in whole]], *dims)
-    scopes = sets.agg(*sums, F.grouping("channel").alias("_whole"))
-    return scopes.withColumn("channel", F.when(F.col("_whole") == 1, ALL_CHANNELS).otherwise(F.col("channel"))).drop("_whole")
+        return whole
+    own = fold.select(*dims, *[F.col(c).cast(whole.schema[c].dataType).alias(c) for c in measures])
+    return own.unionByName(whole)
 
 
 def staged_folds(feeds: dict[str, DataFrame | None], fold_of: Callable[[DataFrame, str], DataFrame] = daily_fold,

@@ -211,6 +211,13 @@ def format_kpis(rows: DataFrame, code: Column) -> DataFrame:
         **{f"{c}_text": format_delta(F.col(c)) for c in ("mom", "qoq", "yoy")}})
 
 
+def _staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared scratch folder and read back."""
+    path = scratch_path(df.sparkSession, f"report-{name}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def build_report(feeds: Feeds, scope: ReportScope = ReportScope(), method: str = "zscore",
                  sensitivity: str = "standard", unit_cost_mapped: bool | None = None, stage: bool = False) -> Report:
     """All report tables of one scope. Trend and anomalies use full history; KPIs and rankings the chosen range.
@@ -229,11 +236,7 @@ def build_report(feeds: Feeds, scope: ReportScope = ReportScope(), method: str =
     feeds = staged_folds({n: df.rows if isinstance(df, Cleaned) else df for n, df in feeds.items()})
 
     def shared(df: DataFrame, name: str) -> DataFrame:
-        if not stage:
-            return df
-        path = scratch_path(df.sparkSession, f"report-{name}")
-        df.write.parquet(path)
-        return df.sparkSession.read.parquet(path)
+        return _staged(df, name) if stage else df
 
     scope = with_closed_range(feeds, scope)
     where = resolve_scope(feeds, scope)
@@ -241,7 +244,7 @@ def build_report(feeds: Feeds, scope: ReportScope = ReportScope(), method: str =
     full = _windowed(feeds, None, channel)
     full = {n: (in_currency(df, where.currency) if df is not None else None) for n, df in full.items()}
     sales, orders, returns, inventory = full["sales"], full["orders"], full["returns"], feeds.get("inventory")
-    unit_cost = kpi.unit_cost_by_sku(inventory) if inventory is not None and unit_cost_mapped else None
+    unit_cost = shared(kpi.unit_cost_by_sku(inventory), "unit-cost") if inventory is not None and unit_cost_mapped else None
 
     # ranges compare with the range before, so they are given full history as well
     kpis = (kpi.kpi_range_trend(sales, orders, returns, unit_cost, span) if span
@@ -300,7 +303,8 @@ def report_all_scopes(feeds: Feeds, method: str = "zscore", sensitivity: str = "
                             else stock is not None and "unitCost" in stock.columns)
     feeds = staged_folds({n: df.rows if isinstance(df, Cleaned) else df for n, df in feeds.items()})
     inventory = feeds.get("inventory")
-    unit_cost = kpi.unit_cost_by_sku(inventory) if inventory is not None and unit_cost_mapped else None
+    # counted first and then joined
+    unit_cost = _staged(kpi.unit_cost_by_sku(inventory), "unit-cost") if inventory is not None and unit_cost_mapped else None
     scoped = staged_folds({n: df for n, df in feeds.items() if n in DATE_COLUMN}, all_scopes)
     sales, orders, returns = scoped["sales"], scoped.get("orders"), scoped.get("returns")
     by, one_channel = ("currency", "channel"), F.col("channel") != ALL_CHANNELS
@@ -314,9 +318,7 @@ def report_all_scopes(feeds: Feeds, method: str = "zscore", sensitivity: str = "
         level = an.THRESHOLDS[method][sensitivity]
         of_returns = an.sku_return_anomalies(returns, method, level, ("currency",)).withColumn("detector_ord", F.lit(1))
         found = found.unionByName(of_returns.join(scopes, "currency"))
-    path = scratch_path(sales.sparkSession, "report-anomalies")
-    found.write.parquet(path)  # listed and cut for the flags
-    found = sales.sparkSession.read.schema(found.schema).parquet(path)
+    found = _staged(found, "anomalies")  # listed and cut for the flags
     ranking = {dim: performers.performers_latest_month(sales, dim, by) for dim in ("sku", "region")}
     return {
         "kpis": kpis,

@@ -134,3 +134,43 @@ def test_scopes_of_small_feeds(spark):
     assert scope_of(tie, include_unknown=False, channel="web", span=(d(2024, 2, 1), d(2024, 4, 1)))[2:4] == (None, False)
     ordered = feeds_of((d(2024, 2, 10), "web", "usd", 7), orders=[(d(2024, 2, 11), "mail", "EUR", 1)])
     assert scope_of(ordered, channel="mail") == ((d(2024, 2, 1), d(2024, 2, 29)), "mail", None, False, None)
+
+
+def test_channels_of_a_fold_are_not_added_up_again(feeds):
+    folds = staged_folds(feeds)
+    for name in ("sales", "orders", "returns"):
+        fold = folds[name]
+        scopes = all_scopes(fold, name)
+        assert "Expand" not in scopes._jdf.queryExecution().executedPlan().toString()
+        dims = [c for c in scopes.columns if c not in ("revenue", "units", "refund", "_rows")]
+        assert scopes.groupBy(*dims).count().where("count > 1").count() == 0
+        if "channel" in fold.columns:
+            same(scopes.where(F.col("channel") != ALL_CHANNELS).select(*dims, "_rows"),
+                 fold.where(F.col("channel").isNotNull()).select(*dims, "_rows"))
+
+
+def test_short_series_leave_before_the_deviations(spark):
+    rows = [("long", d, float(d % 3), 1) for d in range(8)] + [("short", d, float(d), 1) for d in range(5)]
+    weeks = spark.createDataFrame(rows, "dimension_value string, d int, value double, n_rows int").select(
+        "dimension_value", F.date_add(F.lit("2025-01-05").cast("date"), F.col("d") * 7).alias("start"), "value", "n_rows")
+    found = an.zscore_outliers(weeks, 0.1, "sku", "week", an.WEEKLY_UNITS)
+    lines = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    cut = next(i for i, line in enumerate(lines) if "Filter" in line and ">= 6" in line)
+    assert any("Window" in line and "sum(value" in line for line in lines[:cut])
+    assert {r["dimension_value"] for r in found.collect()} == {"long"}
+
+
+def test_unit_costs_are_made_once(spark, feeds, tmp_path):
+    stock = spark.createDataFrame([("A", 2.5, 1), ("B", 1.0, 2)], "sku string, unitCost double, _ord int")
+    stock = stock.select("sku", F.lit("p").alias("productName"), F.lit("w").alias("warehouse"), F.lit(1.0).alias("onHand"),
+                         F.lit(2.0).alias("reorderPoint"), F.col("unitCost").cast("decimal(18,3)").alias("unitCost"), "_ord")
+    stock.write.parquet(f"{tmp_path}/stock")
+    own = spark.read.parquet(f"{tmp_path}/stock")
+    monkey = kpi.SMALL_COSTS
+    try:
+        kpi.SMALL_COSTS = 1  # too many to broadcast: counted, and then joined
+        kpis = report.report_all_scopes(feeds | {"inventory": own})["kpis"]
+    finally:
+        kpi.SMALL_COSTS = monkey
+    assert not [f for f in kpis.inputFiles() if str(tmp_path) in f]
+    assert kpis.where("kpi = 'avgMargin' and current is not null").count() > 0
