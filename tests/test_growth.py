@@ -74,3 +74,12 @@ def test_cells_are_parsed_outside_the_generator(spark):
     got = {r["sku"]: (str(r["date"]), r["units"], r["revenue"], r["_drop"]) for r in coerced.collect()}
     assert got["a"] == ("2025-01-05", 1.0, Decimal("1000.5"), False)
     assert got["b"][::3] == ("None", True) and got["c"][0] == "2025-01-06" and got["c"][3]
+
+
+def test_parts_are_counted_without_the_orders(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(star, "will_broadcast", lambda df: False)
+    monkeypatch.setattr(star, "hot_keys", lambda rows, on: asked.append((on, plan(rows))) or [])
+    star.sales(spark, "/root/testdata/sf0.001")
+    assert [on for on, _ in asked] == [["o_custkey"], ["l_partkey"]]
+    assert not any("Join" in p for _, p in asked)
