@@ -293,8 +293,8 @@ def report_all_scopes(feeds: Feeds, method: str = "zscore", sensitivity: str = "
                       unit_cost_mapped: bool | None = None) -> Report:
     """The report of every currency and of every channel within it at once, each table keyed by (currency, channel).
 
-    The channel ``*`` stands for all channels. Feeds are folded by day and the folds by grouping sets, so each is scanned once
-    whatever the number of scopes. Every scope has its own latest month. Returns carry no channel: their anomalies are in
+    The channel ``*`` stands for all channels. Feeds are folded by day and the folds added up over their channels, so each
+    feed is scanned once whatever the number of scopes. Every scope has its own latest month. Returns carry no channel: their anomalies are in
     every scope of their currency, and the return rate in those of all channels only. Stockouts belong to no scope.
     """
     stock = feeds.get("inventory")
